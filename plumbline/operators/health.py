@@ -31,10 +31,10 @@ def health_columns(df: DataFrame, measures: DataFrame | None = None, approximate
             "unique_ratio",
             (F.col("null_percentage") > 50).alias("is_critical"),
             ((F.col("null_percentage") > 20) & (F.col("null_percentage") <= 50)).alias("many_nulls"),
-            F.coalesce(F.col("var") == 0, F.lit(False)).alias("zero_variance"),
+            F.coalesce(F.col("std") == 0, F.lit(False)).alias("zero_variance"),
             (F.col("unique_count") > 1000).alias("high_cardinality"),
             ((F.col("unique_ratio") > 0.95) & (F.col("unique_count") > 100)).alias("likely_identifier"),
-            F.when(F.col("var") == 0, F.least(base, F.lit(30.0))).otherwise(base).alias("score"),
+            F.when(F.col("std") == 0, F.least(base, F.lit(30.0))).otherwise(base).alias("score"),
         )
     )
 

@@ -1,6 +1,6 @@
 """One row per column with everything the profile rules need.
 
-Moments come from one aggregate over all columns at once. Exact distinct counts come
+Moments come from one aggregate over the unpivoted numbers. Exact distinct counts come
 from one shuffle of the distinct (column, value) pairs; medians from the bracketed
 percentile over the unpivoted numbers.
 """
@@ -21,6 +21,16 @@ def _quoted(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
+def quote(name: str) -> str:
+    """A column name inside expression text."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def text(value: str) -> str:
+    """A string literal inside expression text."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def distinct_counts(df: DataFrame, approximate: bool = False) -> DataFrame:
     """(column_name, unique_count) where a null counts as one more value.
 
@@ -39,26 +49,18 @@ def distinct_counts(df: DataFrame, approximate: bool = False) -> DataFrame:
 
     cells = []
     for i, f in enumerate(df.schema.fields):
-        c = _quoted(f.name)
-        whole = double = text = None
+        c, slots = quote(f.name), {"whole": "CAST(NULL AS BIGINT)", "double": "CAST(NULL AS DOUBLE)", "text": "CAST(NULL AS STRING)"}
         if is_integer(f.dataType) or isinstance(f.dataType, T.BooleanType):
-            whole = c.cast("long")
+            slots["whole"] = f"CAST({c} AS BIGINT)"
         elif is_temporal(f.dataType):
-            whole = F.unix_micros(c.cast("timestamp"))
+            slots["whole"] = f"unix_micros(CAST({c} AS TIMESTAMP))"
         elif isinstance(f.dataType, (T.FloatType, T.DoubleType)):
-            double = c.cast("double")
+            slots["double"] = f"CAST({c} AS DOUBLE)"
         else:
-            text = c.cast("string")
-        cells.append(
-            F.struct(
-                F.lit(i).alias("i"),
-                (F.lit(None).cast("long") if whole is None else whole).alias("whole"),
-                (F.lit(None).cast("double") if double is None else double).alias("double"),
-                (F.lit(None).cast("string") if text is None else text).alias("text"),
-            )
-        )
+            slots["text"] = f"CAST({c} AS STRING)"
+        cells.append(f"struct({i} AS i, " + ", ".join(f"{v} AS {k}" for k, v in slots.items()) + ")")
     counts = (
-        df.select(F.inline(F.array(*cells)))
+        df.select(F.expr(f"inline(array({', '.join(cells)}))"))
         .groupBy("i", "whole", "double", "text")
         .agg(F.lit(1).cast("long").alias("one"))
         .groupBy("i")
@@ -69,83 +71,55 @@ def distinct_counts(df: DataFrame, approximate: bool = False) -> DataFrame:
 
 
 def column_measures(df: DataFrame, distinct: bool = True, approximate: bool = False) -> DataFrame:
-    """Counts, moments, ordinal sums and zero tests for every column, one row each."""
-    numeric = [f.name for f in df.schema.fields if is_numeric(f.dataType)]
-    triggers = [c for c in numeric if any(w in c.lower() for w in TRIGGER_WORDS)]
-    aggs: list[Column] = [F.count("*").alias("row_count")]
-    for i, f in enumerate(df.schema.fields):
-        c = _quoted(f.name)
-        aggs.append(F.count(c).alias(f"present_{i}"))
-        if is_numeric(f.dataType):
-            d = c.cast("double")
-            aggs += [
-                F.avg(d).alias(f"mean_{i}"),
-                F.stddev_samp(d).alias(f"std_{i}"),
-                F.var_samp(d).alias(f"var_{i}"),
-                F.min(d).alias(f"min_{i}"),
-                F.max(d).alias(f"max_{i}"),
-                F.sum(d).alias(f"sum_{i}"),
-                F.skewness(d).alias(f"skew_{i}"),
-                F.kurtosis(d).alias(f"kurt_{i}"),
-                F.count_if(d == 0).alias(f"zero_{i}"),
-                F.bool_and(d == F.floor(d)).alias(f"whole_{i}"),
-            ]
-            # P(this = 0 | trigger = 0): joint zeros for every trigger column.
-            for j, t in enumerate(triggers):
-                if t != f.name:
-                    aggs.append(F.count_if((d == 0) & (_quoted(t) == 0)).alias(f"both_{i}_{j}"))
-    for j, t in enumerate(triggers):
-        aggs.append(F.count_if(_quoted(t) == 0).alias(f"trigger_{j}"))
-    wide = df.agg(*aggs)
-
-    rows = []
-    for i, f in enumerate(df.schema.fields):
-        is_num = f.name in numeric
-
-        def get(stat: str, kind: str) -> Column:
-            return (F.col(f"{stat}_{i}") if is_num else F.lit(None)).cast(kind).alias(stat)
+    """Counts, moments, ordinal sums and zero tests for every column, one row each.
 
-        tested = [(j, t) for j, t in enumerate(triggers) if is_num and t != f.name]
-        trigger = F.coalesce(
-            *[
-                F.when(F.col(f"both_{i}_{j}") / F.nullif(F.col(f"trigger_{j}"), F.lit(0)) > 0.8, F.lit(t))
-                for j, t in tested
-            ],
-            F.lit(None).cast("string"),
-        )
-        rows.append(
-            F.struct(
-                F.lit(i).alias("position"),
-                F.lit(f.name).alias("column_name"),
-                F.lit(f.dataType.simpleString()).alias("data_type"),
-                F.lit(is_num).alias("is_numeric"),
-                F.lit(is_integer(f.dataType)).alias("is_integer"),
-                F.lit(is_temporal(f.dataType)).alias("is_temporal"),
-                F.lit(isinstance(f.dataType, T.BooleanType)).alias("is_boolean"),
-                F.lit(isinstance(f.dataType, T.StringType)).alias("is_text"),
-                F.col("row_count").alias("row_count"),
-                F.col(f"present_{i}").alias("present"),
-                get("mean", "double"),
-                get("std", "double"),
-                get("var", "double"),
-                get("min", "double"),
-                get("max", "double"),
-                get("sum", "double"),
-                get("skew", "double"),
-                get("kurt", "double"),
-                get("zero", "bigint"),
-                get("whole", "boolean"),
-                trigger.alias("trigger"),
-            )
-        )
-    measures = wide.select(F.inline(F.array(*rows)))
+    Rows are unpivoted to (column number, present, number), so one small aggregate
+    serves any width; partial sums leave one row per column and task for the shuffle.
+    """
+    fields = df.schema.fields
+    triggers = [f.name for f in fields if is_numeric(f.dataType) and any(w in f.name.lower() for w in TRIGGER_WORDS)]
+    cells = ", ".join(
+        f"struct({i} AS i, {quote(f.name)} IS NOT NULL AS present, "
+        + (f"CAST({quote(f.name)} AS DOUBLE)" if is_numeric(f.dataType) else "CAST(NULL AS DOUBLE)")
+        + " AS d)"
+        for i, f in enumerate(fields)
+    )
+    zero_marks = [F.expr(f"{quote(t)} = 0").alias(f"_z{j}") for j, t in enumerate(triggers)]
+    moments = df.select(*zero_marks, F.expr(f"inline(array({cells}))")).groupBy("i").agg(
+        F.count("*").alias("row_count"),
+        F.count_if("present").alias("present"),
+        F.avg("d").alias("mean"),
+        F.stddev_samp("d").alias("std"),
+        F.min("d").alias("min"),
+        F.max("d").alias("max"),
+        F.sum("d").alias("sum"),
+        F.skewness("d").alias("skew"),
+        F.kurtosis("d").alias("kurt"),
+        F.expr("count_if(d = 0)").alias("zero"),
+        F.expr("bool_and(d = floor(d))").alias("whole"),
+        *[F.expr(f"count_if(_z{j})").alias(f"_t{j}") for j in range(len(triggers))],
+        *[F.expr(f"count_if(d = 0 AND _z{j})").alias(f"_b{j}") for j in range(len(triggers))],
+    )
+    # The first other column of which: this is 0 in more than 80 % of its zero rows.
+    tests = " ".join(
+        f"WHEN column_name <> {text(t)} AND _b{j} / nullif(_t{j}, 0) > 0.8 THEN {text(t)}" for j, t in enumerate(triggers)
+    )
+    trigger = F.expr(f"CASE WHEN is_numeric THEN CASE {tests} END END") if triggers else F.lit(None).cast("string")
+    facts = ", ".join(
+        f"struct({i} AS i, {text(f.name)} AS column_name, {text(f.dataType.simpleString())} AS data_type, "
+        f"{is_numeric(f.dataType)} AS is_numeric, {is_integer(f.dataType)} AS is_integer, {is_temporal(f.dataType)} AS is_temporal, "
+        f"{isinstance(f.dataType, T.BooleanType)} AS is_boolean, {isinstance(f.dataType, T.StringType)} AS is_text)"
+        for i, f in enumerate(fields)
+    )
+    described = df.sparkSession.range(1).select(F.expr(f"inline(array({facts}))"))
+    # All three sides have one row per column of the table. An empty table has no cells.
+    measures = described.join(F.broadcast(moments), "i", "left").withColumn("trigger", trigger)
+    measures = measures.withColumnRenamed("i", "position").drop(*[f"_{k}{j}" for k in "tb" for j in range(len(triggers))])
+    measures = measures.na.fill(0, ["row_count", "present"])
     if not distinct:
         return measures
     counts = distinct_counts(df, approximate)
-    # Both sides have one row per column of the table.
-    return measures.join(F.broadcast(counts), "column_name", "left").withColumn(
-        "unique_count", F.coalesce("unique_count", F.lit(0).cast("long"))
-    )
+    return measures.join(F.broadcast(counts), "column_name", "left").na.fill(0, ["unique_count"])
 
 
 def medians(df: DataFrame) -> DataFrame:

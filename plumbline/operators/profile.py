@@ -90,31 +90,32 @@ def semantic_roles(profile: DataFrame, table_keys: Sequence[str] = ()) -> DataFr
     several tables held in one frame.
     """
     name = F.lower("column_name")
-    kind, ratio = F.col("statistical_type"), F.col("unique_ratio")
+    kind = F.col("statistical_type")
     df = profile.withColumn("_expanded", expand_acronyms(F.col("column_name")))
     df = df.withColumn("_funnel_like", similarity(F.col("_expanded"), FUNNEL_PATTERNS))
     df = df.withColumn("_financial_like", similarity(F.col("_expanded"), FINANCIAL_PATTERNS))
 
-    def add(score: Column, when: Column, boost: float) -> Column:
-        return score + F.when(when, F.lit(boost)).otherwise(F.lit(0.0))
-
-    score = {role: F.lit(0.3 if role == "other" else 0.0) for role in ROLES}
-    score["time"] = add(score["time"], kind == "temporal", 0.7)
-    score["product"] = add(score["product"], kind == "categorical", 0.2)
-    score["financial"] = add(score["financial"], kind == "numeric", 0.2)
-    score["inventory"] = add(score["inventory"], kind == "numeric", 0.2)
-    score["funnel"] = add(score["funnel"], kind == "numeric", 0.1)
-    score["customer"] = score["customer"] + F.when(kind == "categorical", 0.2).when(kind == "identifier", 0.1).otherwise(0.0)
-    score["identifier"] = add(score["identifier"], kind == "identifier", 0.6)
-    few = (ratio < 0.1) & ~(ratio > 0.9)
-    score["identifier"] = add(score["identifier"], ratio > 0.9, 0.1)
-    score["financial"] = add(score["financial"], few, 0.1)
-    score["funnel"] = add(score["funnel"], few, 0.1)
+    scores = {role: "0.3D" if role == "other" else "0.0D" for role in ROLES}
+
+    def add(role: str, test: str, boost: float) -> None:
+        scores[role] += f" + CASE WHEN {test} THEN {boost}D ELSE 0.0D END"
+
+    add("time", "statistical_type = 'temporal'", 0.7)
+    add("product", "statistical_type = 'categorical'", 0.2)
+    add("customer", "statistical_type = 'categorical'", 0.2)
+    add("financial", "statistical_type = 'numeric'", 0.2)
+    add("inventory", "statistical_type = 'numeric'", 0.2)
+    add("funnel", "statistical_type = 'numeric'", 0.1)
+    add("identifier", "statistical_type = 'identifier'", 0.6)
+    add("customer", "statistical_type = 'identifier'", 0.1)
+    add("identifier", "unique_ratio > 0.9D", 0.1)
+    add("financial", "unique_ratio < 0.1D", 0.1)
+    add("funnel", "unique_ratio < 0.1D", 0.1)
     for fragment, role, boost in KEYWORD_BOOSTS:
-        score[role] = add(score[role], name.contains(fragment) | F.col("_expanded").contains(fragment), boost)
-    score["funnel"] = add(score["funnel"], F.col("_funnel_like") >= FUZZY_THRESHOLD, FUZZY_BOOST)
-    score["financial"] = add(score["financial"], F.col("_financial_like") >= FUZZY_THRESHOLD, FUZZY_BOOST)
-    df = df.withColumns({f"_s_{role}": c for role, c in score.items()})
+        add(role, f"contains(lower(column_name), '{fragment}') OR contains(_expanded, '{fragment}')", boost)
+    add("funnel", f"_funnel_like >= {FUZZY_THRESHOLD}D", FUZZY_BOOST)
+    add("financial", f"_financial_like >= {FUZZY_THRESHOLD}D", FUZZY_BOOST)
+    df = df.withColumns({f"_s_{role}": F.expr(formula) for role, formula in scores.items()})
 
     # Neighbours: other columns of the same table with performance names.
     df = df.withColumn("_performs", contains_any(name, PERFORMANCE_WORDS).cast("int"))

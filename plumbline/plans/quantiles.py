@@ -17,6 +17,10 @@ from plumbline.plans.running import WINDOW_ROWS, interpolate, running_totals
 from plumbline.plans.staging import checkpoint_parquet, join_on_group
 
 
+# Margin in probability for groups too small for the sketch margin.
+WIDE = 0.02
+
+
 def exact_percentiles(
     df: DataFrame,
     value: str,
@@ -29,20 +33,28 @@ def exact_percentiles(
     by = list(by)
     facts = df.select(*by, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
 
-    # Sketch error is at most n/accuracy ranks; three times that on both sides.
-    margin = 3.0 / accuracy
+    # The sketch is off by at most n/accuracy ranks, so a bracket must reach further, and
+    # at least over the two neighbouring ranks: narrow for large groups, wider for
+    # middling ones, everything for small ones.
     wanted = []
     for p in probs.values():
-        wanted += [F.lit(max(0.0, p - margin)), F.lit(min(1.0, p + margin))]
+        for margin in (3.0 / accuracy, WIDE):
+            wanted += [F.lit(max(0.0, p - margin)), F.lit(min(1.0, p + margin))]
     sketch = facts.groupBy(*by).agg(
         F.count("*").alias("n"), F.percentile_approx("_v", F.array(*wanted), accuracy).alias("_b")
     )
-    brackets = checkpoint_parquet(sketch)
+    ends = []
+    for i in range(len(probs)):
+        for j, (side, whole) in enumerate((("low", "-inf"), ("high", "inf"))):
+            end = F.when(F.col("n") <= 4 / WIDE, F.lit(float(whole)))
+            end = end.when(F.col("n") <= 2 * accuracy, F.col("_b")[4 * i + 2 + j]).otherwise(F.col("_b")[4 * i + j])
+            ends.append(end.alias(f"_{side}_{i}"))
+    brackets = checkpoint_parquet(sketch.select(*by, "n", *ends))
 
     placed = join_on_group(facts, brackets, by)
     position, inside = F.lit(0), F.lit(False)
     for i in range(len(probs)):
-        low, high = F.col("_b")[2 * i], F.col("_b")[2 * i + 1]
+        low, high = F.col(f"_low_{i}"), F.col(f"_high_{i}")
         position = position + (F.col("_v") >= low).cast("int") + (F.col("_v") > high).cast("int")
         inside = inside | F.col("_v").between(low, high)
     # ``_pos`` never falls as the value rises, so (_pos, _cell) orders like the value.

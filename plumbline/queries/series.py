@@ -1,0 +1,143 @@
+"""Series and forecast queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from plumbline.operators import forecast as FC
+from plumbline.operators import series as T
+from plumbline.queries.registry import SALES, query, register, rounded
+from plumbline.sources.views import sales_view, table
+
+# Monthly sales per brand; whole tables, so every brand is a series of its own.
+BUCKETS = (
+    SALES
+    + """, points AS (SELECT brand, date_trunc('month', date) AS bucket, sum(sales) AS value, sum(cost) AS cost FROM sales WHERE date IS NOT NULL GROUP BY 1, 2),
+series AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY brand) AS n FROM points WHERE value IS NOT NULL) WHERE n >= 10)
+"""
+)
+
+
+def monthly(spark, folder, exog=()):
+    view = sales_view(spark, folder, "brand", "date", "sales", *exog)
+    return T.to_series(view, "sales", "date", "monthly", ["brand"], exog=exog)
+
+
+@query(BUCKETS + "SELECT brand, CAST(bucket AS DATE) AS bucket, round(value, 4) AS value FROM series")
+def series_prepared(spark, folder):
+    out = monthly(spark, folder)
+    return rounded(out.select("brand", F.col("bucket").cast("date").alias("bucket"), "value"), 4)
+
+
+def frequency_sql(source: str, by: str) -> str:
+    return f""", g AS (SELECT {by}, epoch(bucket) - epoch(lag(bucket) OVER (PARTITION BY {by} ORDER BY bucket)) AS gap FROM {source}),
+m AS (SELECT *, quantile_cont(gap, 0.5) OVER (PARTITION BY {by}) AS med FROM g WHERE gap IS NOT NULL),
+f AS (SELECT {by}, max(med) AS median_gap_seconds, count(*) FILTER (gap > 2 * med) AS gaps_detected FROM m GROUP BY {by})
+SELECT {by}, CAST(median_gap_seconds AS DOUBLE) AS median_gap_seconds, gaps_detected,
+  CASE WHEN median_gap_seconds <= 86400 THEN 'daily' WHEN median_gap_seconds <= 7 * 86400 THEN 'weekly' WHEN median_gap_seconds <= 31 * 86400 THEN 'monthly' ELSE 'unknown' END AS frequency,
+  CASE WHEN median_gap_seconds <= 86400 THEN 7 WHEN median_gap_seconds <= 7 * 86400 THEN 52 ELSE 12 END AS seasonal_period,
+  CASE WHEN gaps_detected < 3 THEN 0.9e0 ELSE 0.6e0 END AS confidence FROM f"""
+
+
+@query(BUCKETS + frequency_sql("series", "brand"))
+def series_frequency_monthly(spark, folder):
+    return T.series_frequency(monthly(spark, folder), ["brand"])
+
+
+# Daily orders per priority with every twentieth day (by hash) taken out.
+GAPPY = """WITH days AS (SELECT o_orderpriority AS priority, date_trunc('day', o_orderdate) AS bucket, sum(o_totalprice) AS value FROM orders
+  WHERE (CAST(floor(epoch(o_orderdate) / 86400) AS BIGINT) * 48271) % 2147483647 % 20 <> 0 GROUP BY 1, 2)
+"""
+
+
+@query(GAPPY + frequency_sql("days", "priority"))
+def series_frequency_gaps(spark, folder):
+    day = F.unix_date(F.to_date("o_orderdate")).cast("long")
+    kept = table(spark, folder, "orders").filter((day * 48271) % 2147483647 % 20 != 0)
+    series = T.to_series(kept.withColumnRenamed("o_orderpriority", "priority"), "o_totalprice", "o_orderdate", "daily", ["priority"])
+    return T.series_frequency(series, ["priority"])
+
+
+ACF = """, d AS (SELECT brand, value - avg(value) OVER (PARTITION BY brand) AS d, count(*) OVER (PARTITION BY brand) AS cnt,
+  row_number() OVER (PARTITION BY brand ORDER BY bucket) AS i FROM series),
+v AS (SELECT brand, max(cnt) AS n, sum(d * d) AS s2 FROM d GROUP BY brand),
+a AS (SELECT x.brand, y.i - x.i AS lag, sum(x.d * y.d) AS c FROM d x JOIN d y ON x.brand = y.brand AND y.i > x.i AND y.i - x.i <= 20 GROUP BY 1, 2),
+acf AS (SELECT brand, n, CAST(lag AS INT) AS lag, c / s2 AS acf FROM a JOIN v USING (brand) WHERE lag <= n // 2)
+"""
+
+
+@query(BUCKETS + ACF + "SELECT brand, n, lag, round(acf, 9) AS acf FROM acf")
+def series_autocorrelation(spark, folder):
+    return rounded(T.autocorrelation(monthly(spark, folder), ["brand"]), 9)
+
+
+@query(
+    BUCKETS
+    + ACF
+    + """SELECT brand, n, round(1.96e0 / sqrt(n), 9) AS confidence_band, n >= 24 AND count(*) FILTER (abs(acf) > 1.96e0 / sqrt(n)) > 0 AS seasonal,
+  coalesce(string_agg(lag::VARCHAR, ',' ORDER BY lag) FILTER (n >= 24 AND abs(acf) > 1.96e0 / sqrt(n)), '') AS significant_lags FROM acf GROUP BY brand, n"""
+)
+def series_seasonality(spark, folder):
+    found = T.seasonality(monthly(spark, folder), ["brand"])
+    return rounded(found.withColumn("significant_lags", F.array_join("significant_lags", ",")), 9)
+
+
+@query(
+    BUCKETS
+    + """, q AS (SELECT brand, row_number() OVER (PARTITION BY brand ORDER BY bucket) AS step, value, count(*) OVER (PARTITION BY brand) AS n FROM series),
+f AS (SELECT brand, max(n) AS n, count(*) AS periods, sum(value) AS total, regr_slope(value, step) / nullif(avg(value), 0) * 100 AS pct, max(value) / 1000 AS aic FROM q GROUP BY brand)
+SELECT brand, round(total, 4) AS forecast_total, CASE WHEN periods < 2 THEN 'flat' WHEN pct > 5 THEN 'up' WHEN pct < -5 THEN 'down' ELSE 'flat' END AS trend_direction,
+  round(greatest(0, least(1, 0.5e0 + CASE WHEN aic < 3000 THEN 0.2e0 ELSE 0 END + CASE WHEN n > 50 THEN 0.2e0 WHEN n > 30 THEN 0.1e0 ELSE 0 END - CASE WHEN aic > 2 * n THEN 0.1e0 ELSE 0 END)), 6) AS model_confidence,
+  CASE WHEN aic < 3000 AND n <= 2 AND aic <= 1000 THEN 'no remarks' ELSE coalesce(nullif(concat_ws('; ',
+    CASE WHEN NOT aic < 3000 THEN 'series not stationary, differences were modelled' END, CASE WHEN n > 2 THEN n || ' gaps in time' END,
+    CASE WHEN aic > 1000 THEN 'poor information criterion' END), ''), 'no remarks') END AS notes FROM f"""
+)
+def forecast_grading(spark, folder):
+    """Direction, confidence and notes rules on figures that SQL can repeat."""
+    keyed = W.partitionBy("brand")
+    steps = monthly(spark, folder).select(
+        "brand",
+        F.row_number().over(keyed.orderBy("bucket")).alias("step"),
+        F.col("value").alias("forecast"),
+        F.lit("given").alias("model"),
+        F.count("*").over(keyed).alias("n"),
+        (F.max("value").over(keyed) / 1000).alias("aic"),
+        F.lit(0.0).alias("bic"),
+        F.lit("monthly").alias("frequency"),
+    )
+    steps = steps.withColumn("is_stationary", F.col("aic") < 3000).withColumn("gaps_detected", F.col("n"))
+    out = FC.summarize_forecast(steps, ["brand"])
+    return rounded(out.select("brand", "forecast_total", "trend_direction", "model_confidence", "notes"), 6, forecast_total=4)
+
+
+# --- fitted models: no SQL form, checked on planted signals in the tests -----------------
+
+
+def stationarity(spark, folder):
+    return rounded(FC.adf(monthly(spark, folder), ["brand"]), 4)
+
+
+def _model(name: str, model: str, exog=()) -> None:
+    def run(spark, folder):
+        steps = FC.forecast(monthly(spark, folder, exog), 12, ["brand"], exog, model)
+        return rounded(steps.select("brand", "model", "step", "forecast", "lower", "upper", "aic", "bic"), 2)
+
+    register(name, run)
+
+
+def forecast_summary(spark, folder):
+    return rounded(FC.summarize_forecast(FC.forecast(monthly(spark, folder), 12, ["brand"]), ["brand"]), 2)
+
+
+def scenario_impact(spark, folder):
+    return rounded(FC.simulate(monthly(spark, folder, ["cost"]), "cost", 20.0, 12, ["brand"]), 2)
+
+
+register("stationarity", stationarity)
+_model("forecast_arima", "arima")
+_model("forecast_ets", "ets")
+_model("forecast_with_cost", "sarimax", ("cost",))
+_model("forecast_best_model", "auto", ("cost",))
+register("forecast_summary", forecast_summary)
+register("scenario_impact", scenario_impact)
