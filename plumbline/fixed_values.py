@@ -7,9 +7,9 @@ matters: boosts are added as doubles one after the other.
 # Date shapes tried in this order, as (label, parse pattern, shape guard).
 DATE_FORMATS = [
     ("ISO 8601", None, r"^\d{4}-\d{2}-\d{2}"),
-    ("dd-MM-yyyy", "d-M-yyyy", r"^\d{1,2}-\d{1,2}-\d{4}$"),
-    ("dd/MM/yyyy", "d/M/yyyy", r"^\d{1,2}/\d{1,2}/\d{4}$"),
-    ("MM/dd/yyyy", "M/d/yyyy", r"^\d{1,2}/\d{1,2}/\d{4}$"),
+    ("dd-MM-yyyy", "d-M-yyyy", r"^\d{1,2}-(0?[1-9]|1[0-2])-\d{4}$"),
+    ("dd/MM/yyyy", "d/M/yyyy", r"^\d{1,2}/(0?[1-9]|1[0-2])/\d{4}$"),
+    ("MM/dd/yyyy", "M/d/yyyy", r"^(0?[1-9]|1[0-2])/\d{1,2}/\d{4}$"),
     ("yyyy/MM/dd", "yyyy/M/d", r"^\d{4}/\d{1,2}/\d{1,2}$"),
     ("dd-MMM-yyyy", "d-MMM-yyyy", r"^\d{1,2}-[A-Za-z]{3}-\d{4}$"),
     ("dd MMM yyyy", "d MMM yyyy", r"^\d{1,2} [A-Za-z]{3} \d{4}$"),

@@ -67,9 +67,9 @@ def _iqr_severity(value: Column) -> Column:
     return F.when(F.col("iqr") > 0, beyond / F.nullif("iqr", F.lit(0.0))).otherwise(0.0)
 
 
-def flag_iqr(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
+def flag_iqr(df: DataFrame, col: str, by: Sequence[str] = (), bounds: DataFrame | None = None) -> DataFrame:
     """Every non-null row with its fences, ``is_anomaly`` and ``severity``."""
-    bounds = checkpoint_parquet(iqr_bounds(df, col, by))
+    bounds = checkpoint_parquet(iqr_bounds(df, col, by)) if bounds is None else bounds
     v = F.col(col).cast("double")
     out = (v < F.col("lower")) | (v > F.col("upper"))
     flagged = _with_bounds(df, col, bounds, by).withColumn("is_anomaly", (F.col("n") >= MIN_VALUES) & out)
@@ -115,10 +115,10 @@ def anomaly_summary(flagged: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def contamination(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
+def contamination(df: DataFrame, col: str, by: Sequence[str] = (), bounds: DataFrame | None = None) -> DataFrame:
     """Share of rows beyond the fences, held between 1 % and 15 %."""
     rate = F.avg(F.col("_out").cast("double"))
-    bounds = checkpoint_parquet(iqr_bounds(df, col, by))
+    bounds = checkpoint_parquet(iqr_bounds(df, col, by)) if bounds is None else bounds
     v = F.col(col).cast("double")
     rows = _with_bounds(df, col, bounds, by).withColumn("_out", (v < F.col("lower")) | (v > F.col("upper")))
     return rows.groupBy(*by).agg(rate.alias("iqr_rate")).withColumn(
@@ -199,15 +199,19 @@ def _forest(df: DataFrame, col: str, key: Column, seed: int) -> tuple[np.ndarray
     return edges, np.power(2.0, -path / max(float(_expected_path(np.array(size))), 1e-12))
 
 
-def flag_iforest(df: DataFrame, col: str, key: Column | str, seed: int = 42, rate: float | None = None) -> DataFrame:
+def flag_iforest(
+    df: DataFrame, col: str, key: Column | str, seed: int = 42, rate: float | None = None, source: DataFrame | None = None
+) -> DataFrame:
     """Every non-null row with its isolation score in ``severity`` and ``is_anomaly``.
 
     ``key`` is an integer that identifies the row; the samples are drawn by its hash.
+    ``source`` may name the same rows with fewer columns made, for the passes before.
     The score depends on the value alone, so the cut comes from exact counts per step of
     the score function, not from a sort of all rows.
     """
     key = F.col(key) if isinstance(key, str) else key
-    edges, scores = _forest(df, col, key, seed)
+    source = df if source is None else source
+    edges, scores = _forest(source, col, key, seed)
     lookup = df.sparkSession.sparkContext.broadcast((edges, scores))
 
     @F.pandas_udf("double")
@@ -215,14 +219,17 @@ def flag_iforest(df: DataFrame, col: str, key: Column | str, seed: int = 42, rat
         at, level = lookup.value
         return pd.Series(level[np.searchsorted(at, values.to_numpy(), side="left")])
 
-    facts = df.filter(F.col(col).isNotNull())
-    scored = facts.withColumn("severity", score(F.col(col).cast("double")))
-    steps = scored.groupBy("severity").agg(F.count("*").alias("rows"))
+    def scored_rows(rows: DataFrame) -> DataFrame:
+        return rows.filter(F.col(col).isNotNull()).withColumn("severity", score(F.col(col).cast("double")))
+
+    scored = scored_rows(df)
+    steps = scored_rows(source.select(col)).groupBy("severity").agg(F.count("*").alias("rows"))
     # At most one row per step: 25 501.
     levels = steps.orderBy(F.col("severity").desc()).toPandas()
     n = int(levels["rows"].sum())
     if rate is None:
-        rate = contamination(df, col).first()["contamination"] or 0.01
+        rate = contamination(source, col).first()["contamination"]
+    rate = 0.01 if rate is None else rate
     # The cut is the interpolated percentile of −severity at ``rate``.
     reached = np.cumsum(levels["rows"].to_numpy())
     at = rate * (n - 1)
@@ -265,12 +272,14 @@ def anomalies_consensus(
     def own(frame: DataFrame) -> DataFrame:
         return frame.select(*names, *[c for c in frame.columns if c.startswith("_")])
 
-    rows = own(tagged(flag_iqr(df, col, by), "iqr"))
+    fences = checkpoint_parquet(iqr_bounds(df, col, by))
+    rows = own(tagged(flag_iqr(df, col, by, fences), "iqr"))
     rows = own(tagged(flag_zscore(rows, col, threshold, by), "zscore"))
     tags = ["iqr", "zscore"]
     if key is not None:
         bounds = zscore_bounds(df, col, (), 2.0).select("lower", "upper")
-        scored = flag_iforest(rows, col, key, seed).crossJoin(F.broadcast(bounds))
+        rate = contamination(df, col, (), None if by else fences).first()["contamination"]
+        scored = flag_iforest(rows, col, key, seed, rate, df).crossJoin(F.broadcast(bounds))
         rows = own(tagged(scored, "isolation_forest"))
         tags.append("isolation_forest")
 

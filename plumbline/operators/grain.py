@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,51 +16,31 @@ UNIQUE = 0.99
 MAX_DIMENSIONS = 10
 
 
-def _composite(cols: Sequence[str]) -> Column:
-    """Text key of several columns; any null part makes it null."""
-    parts: list[Column] = []
-    for c in cols:
-        parts += [F.lit("||"), F.col(c).cast("string")]
-    return F.concat(*parts[1:])
+def _any_null(cols: Sequence[str]) -> Column:
+    return reduce(lambda a, b: a | b, [F.col(c).isNull() for c in cols])
 
 
-def uniqueness(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """(columns, unique_count, row_count, ratio) of a column list as a key."""
-    return prefix_uniqueness(df, [list(cols)]).drop("position")
+def uniqueness(df: DataFrame, cols: Sequence[str], approximate: bool = False) -> DataFrame:
+    """(columns, unique_count, row_count, ratio) of a column list as a key.
 
-
-def prefix_uniqueness(df: DataFrame, keys: Sequence[Sequence[str]], approximate: bool = False) -> DataFrame:
-    """Uniqueness of several keys in one pass, one row per key.
-
-    Exact: every row gives one (key number, key) cell, equal cells meet on the map side
-    and in a shuffle on the whole cell, so no key is hot. A null key is one value.
+    A null in any part makes the key null, and the null key is one value. Exact: rows
+    are folded on the whole key, map side first, so no single column value is hot.
     """
-    names = F.element_at(F.array(*[F.lit(",".join(k)) for k in keys]), F.col("i") + 1)
+    cols = list(cols)
     if approximate:
-        counts = df.agg(
-            F.count("*").alias("row_count"),
-            *[
-                (F.approx_count_distinct(_composite(k), 0.01) + F.max(_composite(k).isNull().cast("int"))).alias(f"u_{i}")
-                for i, k in enumerate(keys)
-            ],
-        )
-        rows = [F.struct(F.lit(i).alias("i"), F.col(f"u_{i}").cast("long").alias("unique_count")) for i in range(len(keys))]
-        counted = counts.select("row_count", F.inline(F.array(*rows)))
+        key = F.when(~_any_null(cols), F.struct(*cols))
+        distinct = F.approx_count_distinct(F.xxhash64(key), 0.01)
+        counted = df.agg(distinct.alias("unique_count"), F.count("*").alias("row_count"))
     else:
-        cells = F.inline(F.array(*[F.struct(F.lit(i).alias("i"), _composite(k).alias("key")) for i, k in enumerate(keys)]))
-        counted = (
-            df.select(cells)
-            .groupBy("i", "key")
-            .agg(F.count("*").alias("n"))
-            .groupBy("i")
-            .agg(F.count("*").alias("unique_count"), F.sum("n").alias("row_count"))
-        )
+        hole = _any_null(cols)
+        keys = df.select(hole.alias("_hole"), *[F.when(~hole, F.col(c)).alias(f"_k{i}") for i, c in enumerate(cols)])
+        folded = keys.groupBy("_hole", *[f"_k{i}" for i in range(len(cols))]).agg(F.count("*").alias("n"))
+        counted = folded.agg(F.count("*").alias("unique_count"), F.coalesce(F.sum("n"), F.lit(0).cast("long")).alias("row_count"))
     return counted.select(
-        F.col("i").alias("position"),
-        names.alias("columns"),
+        F.lit(",".join(cols)).alias("columns"),
         "unique_count",
         "row_count",
-        (F.col("unique_count") / F.nullif("row_count", F.lit(0))).alias("ratio"),
+        F.coalesce(F.col("unique_count") / F.nullif("row_count", F.lit(0)), F.lit(0.0)).alias("ratio"),
     )
 
 
@@ -81,22 +62,24 @@ def key_candidates(profile: DataFrame, limit: int = MAX_DIMENSIONS) -> DataFrame
     )
 
 
-def best_key(prefixes: DataFrame) -> DataFrame:
-    """The first prefix that is unique enough, else the first one with the best ratio."""
-    as_key = F.struct("columns", "unique_count", "row_count", "ratio")
-    early = F.min_by(F.when(F.col("ratio") >= UNIQUE, as_key), F.when(F.col("ratio") >= UNIQUE, F.col("position")))
-    best = F.max_by(as_key, F.struct("ratio", -F.col("position")))
-    return prefixes.agg(F.coalesce(early, best).alias("k")).select(
-        F.col("k.columns").alias("composite_key"),
-        F.col("k.ratio").alias("uniqueness_ratio"),
-        (F.col("k.ratio") >= UNIQUE).alias("is_unique"),
-    )
-
-
 def find_key(df: DataFrame, time: str, dims: Sequence[str], approximate: bool = False) -> DataFrame:
-    """Time, time+d1, time+d1+d2, …: the key to use, as one row."""
-    keys = [[time, *dims[:i]] for i in range(len(dims[:MAX_DIMENSIONS]) + 1)]
-    return best_key(prefix_uniqueness(df, keys, approximate))
+    """Time, time+d1, time+d1+d2, …: the first key that is unique enough, else the best.
+
+    One job per key tried, each reading only its columns, and the search ends at the
+    first success: a table with a real key never pays for the longer ones.
+    """
+    best = None
+    for i in range(len(dims[:MAX_DIMENSIONS]) + 1):
+        tried = uniqueness(df, [time, *dims[:i]], approximate).first()
+        if best is None or tried["ratio"] > best["ratio"]:
+            best = tried
+        if tried["ratio"] >= UNIQUE:
+            break
+    return df.sparkSession.range(1).select(
+        F.lit(best["columns"]).alias("composite_key"),
+        F.lit(best["ratio"]).alias("uniqueness_ratio"),
+        F.lit(best["ratio"] >= UNIQUE).alias("is_unique"),
+    )
 
 
 def _gaps(df: DataFrame, time: str, mode: str) -> tuple[DataFrame, DataFrame]:

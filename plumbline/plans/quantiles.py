@@ -14,9 +14,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.plans.running import WINDOW_ROWS, interpolate, running_totals
-from plumbline.plans.staging import checkpoint_parquet, join_on_group
+from plumbline.plans.staging import checkpoint_parquet, join_on_group, mark_groups
 
 
+# Up to this many values a group is counted in one map.
+SMALL_GROUP = 20_000
 # Margin in probability for groups too small for the sketch margin.
 WIDE = 0.02
 
@@ -28,11 +30,36 @@ def exact_percentiles(
     by: Sequence[str] = (),
     accuracy: int = 10_000,
     window_rows: int = WINDOW_ROWS,
+    small_group: int = SMALL_GROUP,
 ) -> DataFrame:
-    """One row per group: ``n`` non-null values and one column per entry of ``probs``."""
+    """One row per group: ``n`` non-null values and one column per entry of ``probs``.
+
+    Groups are counted first. Small ones use the built-in percentile, whose map is then
+    bounded; only large ones are bracketed.
+    """
     by = list(by)
     facts = df.select(*by, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+    if not by:
+        return _bracketed(facts, probs, by, accuracy, window_rows)
+    sizes = checkpoint_parquet(facts.groupBy(*by).agg(F.count("*").alias("_n")))
+    total, large = sizes.count(), sizes.filter(F.col("_n") > small_group).select(*by)
+    hot = large.count()
+    if hot == 0:
+        return _direct(facts, probs, by)
+    marked = mark_groups(facts, large, by, hot)
+    out = _bracketed(marked.filter("_marked").drop("_marked"), probs, by, accuracy, window_rows)
+    if hot < total:
+        out = out.unionByName(_direct(marked.filter("not _marked").drop("_marked"), probs, by))
+    return out
+
+
+def _direct(facts: DataFrame, probs: Mapping[str, float], by: list[str]) -> DataFrame:
+    wanted = F.percentile("_v", F.array(*[F.lit(float(p)) for p in probs.values()]))
+    picked = facts.groupBy(*by).agg(F.count("*").alias("n"), wanted.alias("_p"))
+    return picked.select(*by, "n", *[F.col("_p")[i].alias(name) for i, name in enumerate(probs)])
+
 
+def _bracketed(facts: DataFrame, probs: Mapping[str, float], by: list[str], accuracy: int, window_rows: int) -> DataFrame:
     # The sketch is off by at most n/accuracy ranks, so a bracket must reach further, and
     # at least over the two neighbouring ranks: narrow for large groups, wider for
     # middling ones, everything for small ones.

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from plumbline.plans.staging import checkpoint_parquet, join_on_group
 
 # Up to this many rows one task may hold a group; more rows are split by range.
-WINDOW_ROWS = 200_000
+WINDOW_ROWS = 1_000_000
 ROWS_PER_RANGE = 500_000
 
 

@@ -57,6 +57,16 @@ def broadcast_if_small(small: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(small) if rows <= BROADCAST_ROWS else small
 
 
+def mark_groups(facts: DataFrame, groups: DataFrame, by: list[str], rows: int) -> DataFrame:
+    """Add ``_marked``: does the row belong to one of the (staged, distinct) groups?"""
+    listed = groups.select(*[F.col(name).alias(f"__g_{name}") for name in by], F.lit(True).alias("_hit"))
+    condition = F.lit(True)
+    for name in by:
+        condition = condition & F.col(name).eqNullSafe(F.col(f"__g_{name}"))
+    joined = facts.join(broadcast_if_small(listed, rows), condition, "left")
+    return joined.withColumn("_marked", F.col("_hit").isNotNull()).drop("_hit", *[f"__g_{name}" for name in by])
+
+
 def join_on_group(facts: DataFrame, groups: DataFrame, by: list[str]) -> DataFrame:
     """Attach one row per group to every fact row; null group keys match each other.
 

@@ -82,14 +82,15 @@ def infer_and_cast(df: DataFrame, threshold: float = CAST_RATE) -> CastResult:
     One aggregate measures every column and format; one projection applies the result.
     """
     texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-    measures: list[Column] = []
-    for i, name in enumerate(texts):
-        c = F.col(f"`{name}`")
-        measures.append(F.count(c).alias(f"n_{i}"))
-        measures.append(F.count(clean_numeric(c)).alias(f"num_{i}"))
-        for j, (_, pattern, shape) in enumerate(DATE_FORMATS):
-            measures.append(F.count(parse_date(c, pattern, shape)).alias(f"d_{i}_{j}"))
-    counts = df.agg(*measures).first() if texts else None
+    # Unpivoted, so that nine aggregates serve any number of columns.
+    cells = F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"`{name}`").alias("text")) for i, name in enumerate(texts)])
+    measured = df.select(F.inline(cells)).filter("text is not null").groupBy("i").agg(
+        F.count("*").alias("present"),
+        F.count(clean_numeric("text")).alias("numbers"),
+        *[F.count(parse_date(F.col("text"), pattern, shape)).alias(f"d{j}") for j, (_, pattern, shape) in enumerate(DATE_FORMATS)],
+    )
+    # One row per text column.
+    counts = {row["i"]: row for row in measured.collect()} if texts else {}
 
     projection, log = [], []
     for field in df.schema.fields:
@@ -99,13 +100,13 @@ def infer_and_cast(df: DataFrame, threshold: float = CAST_RATE) -> CastResult:
             log.append((field.name, "typed", None, None, None, None))
             continue
         i = texts.index(field.name)
-        present = counts[f"n_{i}"]
-        if present == 0:
+        if i not in counts:
             projection.append(c)
             log.append((field.name, "empty", None, None, None, None))
             continue
-        rates = [counts[f"d_{i}_{j}"] / present for j in range(len(DATE_FORMATS))]
-        numeric_rate = counts[f"num_{i}"] / present
+        present = counts[i]["present"]
+        rates = [counts[i][f"d{j}"] / present for j in range(len(DATE_FORMATS))]
+        numeric_rate = counts[i]["numbers"] / present
         shown = [(DATE_FORMATS[j][0], r) for j, r in enumerate(rates)]
         hit = next((j for j, r in enumerate(rates) if r >= threshold), None)
         if hit is not None:

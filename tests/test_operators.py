@@ -204,7 +204,7 @@ def test_cardinality(spark, pairs, label):
 def test_null_part_makes_the_key_null(spark):
     df = spark.createDataFrame([("a", None), ("b", None), ("a", 1), ("a", 1)], "x string, y int")
     assert G.uniqueness(df, ["x", "y"]).first()["unique_count"] == 2
-    assert G.prefix_uniqueness(df, [["x"]], approximate=True).first()["unique_count"] == 2
+    assert G.uniqueness(df, ["x"], approximate=True).first()["unique_count"] == 2
 
 
 @pytest.mark.parametrize("step, label", [(1, "daily"), (7, "weekly"), (8, "weekly"), (9, "monthly"), (30, "monthly"), (36, "irregular")])

@@ -34,7 +34,7 @@ def by_key(rows):
 
 
 @pytest.mark.parametrize("accuracy", [50, 10_000])
-@pytest.mark.parametrize("window_rows", [10, 200_000])
+@pytest.mark.parametrize("window_rows", [10, 1_000_000])
 def test_percentiles_match_numpy(skewed, accuracy, window_rows):
     rows, df = skewed
     probs = {"p1": 0.01, "q1": 0.25, "mid": 0.5, "q3": 0.75, "top": 1.0}
@@ -55,7 +55,7 @@ def test_percentiles_of_small_groups(spark, n):
     assert [row["q1"], row["q2"], row["q3"]] == pytest.approx(list(np.percentile(values, [25, 50, 75])))
 
 
-@pytest.mark.parametrize("window_rows", [10, 200_000])
+@pytest.mark.parametrize("window_rows", [10, 1_000_000])
 def test_running_totals_by_group(skewed, window_rows):
     rows, df = skewed
     out = running_totals(df.filter("value is not null"), [("value", "desc"), "id"], {"cum": "value"}, ["key"], window_rows)
@@ -77,7 +77,7 @@ def test_running_totals_split_without_groups(skewed):
     assert all(r["rank"] == r["id"] + 1 for r in split.collect())
 
 
-@pytest.mark.parametrize("window_rows", [5, 200_000])
+@pytest.mark.parametrize("window_rows", [5, 1_000_000])
 def test_previous_value_across_ranges(spark, window_rows):
     values = [float(i * i) for i in range(400)]
     df = spark.createDataFrame([(v,) for v in values], "t double").repartition(5)
@@ -86,7 +86,7 @@ def test_previous_value_across_ranges(spark, window_rows):
     assert all(got[values[i]] == values[i - 1] for i in range(1, 400))
 
 
-@pytest.mark.parametrize("window_rows", [3, 200_000])
+@pytest.mark.parametrize("window_rows", [3, 1_000_000])
 def test_percentile_of_counts(spark, window_rows):
     counts = [(1.0, 3), (2.0, 1), (10.0, 4), (11.0, 2)]
     whole = [v for v, n in counts for _ in range(n)]
