@@ -7,6 +7,7 @@ criteria of the models compare with each other but not with an exact likelihood.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,7 +30,7 @@ def _criteria(sse: float, n: int, k: int) -> tuple[float, float]:
     return level + 2 * k, level + k * math.log(n)
 
 
-def _refine(loss, bounds: list[tuple[float, float]], points: int, rounds: int = 6) -> np.ndarray:
+def _refine(loss, bounds: list[tuple[float, float]], points: int, rounds: int = 6) -> tuple[float, ...]:
     """Minimise ``loss`` (vectorised over candidates) on grids that shrink around the best."""
     low, high = np.array(bounds, dtype=float).T
     best = (low + high) / 2
@@ -41,18 +42,20 @@ def _refine(loss, bounds: list[tuple[float, float]], points: int, rounds: int =
         best = grid[:, int(np.nanargmin(values))]
         step = (hi - lo) / (points - 1)
         lo, hi = np.maximum(low, best - 1.5 * step), np.minimum(high, best + 1.5 * step)
-    return best
+    return tuple(best)
 
 
-def unit_root(y: np.ndarray) -> tuple[float, float]:
+def unit_root(y: np.ndarray, max_lag: int | None = None) -> tuple[float, float]:
     """(t statistic, p-value) of the augmented unit-root test with a constant.
 
-    The number of lagged differences is chosen by AIC on a common sample.
+    The number of lagged differences, up to ``max_lag``, is chosen by AIC on a common
+    sample.
     """
     n = len(y)
     if n < 6 or np.ptp(y) == 0:
         return math.nan, 1.0
     most = max(0, min(int(math.ceil(12 * (n / 100) ** 0.25)), n // 2 - 2))
+    most = most if max_lag is None else min(most, max_lag)
     dy = np.diff(y)
 
     def regress(p: int, start: int):
@@ -77,8 +80,11 @@ def unit_root(y: np.ndarray) -> tuple[float, float]:
     return t, (1.0 if math.isnan(t) else unit_root_p(t))
 
 
-def arma(y: np.ndarray, d: int, periods: int) -> Fit:
-    """ARIMA(1,d,1) by conditional least squares; a constant only without differencing."""
+def arma(y: np.ndarray, d: int, periods: int, weights: Sequence[float] | None = None) -> Fit:
+    """ARIMA(1,d,1) by conditional least squares; a constant only without differencing.
+
+    ``weights`` gives (autoregressive, moving-average) instead of fitting them.
+    """
     z = np.diff(y, n=d) if d else y
     centre = float(z.mean()) if d == 0 else 0.0
     w = z - centre
@@ -91,7 +97,7 @@ def arma(y: np.ndarray, d: int, periods: int) -> Fit:
             total = total + e * e
         return total
 
-    phi, theta = _refine(loss, [(-0.99, 0.99), (-0.99, 0.99)], 21)
+    phi, theta = weights or _refine(loss, [(-0.99, 0.99), (-0.99, 0.99)], 21)
     e, sse = 0.0, 0.0
     for t in range(1, len(w)):
         e = w[t] - phi * w[t - 1] - theta * e
@@ -149,8 +155,8 @@ def seasonal_arx(y: np.ndarray, x: np.ndarray, d: int, season: int, future: np.n
     return Fit(steps, 1.96 * spread, *_criteria(sse, len(rows), design.shape[1] + 1))
 
 
-def holt_winters(y: np.ndarray, season: int, periods: int) -> Fit:
-    """Additive level, trend and season; smoothing weights by least squares."""
+def holt_winters(y: np.ndarray, season: int, periods: int, weights: Sequence[float] | None = None) -> Fit:
+    """Additive level, trend and season; smoothing weights given or by least squares."""
     n = len(y)
     if n < 2 * season:
         raise ValueError("needs two seasons")
@@ -176,7 +182,7 @@ def holt_winters(y: np.ndarray, season: int, periods: int) -> Fit:
             seasons[t % season] = gamma * (y[t] - level) + (1 - gamma) * s
         return total, level, trend, seasons
 
-    alpha, beta, gamma = _refine(lambda *p: run(*p)[0], [(0.0, 1.0)] * 3, 7)
+    alpha, beta, gamma = weights or _refine(lambda *p: run(*p)[0], [(0.0, 1.0)] * 3, 7)
     sse, level, trend, seasons = run(np.array(alpha), np.array(beta), np.array(gamma))
     h = np.arange(1, periods + 1)
     mean = float(level) + float(trend) * h + np.array([float(seasons[(n + k) % season]) for k in range(periods)])

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumbline.functions.columns import seconds
 from plumbline.functions.tails import correlation_p, student_p
-from plumbline.plans.running import running_totals
+from plumbline.plans.running import WINDOW_ROWS, running_totals
 from plumbline.plans.staging import checkpoint_parquet, join_on_group
 
 
@@ -26,25 +27,40 @@ def pearson(df: DataFrame, a: str, b: str, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def spearman(df: DataFrame, a: str, b: str, by: Sequence[str] = ()) -> DataFrame:
+def _window_rank(side: str, by: list[str]) -> Column:
+    """Average rank of a counted value within its group, by windows over the pairs."""
+    group = W.partitionBy(*(by or [F.lit(0)]))
+    reached = F.sum("_w").over(group.orderBy(side).rangeBetween(W.unboundedPreceding, W.currentRow))
+    return reached - (F.sum("_w").over(W.partitionBy(*by, side)) - 1) / 2
+
+
+def _joined_ranks(pairs: DataFrame, by: list[str], window_rows: int) -> DataFrame:
+    """The same ranks where a group is too large for one window: split running totals."""
+    for side in ("_a", "_b"):
+        values = pairs.groupBy(*by, side).agg(F.sum("_w").alias("_c"))
+        cum = running_totals(values, [side], {"_cum": "_c"}, by, window_rows)
+        middle = F.col("_cum") - (F.col("_c") - 1) / 2
+        ranks = checkpoint_parquet(cum.select(*by, side, middle.alias(f"_r{side}")))
+        pairs = join_on_group(pairs, ranks, [*by, side])
+    return pairs
+
+
+def spearman(df: DataFrame, a: str, b: str, by: Sequence[str] = (), window_rows: int = WINDOW_ROWS) -> DataFrame:
     """Rank correlation with average ranks for ties.
 
-    Rows are first folded to counted (a, b) pairs. Ranks come from running totals over
-    the counted values, which split a hot group over many tasks.
+    Rows are first folded to counted (a, b) pairs. Beyond ``window_rows`` pairs the ranks
+    come from running totals over the counted values, which split a hot group over many
+    tasks.
     """
     by = list(by)
     x, y = F.col(a).cast("double").alias("_a"), F.col(b).cast("double").alias("_b")
     pairs = df.select(*by, x, y).filter("_a is not null and _b is not null")
     pairs = checkpoint_parquet(pairs.groupBy(*by, "_a", "_b").agg(F.count("*").alias("_w")))
 
-    def ranks(side: str) -> DataFrame:
-        values = pairs.groupBy(*by, side).agg(F.sum("_w").alias("_c"))
-        cum = running_totals(values, [side], {"_cum": "_c"}, by)
-        middle = F.col("_cum") - (F.col("_c") - 1) / 2
-        return checkpoint_parquet(cum.select(*by, side, middle.alias(f"_r{side}")))
-
-    ranked = join_on_group(pairs, ranks("_a"), [*by, "_a"])
-    ranked = join_on_group(ranked, ranks("_b"), [*by, "_b"])
+    if pairs.count() <= window_rows:
+        ranked = pairs.withColumns({f"_r{side}": _window_rank(side, by) for side in ("_a", "_b")})
+    else:
+        ranked = _joined_ranks(pairs, by, window_rows)
     w, u, v = F.col("_w").cast("double"), F.col("_r_a"), F.col("_r_b")
     sums = ranked.groupBy(*by).agg(
         F.sum("_w").alias("n"),

@@ -5,7 +5,7 @@ A group handed to Python is one series: one row per bucket, never facts.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -31,26 +31,28 @@ def _schema(series: DataFrame, keys: Sequence[str], fields: str) -> T.StructType
     return T.StructType(own + list(T.StructType.fromDDL(fields).fields))
 
 
-def adf(series: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def adf(series: DataFrame, by: Sequence[str] = (), max_lag: int | None = None) -> DataFrame:
     """Unit-root test per key: statistic, p-value and the stationarity decision."""
     keyed, keys = _keyed(series, by)
     schema = _schema(keyed, keys, "n bigint, adf_statistic double, adf_p double, is_stationary boolean")
 
     def test(pdf: pd.DataFrame) -> pd.DataFrame:
         y = pdf.sort_values("bucket")["value"].to_numpy(dtype=float)
-        t, p = unit_root(y)
+        t, p = unit_root(y, max_lag)
         head = {k: [pdf[k].iloc[0]] for k in keys}
         return pd.DataFrame({**head, "n": [len(y)], "adf_statistic": [t], "adf_p": [p], "is_stationary": [p < 0.05]})
 
     return keyed.groupBy(*keys).applyInPandas(test, schema).drop("_all")
 
 
-def _attempt(name: str, y: np.ndarray, x: np.ndarray, d: int, season: int, periods: int, factor: float) -> Fit | None:
+def _attempt(
+    name: str, y: np.ndarray, x: np.ndarray, d: int, season: int, periods: int, factor: float, weights: Sequence[float] | None
+) -> Fit | None:
     try:
         if name == "arima":
-            return arma(y, d, periods)
+            return arma(y, d, periods, weights)
         if name == "ets":
-            return holt_winters(y, ETS_SEASON, periods)
+            return holt_winters(y, ETS_SEASON, periods, weights)
         if x.shape[1]:
             return seasonal_arx(y, x, d, season, np.tile(x[-1] * factor, (periods, 1)))
     except (ValueError, np.linalg.LinAlgError):
@@ -65,9 +67,14 @@ def fit_models(
     exog: Sequence[str] = (),
     models: Sequence[str] = MODELS,
     scenario: float | None = None,
+    weights: Mapping[str, Sequence[float]] | None = None,
+    difference: int | None = None,
 ) -> DataFrame:
     """Every model that could be fitted, one row per (key, model, step).
 
+    ``weights`` fixes the parameters of a model (arima: two, ets: three) instead of
+    fitting them; ``difference`` overrules the stationarity test.
+
     Outside columns keep their last value. With ``scenario`` a further model name,
     ``scenario``, carries the outside-regressor forecast with that value scaled.
     """
@@ -87,12 +94,14 @@ def fit_models(
         x = pdf[list(exog)].to_numpy(dtype=float).reshape(len(y), len(exog))
         _, p = unit_root(y)
         stationary = bool(p < 0.05)
+        order = difference if difference is not None else 0 if stationary else 1
         tries = [(name, name, 1.0) for name in models] + ([("scenario", "sarimax", scenario)] if scenario is not None else [])
         out = []
         for label, name, factor in tries:
             if len(y) < MIN_POINTS:
                 break
-            fit = _attempt(name, y, x, 0 if stationary else 1, int(pdf["seasonal_period"].iloc[0]), periods, factor)
+            season = int(pdf["seasonal_period"].iloc[0])
+            fit = _attempt(name, y, x, order, season, periods, factor, (weights or {}).get(name))
             if fit is None or not np.all(np.isfinite(fit.mean)):
                 continue
             out.append(
@@ -183,10 +192,23 @@ def summarize_forecast(steps: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def simulate(series: DataFrame, exog: str, delta_percent: float, periods: int = 12, by: Sequence[str] = ()) -> DataFrame:
-    """Forecast totals as things are and with ``exog`` changed, and the difference."""
+def simulate(
+    series: DataFrame,
+    exog: str,
+    delta_percent: float,
+    periods: int = 12,
+    by: Sequence[str] = (),
+    models: Sequence[str] = MODELS,
+    difference: int | None = None,
+) -> DataFrame:
+    """Forecast totals as things are and with ``exog`` changed, and the difference.
+
+    The baseline is the best of ``models``; the scenario is the outside-regressor model.
+    """
     by = list(by)
-    fits = checkpoint_parquet(fit_models(series, periods, by, [exog], scenario=1 + delta_percent / 100.0))
+    factor = 1 + delta_percent / 100.0
+    fits = fit_models(series, periods, by, [exog], models, factor, difference=difference)
+    fits = checkpoint_parquet(fits)
     keyed = W.partitionBy(*(by or [F.lit(0)])).orderBy("aic", "model")
     base = fits.filter("model <> 'scenario'").withColumn("_rank", F.dense_rank().over(keyed)).filter("_rank = 1")
     base = base.groupBy(*by).agg(F.sum("forecast").alias("baseline_total"), F.first("model").alias("baseline_model"))

@@ -104,3 +104,20 @@ def uniform_sql(key: str, seed: int = 0) -> str:
 
 def normal_sql(key: str, seed: int = 0) -> str:
     return f"(sqrt(-2e0 * ln({uniform_sql(key, seed)})) * cos(6.283185307179586e0 * {uniform_sql(key, seed + 1)}))"
+
+
+def student_p_sql(t: str, df: str) -> str:
+    """Two-sided Student tail by Simpson's rule on t = tan(u), 2000 slices; for any t."""
+    step = f"(atan(abs({t}) / sqrt({df})) / 2000)"
+    # With t = sqrt(df)·tan(u) the density becomes a power of the cosine.
+    weight = "CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END"
+    area = f"(SELECT sum({weight} * pow(cos(i * {step}), {df} - 1)) * {step} / 3 FROM range(2001) r(i))"
+    front = f"exp(lgamma(({df} + 1) / 2e0) - lgamma({df} / 2e0)) / sqrt(pi())"
+    return f"greatest(0e0, 1 - 2 * {front} * {area})"
+
+
+def normal_cdf_sql(z: str) -> str:
+    """Normal distribution function by Simpson's rule, 2000 slices."""
+    weight = "CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END"
+    area = f"(SELECT sum({weight} * exp(-pow(i * ({z}) / 2000, 2) / 2)) * ({z}) / 6000 FROM range(2001) r(i))"
+    return f"(0.5e0 + {area} / sqrt(2 * pi()))"

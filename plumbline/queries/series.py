@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.operators import forecast as FC
 from plumbline.operators import series as T
-from plumbline.queries.registry import SALES, query, register, rounded
+from plumbline.queries.registry import ORACLES, SALES, normal_cdf_sql, query, register, rounded
 from plumbline.sources.views import sales_view, table
 
 # Monthly sales per brand; whole tables, so every brand is a series of its own.
@@ -111,6 +111,150 @@ def forecast_grading(spark, folder):
     return rounded(out.select("brand", "forecast_total", "trend_direction", "model_confidence", "notes"), 6, forecast_total=4)
 
 
+# --- models with given weights, so that SQL can repeat the recursion ----------------------
+
+ROOT = """, d AS (SELECT brand, value - lag(value) OVER w AS dy, lag(value) OVER w AS y0, count(*) OVER (PARTITION BY brand) AS cnt FROM series
+  WINDOW w AS (PARTITION BY brand ORDER BY bucket)),
+f AS (SELECT brand, max(cnt) AS n, count(*) AS m, regr_slope(dy, y0) AS b, sqrt((1 - regr_r2(dy, y0)) * regr_syy(dy, y0) / (count(*) - 2) / regr_sxx(dy, y0)) AS se
+  FROM d WHERE y0 IS NOT NULL GROUP BY brand),
+t AS (SELECT brand, n, b / se AS t FROM f),
+z AS (SELECT *, CASE WHEN t <= -1.61 THEN 2.1659e0 + 1.4412e0 * t + 0.038269e0 * t * t
+  ELSE 1.7339e0 + 0.93202e0 * t - 0.12745e0 * t * t - 0.010368e0 * t * t * t END AS z FROM t)
+"""
+
+
+@query(
+    BUCKETS
+    + ROOT
+    + f"""SELECT brand, n, round(t, 6) AS adf_statistic, round(CASE WHEN t < -18.83 THEN 0e0 ELSE {normal_cdf_sql('greatest(z.z, -30e0)')} END, 6) AS adf_p,
+  CASE WHEN t < -18.83 THEN TRUE ELSE {normal_cdf_sql('greatest(z.z, -30e0)')} < 0.05 END AS is_stationary FROM z"""
+)
+def stationarity_without_lags(spark, folder):
+    return rounded(FC.adf(monthly(spark, folder), ["brand"], max_lag=0))
+
+
+WITH_SERIES = BUCKETS.replace("WITH sales", "WITH RECURSIVE sales", 1)
+
+
+def given(spark, folder, model: str, weights, difference: int):
+    fits = FC.fit_models(monthly(spark, folder), 12, ["brand"], models=[model], weights={model: weights}, difference=difference)
+    return fits.select("brand", "step", "forecast", "lower", "upper", "aic", "bic")
+
+
+@query(
+    WITH_SERIES
+    + """, w AS (SELECT brand, i, value - lag(value) OVER (PARTITION BY brand ORDER BY i) AS w, value FROM (
+  SELECT brand, value, row_number() OVER (PARTITION BY brand ORDER BY bucket) - 1 AS i FROM series)),
+e AS (SELECT brand, i, w, 0e0 AS e FROM w WHERE i = 1
+  UNION ALL SELECT n.brand, n.i, n.w, n.w - 0.5e0 * e.w - 0.2e0 * e.e FROM e JOIN w n ON n.brand = e.brand AND n.i = e.i + 1),
+s AS (SELECT brand, count(*) - 1 AS m, sum(e * e) AS sse, arg_max(w, i) AS w_last, arg_max(e, i) AS e_last FROM e GROUP BY brand),
+l AS (SELECT brand, arg_max(value, i) AS y_last FROM w GROUP BY brand),
+psi AS (SELECT k, 1 + 0.7e0 * (1 - pow(0.5e0, k)) / 0.5e0 AS psi FROM range(12) r(k)),
+f AS (SELECT s.brand, h.step, y_last + (0.5e0 * w_last + 0.2e0 * e_last) * (1 - pow(0.5e0, h.step)) / 0.5e0 AS mean,
+  1.96e0 * sqrt(sse / m * (SELECT sum(psi * psi) FROM psi WHERE k < h.step)) AS half, m * (ln(2 * pi() * sse / m) + 1) AS level, m
+  FROM s JOIN l USING (brand), range(1, 13) h(step))
+SELECT brand, CAST(step AS INT) AS step, round(mean, 4) AS forecast, round(mean - half, 4) AS lower, round(mean + half, 4) AS upper,
+  round(level + 6, 4) AS aic, round(level + 3 * ln(m), 4) AS bic FROM f"""
+)
+def forecast_arima_given(spark, folder):
+    return rounded(given(spark, folder, "arima", (0.5, 0.2), 1), 4)
+
+
+@query(
+    WITH_SERIES
+    + """, v AS (SELECT brand, list(value ORDER BY bucket) AS y FROM series GROUP BY brand HAVING count(*) >= 24),
+b AS (SELECT brand, y, len(y) AS n, list_avg(y[1:12]) AS a1, (list_avg(y[13:24]) - list_avg(y[1:12])) / 12 AS slope FROM v),
+r AS (SELECT brand, y, n, 0 AS t, a1 - slope * 13 / 2 AS level, slope AS trend,
+    list_transform(range(12), lambda k: y[k + 1] - (a1 + slope * (k - 5.5e0))) AS seasons, 0e0 AS sse FROM b
+  UNION ALL
+  SELECT brand, y, n, t + 1, nl, 0.1e0 * (nl - level) + 0.9e0 * trend,
+    list_transform(range(12), lambda k: CASE WHEN k = t % 12 THEN 0.2e0 * (y[t + 1] - nl) + 0.8e0 * seasons[k + 1] ELSE seasons[k + 1] END),
+    sse + pow(y[t + 1] - level - trend - seasons[t % 12 + 1], 2)
+  FROM (SELECT *, 0.3e0 * (y[t + 1] - seasons[t % 12 + 1]) + 0.7e0 * (level + trend) AS nl FROM r WHERE t < n)),
+last AS (SELECT * FROM r WHERE t = n),
+f AS (SELECT brand, h.step, level + trend * h.step + seasons[(n + h.step - 1) % 12 + 1] AS mean, n, n * (ln(2 * pi() * sse / n) + 1) AS base,
+  1.96e0 * sqrt(sse / n * (1 + coalesce((SELECT sum(pow(0.3e0 * (1 + 0.1e0 * k) + CASE WHEN k % 12 = 0 THEN 0.2e0 * 0.7e0 ELSE 0 END, 2)) FROM range(1, 12) q(k) WHERE k < h.step), 0))) AS half
+  FROM last, range(1, 13) h(step))
+SELECT brand, CAST(step AS INT) AS step, round(mean, 4) AS forecast, round(mean - half, 4) AS lower, round(mean + half, 4) AS upper,
+  round(base + 34, 4) AS aic, round(base + 17 * ln(n), 4) AS bic FROM f"""
+)
+def forecast_ets_given(spark, folder):
+    return rounded(given(spark, folder, "ets", (0.3, 0.1, 0.2), 0), 4)
+
+
+ARIMA_GIVEN, ETS_GIVEN = ORACLES["forecast_arima_given"], ORACLES["forecast_ets_given"]
+
+
+@query(
+    f"""SELECT brand, model, step, forecast, aic FROM (
+  SELECT *, rank() OVER (PARTITION BY brand ORDER BY aic, model) AS place FROM (
+    SELECT 'arima' AS model, * FROM ({ARIMA_GIVEN}) UNION ALL BY NAME SELECT 'ets' AS model, * FROM ({ETS_GIVEN})))
+WHERE place = 1"""
+)
+def forecast_lowest_aic(spark, folder):
+    weights = {"arima": (0.5, 0.2), "ets": (0.3, 0.1, 0.2)}
+    fits = FC.fit_models(monthly(spark, folder), 12, ["brand"], models=list(weights), weights=weights, difference=1)
+    return rounded(FC.best_model(fits, ["brand"]).select("brand", "model", "step", "forecast", "aic"), 4)
+
+
+def _determinant(columns: list[list[str]]) -> str:
+    (a, b, c), (d, e, f), (g, h, i) = columns
+    return f"({a} * ({e} * {i} - {f} * {h}) - {d} * ({b} * {i} - {c} * {h}) + {g} * ({b} * {f} - {c} * {e}))"
+
+
+def _outside_sql() -> str:
+    """Least squares of z on its last value, its value a year back and the change in cost.
+
+    z is the first difference; three unknowns by Cramer's rule.
+    """
+    names = ["p", "q", "x"]
+    normal = {(a, b): f"s_{min(a, b)}{max(a, b)}" for a in names for b in names}
+    right = [f"s_{a}z" for a in names]
+    columns = [[normal[(r, c)] for r in names] for c in names]
+    solved = ", ".join(
+        f"{_determinant([right if k == j else columns[k] for k in range(3)])} / {_determinant(columns)} AS b{j + 1}" for j in range(3)
+    )
+    pairs = [("p", "p"), ("p", "q"), ("p", "x"), ("q", "q"), ("q", "x"), ("x", "x"), ("p", "z"), ("q", "z"), ("x", "z")]
+    sums = ", ".join(f"sum({a} * {b}) AS s_{a}{b}" for a, b in pairs)
+    return (
+        WITH_SERIES
+        + f""", z AS (SELECT brand, i, value, cost, value - lag(value) OVER w AS z, cost - lag(cost) OVER w AS x FROM (
+  SELECT *, row_number() OVER (PARTITION BY brand ORDER BY bucket) - 1 AS i FROM series) WINDOW w AS (PARTITION BY brand ORDER BY i)),
+d AS (SELECT *, lag(z) OVER w AS p, lag(z, 12) OVER w AS q FROM z WHERE z IS NOT NULL WINDOW w AS (PARTITION BY brand ORDER BY i)),
+s AS (SELECT brand, {sums}, count(*) AS m, sum(z * z) AS s_zz FROM d WHERE q IS NOT NULL GROUP BY brand),
+b AS (SELECT *, {solved} FROM s),
+l AS (SELECT brand, list(z ORDER BY i) AS path, arg_max(value, i) AS y_last, arg_max(cost, i) AS x_last FROM z WHERE z IS NOT NULL GROUP BY brand),
+r AS (SELECT brand, factor, 0 AS h, path, y_last AS y, (factor - 1) * x_last AS jump, b1, b2, b3 FROM l JOIN b USING (brand), (VALUES (1e0), (1.2e0)) v(factor)
+  UNION ALL SELECT brand, factor, h + 1, list_append(path, nz), y + nz, 0e0, b1, b2, b3
+  FROM (SELECT *, b1 * path[len(path)] + b2 * path[len(path) - 11] + b3 * jump AS nz FROM r WHERE h < 12))
+"""
+    )
+
+
+OUTSIDE = _outside_sql()
+
+
+@query(
+    OUTSIDE
+    + """, a AS (SELECT brand, m * (ln(2 * pi() * (s_zz - b1 * s_pz - b2 * s_qz - b3 * s_xz) / m) + 1) + 8 AS aic FROM b)
+SELECT brand, CAST(h AS INT) AS step, round(y, 2) AS forecast, round(aic, 4) AS aic FROM r JOIN a USING (brand) WHERE h > 0 AND factor = 1"""
+)
+def forecast_with_cost_differenced(spark, folder):
+    fits = FC.fit_models(monthly(spark, folder, ["cost"]), 12, ["brand"], ["cost"], ["sarimax"], difference=1)
+    return rounded(fits.select("brand", "step", "forecast", "aic"), 4, forecast=2)
+
+
+@query(
+    OUTSIDE
+    + """, t AS (SELECT brand, sum(y) FILTER (factor = 1) AS base, sum(y) FILTER (factor > 1) AS changed FROM r WHERE h > 0 GROUP BY brand)
+SELECT brand, 'sarimax' AS baseline_model, round(base, 2) AS baseline_total, round(changed, 2) AS scenario_total, 20e0 AS delta_percent,
+  round(changed - base, 2) AS impact_absolute, round((changed - base) / nullif(base, 0) * 100, 2) AS impact_percent FROM t"""
+)
+def scenario_impact_differenced(spark, folder):
+    series = monthly(spark, folder, ["cost"])
+    return rounded(FC.simulate(series, "cost", 20.0, 12, ["brand"], ["sarimax"], 1), 2)
+
+
 # --- fitted models: no SQL form, checked on planted signals in the tests -----------------
 
 

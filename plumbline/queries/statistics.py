@@ -8,7 +8,7 @@ from plumbline.operators import anomaly as N
 from plumbline.operators import association as C
 from plumbline.operators import causal as K
 from plumbline.operators import validate as V
-from plumbline.queries.registry import SALES, hash_sql, normal_sql, query, register, rounded
+from plumbline.queries.registry import SALES, hash_sql, normal_sql, query, register, rounded, student_p_sql
 from plumbline.sources.views import sales_view, table
 
 ROW_KEY = "l_orderkey * 8 + l_linenumber"
@@ -205,22 +205,29 @@ def spearman_all(spark, folder):
     return rounded(C.spearman(sales_view(spark, folder, "sales", "inventory"), "sales", "inventory"), 9)
 
 
+@query(
+    SALES
+    + f""", c AS (SELECT brand, count(*) AS n, corr(sales, our_position) AS r FROM sales GROUP BY brand),
+t AS (SELECT *, r * sqrt((n - 2) / (1 - r * r)) AS t, n - 2 AS df FROM c)
+SELECT brand, n, round(r, 9) AS pearson, round({student_p_sql('t.t', 't.df')}, 6) AS pearson_p, {READING},
+  {student_p_sql('t.t', 't.df')} < 0.05 AS is_significant FROM t"""
+)
 def association_with_p(spark, folder):
-    return rounded(C.association(sales_view(spark, folder, "brand", "sales", "cost"), "sales", "cost", ["brand"]), 9)
-
-
-register("association_with_p", association_with_p)
+    view = sales_view(spark, folder, "brand", "sales", "our_position")
+    out = C.association(view, "sales", "our_position", ["brand"])
+    return rounded(out.drop("spearman", "spearman_p"), 6, pearson=9)
 
 
 @query(
     SALES
-    + """, p AS (SELECT brand, sales AS y, epoch(date) / 86400e0 AS x FROM sales),
-f AS (SELECT brand, count(*) AS n, regr_slope(y, x) AS slope, regr_r2(y, x) AS r2, regr_sxx(y, x) AS sxx, regr_syy(y, x) AS syy FROM p GROUP BY brand)
-SELECT brand, n, round(slope, 6) AS slope, round(r2, 6) AS r_squared, round(sqrt((1 - r2) * syy / (n - 2) / sxx), 6) AS standard_error FROM f"""
+    + f""", p AS (SELECT brand, sales AS y, epoch(date) / 86400e0 AS x FROM sales),
+f AS (SELECT brand, count(*) AS n, regr_slope(y, x) AS slope, regr_r2(y, x) AS r2, regr_sxx(y, x) AS sxx, regr_syy(y, x) AS syy FROM p GROUP BY brand),
+e AS (SELECT *, sqrt((1 - r2) * syy / (n - 2) / sxx) AS se FROM f)
+SELECT brand, n, round(slope, 6) AS slope, round(r2, 6) AS r_squared, round(se, 6) AS standard_error,
+  round({student_p_sql('e.slope / e.se', '(e.n - 2)')}, 6) AS p_value FROM e"""
 )
 def linear_trend_by_brand(spark, folder):
-    out = C.linear_trend(sales_view(spark, folder, "brand", "date", "sales"), "sales", "date", ["brand"])
-    return rounded(out.drop("p_value"))
+    return rounded(C.linear_trend(sales_view(spark, folder, "brand", "date", "sales"), "sales", "date", ["brand"]))
 
 
 # --- adjusted effects ---------------------------------------------------------------------

@@ -197,6 +197,15 @@ def test_association_reads_strength(spark):
     assert two["pearson_p"] is None and not two["is_significant"]
 
 
+@pytest.mark.parametrize("window_rows", [7, 1_000_000])
+def test_rank_correlation_with_ties_and_split_groups(spark, window_rows):
+    rng = np.random.default_rng(6)
+    frame = pd.DataFrame({"g": rng.choice(["hot", "hot", "hot", "b"], 800), "a": rng.integers(0, 12, 800), "b": rng.normal(size=800).round(1)})
+    got = {r["g"]: r["spearman"] for r in C.spearman(spark.createDataFrame(frame), "a", "b", ["g"], window_rows).collect()}
+    for key, part in frame.groupby("g"):
+        assert got[key] == pytest.approx(part["a"].rank().corr(part["b"].rank()))
+
+
 def test_linear_trend_p_value(spark):
     df = spark.sql("select timestamp'2024-01-01' + make_dt_interval(cast(id as int)) as t, cast(id as double) * 2 + (id % 3) as y from range(30)")
     r = C.linear_trend(df, "y", "t").first()
