@@ -8,12 +8,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.functions.columns import is_numeric, safe_div, transform
 from plumbline.operators.spec import GRAINS, MetricSpec
 from plumbline.plans.staging import broadcast_if_small, checkpoint_parquet
 
 SIGNIFICANT_ROWS = 30
+MAX_NULL_SHARE = 0.7
 
 
 # --- rows ----------------------------------------------------------------------------
@@ -69,16 +71,24 @@ def calendar_flags(df: DataFrame, time: str) -> DataFrame:
     )
 
 
+def _numeric(schema: T.StructType, spec: MetricSpec) -> bool:
+    return all(is_numeric(schema[c].dataType) for c in spec.columns)
+
+
+def eligible(schema: T.StructType, spec: MetricSpec, null_share: float) -> bool:
+    """Are both columns numeric and is the numerator at most 70 % null?"""
+    return _numeric(schema, spec) and null_share <= MAX_NULL_SHARE
+
+
 def check_metric_columns(df: DataFrame, spec: MetricSpec) -> DataFrame:
-    """One row: are both columns numeric and is the numerator at most 70 % null?"""
-    types = dict((f.name, f.dataType) for f in df.schema.fields)
-    numeric = all(is_numeric(types[c]) for c in spec.columns)
+    """The same test as one row, with the null share measured."""
     null_share = 1 - safe_div(F.count(spec.numerator), F.count("*"))
+    numeric = F.lit(_numeric(df.schema, spec))
     return df.agg(null_share.alias("null_share")).select(
         F.lit(spec.name).alias("metric"),
-        F.lit(numeric).alias("numeric"),
+        numeric.alias("numeric"),
         "null_share",
-        (F.lit(numeric) & (F.col("null_share") <= 0.7)).alias("eligible"),
+        (numeric & (F.col("null_share") <= MAX_NULL_SHARE)).alias("eligible"),
     )
 
 

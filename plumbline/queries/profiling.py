@@ -35,7 +35,7 @@ PLANTED_NUMBERS = [c for c in PLANTED if c not in ("ts", "event_type")]
 
 
 def planted(spark, folder):
-    return table(spark, folder, "events").select(*[F.expr(e).alias(c) for c, e in PLANTED.items()])
+    return table(spark, folder, "events", deal="event_id").select(*[F.expr(e).alias(c) for c, e in PLANTED.items()])
 
 
 def per_column(columns, text: str, source: str = "planted") -> str:
@@ -122,7 +122,7 @@ LINE_COLUMNS = (
 
 @query(per_column(LINE_COLUMNS, f"{UNIQUE} AS unique_count", "lineitem"))
 def distinct_counts(spark, folder):
-    return measures.distinct_counts(table(spark, folder, "lineitem"))
+    return measures.distinct_counts(table(spark, folder, "lineitem", deal="l_orderkey"))
 
 
 # --- rules over the measures of a table, in SQL ----------------------------------------
@@ -267,6 +267,10 @@ FUNNEL_KINDS = {
 # The names whose similarity to a known pattern is 0.7 or more.
 FUNNEL_SIMILAR = {"impressions": "funnel", "conversions": "funnel"}
 
+def all_sales(spark, folder):
+    return sales_view(spark, folder, deal=True)
+
+
 SALES_RULES = SALES + rules_sql(SALES_KINDS, "sales")
 PLANTED_RULES = PLANTED_SQL + rules_sql(PLANTED_KINDS, "planted")
 FUNNEL_RULES = FUNNEL + rules_sql(FUNNEL_KINDS, "funnel", FUNNEL_SIMILAR)
@@ -286,7 +290,7 @@ def distribution_types(spark, folder):
 
 @query(SALES_RULES + "SELECT column_name, stype AS statistical_type, unique_count, round(unique_ratio, 6) AS unique_ratio FROM p")
 def statistical_types(spark, folder):
-    typed = P.statistical_type(measures.column_measures(sales_view(spark, folder)))
+    typed = P.statistical_type(measures.column_measures(sales_view(spark, folder, deal=True)))
     return rounded(typed.select("column_name", "statistical_type", "unique_count", "unique_ratio"))
 
 
@@ -298,7 +302,7 @@ def _roles(name: str, load, sql: str) -> None:
     register(name, run, sql + "SELECT column_name, role AS semantic_guess, confidence FROM p")
 
 
-_roles("semantic_roles_sales", sales_view, SALES_RULES)
+_roles("semantic_roles_sales", all_sales, SALES_RULES)
 _roles("semantic_roles_funnel", funnel_view, FUNNEL_RULES)
 _roles("semantic_roles_planted", planted, PLANTED_RULES)
 
@@ -315,7 +319,7 @@ def _profile(name: str, load, sql: str) -> None:
     register(name, run, sql + PROFILE_SQL)
 
 
-_profile("profile_sales", sales_view, SALES_RULES)
+_profile("profile_sales", all_sales, SALES_RULES)
 _profile("profile_funnel", funnel_view, FUNNEL_RULES)
 _profile("profile_planted", planted, PLANTED_RULES)
 
@@ -351,7 +355,7 @@ def profile_warnings(spark, folder):
 UNION ALL SELECT 'type', stype, count(*) FROM p GROUP BY stype"""
 )
 def profile_summary(spark, folder):
-    return P.profile_summary(P.profile_columns(sales_view(spark, folder)))
+    return P.profile_summary(P.profile_columns(sales_view(spark, folder, deal=True)))
 
 
 def _pair_sql(label: str, a: str, b: str, factor: str) -> str:
@@ -378,7 +382,7 @@ UNION ALL """
     )
 )
 def relationship_candidates(spark, folder):
-    return rounded(P.candidate_relationships(P.profile_columns(sales_view(spark, folder))))
+    return rounded(P.candidate_relationships(P.profile_columns(sales_view(spark, folder, deal=True))))
 
 
 @query(
@@ -401,7 +405,7 @@ SELECT column_name, round(least(1, score * CASE WHEN null_percentage > 70 THEN 0
 FROM b ORDER BY density DESC, position LIMIT 20"""
 )
 def column_ranking(spark, folder):
-    return rounded(P.rank_columns(P.profile_columns(sales_view(spark, folder))))
+    return rounded(P.rank_columns(P.profile_columns(sales_view(spark, folder, deal=True))))
 
 
 @query(
@@ -411,7 +415,7 @@ def column_ranking(spark, folder):
 FROM (SELECT *, stype IN ('numeric', 'identifier') AND mean IS NOT NULL AS num FROM p)"""
 )
 def column_metadata(spark, folder):
-    meta = P.column_metadata(P.profile_columns(sales_view(spark, folder))).drop("data_type")
+    meta = P.column_metadata(P.profile_columns(sales_view(spark, folder, deal=True))).drop("data_type")
     return rounded(meta, 4, mean=6)
 
 
@@ -425,7 +429,7 @@ def diverse_sample(spark, folder):
 
 
 def sample_values(spark, folder):
-    texts = P.sample_values(sales_view(spark, folder))
+    texts = P.sample_values(sales_view(spark, folder, deal=True))
     return texts.select("column_name", F.size("sample_values").cast("long").alias("samples"))
 
 
@@ -464,7 +468,7 @@ def key_uniqueness_with_nulls(spark, folder):
 SELECT column_name, CAST(tier AS INT) AS tier, CAST(position AS INT) AS position FROM k WHERE tier IS NOT NULL ORDER BY tier, position LIMIT 10"""
 )
 def key_candidates(spark, folder):
-    return G.key_candidates(P.profile_columns(sales_view(spark, folder)))
+    return G.key_candidates(P.profile_columns(sales_view(spark, folder, deal=True)))
 
 
 def _keys_sql(source: str, time: str, dims: list[str]) -> str:

@@ -5,9 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.sources.tables import deal_out
 
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+
+def table(spark: SparkSession, folder: str, name: str, deal: str | None = None) -> DataFrame:
+    """A stored table; ``deal`` names a key by which a small one is spread over all cores
+    for work that is heavy per row."""
+    scan = spark.read.parquet(f"{folder}/{name}.parquet")
+    return deal_out(scan, deal) if deal else scan
 
 
 # Columns of the sales view, the tables each one needs besides lineitem, and how it is made.
@@ -35,7 +40,7 @@ JOIN_KEYS = {
 }
 
 
-def sales_view(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+def sales_view(spark: SparkSession, folder: str, *columns: str, deal: bool = False) -> DataFrame:
     """One row per line item with the named columns (all of them by default).
 
     Only the tables those columns need are joined; every line item has its part, order,
@@ -45,7 +50,7 @@ def sales_view(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
     """
     wanted = columns or tuple(SALES_COLUMNS)
     needed = {t for c in wanted for t in SALES_COLUMNS[c][0]}
-    facts = table(spark, folder, "lineitem")
+    facts = table(spark, folder, "lineitem", "l_orderkey" if deal else None)
     for name, (left, right) in JOIN_KEYS.items():
         if name in needed:
             side = table(spark, folder, name)
