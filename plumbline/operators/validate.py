@@ -106,7 +106,8 @@ def label_confidence(validated: DataFrame) -> DataFrame:
     return validated.withColumn("confidence_label", F.when(c >= 0.75, "high").when(c >= 0.4, "medium").otherwise("low"))
 
 
-def _level(column: str, levels: dict[str, int]) -> Column:
+def level(column: str, levels: dict[str, int]) -> Column:
+    """A label column as a number to sort by."""
     out = F.lit(0)
     for name, value in levels.items():
         out = F.when(F.col(column) == name, value).otherwise(out)
@@ -115,7 +116,7 @@ def _level(column: str, levels: dict[str, int]) -> Column:
 
 def rank_results(labelled: DataFrame, *ties: str) -> DataFrame:
     """Best label first, then best verdict, then the named columns."""
-    return labelled.orderBy(_level("confidence_label", LABELS).desc(), _level("verdict", VERDICTS).desc(), *ties)
+    return labelled.orderBy(level("confidence_label", LABELS).desc(), level("verdict", VERDICTS).desc(), *ties)
 
 
 def key_evidence(results: DataFrame, limit: int = 4) -> DataFrame:
@@ -152,7 +153,7 @@ def summarize_results(labelled: DataFrame, lens: str = "lens", per_lens: int = 3
         F.count_if(F.col("confidence_label") == "high").alias("high_results"),
         F.count_if(F.col("confidence_label") == "medium").alias("medium_results"),
     )
-    w = W.partitionBy(lens).orderBy(_level("confidence_label", LABELS).desc(), tie)
+    w = W.partitionBy(lens).orderBy(level("confidence_label", LABELS).desc(), tie)
     top = kept.withColumn("rank_in_lens", F.row_number().over(w)).filter(F.col("rank_in_lens") <= per_lens)
     return top.crossJoin(F.broadcast(counts)).drop("_total")
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline import fixed_values as V
@@ -306,6 +309,22 @@ _roles("semantic_roles_sales", all_sales, SALES_RULES)
 _roles("semantic_roles_funnel", funnel_view, FUNNEL_RULES)
 _roles("semantic_roles_planted", planted, PLANTED_RULES)
 
+@query(
+    " UNION ALL ".join(
+        f"SELECT '{name}' AS table_name, column_name, role AS semantic_guess, confidence FROM ({rules}SELECT * FROM p)"
+        for name, rules in (("sales", SALES_RULES), ("funnel", FUNNEL_RULES), ("planted", PLANTED_RULES))
+    )
+)
+def semantic_roles_of_many_tables(spark, folder):
+    """One frame of profile rows; neighbours are looked for within each table."""
+    frames = (("sales", all_sales), ("funnel", funnel_view), ("planted", planted))
+    typed = [
+        P.statistical_type(measures.column_measures(load(spark, folder))).withColumn("table_name", F.lit(name)) for name, load in frames
+    ]
+    rows = reduce(DataFrame.unionByName, typed)
+    return P.semantic_roles(rows, ["table_name"]).select("table_name", "column_name", "semantic_guess", "confidence")
+
+
 PROFILE_SQL = """SELECT CAST(position AS INT) AS position, column_name, stype AS statistical_type, role AS semantic_guess, confidence, unique_count,
    round(unique_ratio, 6) AS unique_ratio, stype = 'identifier' AS is_identifier, is_ordinal, dist = 'sparse' AND reason <> 'not confirmed' AS sparsity_validated,
    CASE WHEN dist = 'sparse' THEN reason END AS sparsity_reason, dist AS distribution_type, round(null_percentage, 6) AS null_percentage,

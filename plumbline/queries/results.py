@@ -126,7 +126,7 @@ for _kind in ("correlation", "trend", "anomaly", "causal", "forecast"):
 def ranked_results(spark, folder):
     """The best hundred results: ordering checked through their places."""
     top = V.rank_results(graded(spark, folder), "spec_id").limit(100).select("spec_id", "confidence_label", "verdict")
-    by_rank = V._level("confidence_label", V.LABELS).desc(), V._level("verdict", V.VERDICTS).desc(), F.col("spec_id")
+    by_rank = V.level("confidence_label", V.LABELS).desc(), V.level("verdict", V.VERDICTS).desc(), F.col("spec_id")
     return top.withColumn("place", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(*by_rank)).cast("long"))
 
 

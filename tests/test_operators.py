@@ -105,6 +105,12 @@ def test_distinct_counts_null_and_zero(spark):
     assert got == {"d": 2, "s": 3, "f": 2}
 
 
+def test_approximate_counts_are_close(spark):
+    df = spark.range(20_000).select("id", F.when(F.col("id") % 3 > 0, F.col("id") % 50).alias("few"))
+    got = {r["column_name"]: r["unique_count"] for r in measures.distinct_counts(df, approximate=True).collect()}
+    assert got["id"] == pytest.approx(20_000, rel=0.05) and got["few"] == pytest.approx(51, abs=2)
+
+
 @pytest.mark.parametrize(
     "values, confidence",
     [

@@ -15,8 +15,11 @@ def duck(folder):
     return con
 
 
-# Kept small on purpose: tools/check_oracle.py compares all queries at any scale.
-SAMPLE = [n for n in QUERIES if n in ORACLES and not n.endswith("_rows")]
+# One of each kind here; tools/check_oracle.py compares all queries at any scale.
+SKIPPED = ("derived_", "formula_", "semantic_roles_", "metric_over_time_", "validate_", "profile_")
+KEPT = {"derived_margin", "derived_ctr_rows", "formula_share_of_group", "formula_growth", "metric_over_time_weekly"}
+KEPT |= {"semantic_roles_of_many_tables", "validate_correlation", "validate_causal", "profile_planted"}
+SAMPLE = [n for n in QUERIES if n in ORACLES and (n in KEPT or not n.startswith(SKIPPED))]
 
 
 @pytest.mark.parametrize("name", SAMPLE)
