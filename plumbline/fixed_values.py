@@ -18,6 +18,9 @@ DATE_FORMATS = [
 # Characters removed before a text is read as a number.
 NUMERIC_NOISE = r"[$£€₹,%\s]"
 
+# What a number looks like once the noise is gone.
+NUMERIC_SHAPE = r"^[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:inf|infinity|nan))$"
+
 # A column is cast when at least this share of its texts parses.
 CAST_RATE = 0.7
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.fixed_values import CAST_RATE, DATE_FORMATS, DATE_NAME_PARTS, NUMERIC_NOISE
+from plumbline.fixed_values import CAST_RATE, DATE_FORMATS, DATE_NAME_PARTS, NUMERIC_NOISE, NUMERIC_SHAPE
 
 
 def read_csv_strings(spark: SparkSession, path: str) -> DataFrame:
@@ -39,9 +39,13 @@ def normalize_headers(df: DataFrame, unicode: bool = False) -> DataFrame:
 
 
 def clean_numeric(column: Column | str) -> Column:
-    """Text to double after removing currency signs, separators, % and blanks."""
+    """Text to double after removing currency signs, separators, % and blanks.
+
+    The shape test spares the parser (and its exceptions) on texts that are no numbers.
+    """
     c = F.col(column) if isinstance(column, str) else column
-    return F.regexp_replace(F.trim(c), NUMERIC_NOISE, "").try_cast("double")
+    bare = F.regexp_replace(F.trim(c), NUMERIC_NOISE, "")
+    return F.when(bare.rlike(NUMERIC_SHAPE), bare.try_cast("double"))
 
 
 def parse_date(column: Column, pattern: str | None, shape: str) -> Column:
@@ -51,6 +55,11 @@ def parse_date(column: Column, pattern: str | None, shape: str) -> Column:
     return F.when(column.rlike(shape), parsed)
 
 
+def separator(pattern: str | None) -> str:
+    """The character between the parts of a date format."""
+    return "-" if pattern is None else next(c for c in pattern if c in "-/ ")
+
+
 @dataclass(frozen=True)
 class CastResult:
     """Typed table and one log row per column."""
@@ -82,12 +91,18 @@ def infer_and_cast(df: DataFrame, threshold: float = CAST_RATE) -> CastResult:
     One aggregate measures every column and format; one projection applies the result.
     """
     texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-    # Unpivoted, so that nine aggregates serve any number of columns.
+    # Unpivoted, so that nine aggregates serve any number of columns. The separator after
+    # the first digits is found once and rules out most formats before their own test.
     cells = F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"`{name}`").alias("text")) for i, name in enumerate(texts)])
-    measured = df.select(F.inline(cells)).filter("text is not null").groupBy("i").agg(
+    texts_long = df.select(F.inline(cells)).filter("text is not null")
+    texts_long = texts_long.withColumn("sep", F.regexp_extract("text", r"^\d{1,4}([-/ ])", 1))
+    measured = texts_long.groupBy("i").agg(
         F.count("*").alias("present"),
         F.count(clean_numeric("text")).alias("numbers"),
-        *[F.count(parse_date(F.col("text"), pattern, shape)).alias(f"d{j}") for j, (_, pattern, shape) in enumerate(DATE_FORMATS)],
+        *[
+            F.count(F.when(F.col("sep") == separator(pattern), parse_date(F.col("text"), pattern, shape))).alias(f"d{j}")
+            for j, (_, pattern, shape) in enumerate(DATE_FORMATS)
+        ],
     )
     # One row per text column.
     counts = {row["i"]: row for row in measured.collect()} if texts else {}

@@ -55,6 +55,14 @@ def test_cast_decisions(spark, texts, decision, label):
     assert (log["decision"], log["format"]) == (decision, label)
 
 
+@pytest.mark.parametrize(
+    "text, number",
+    [("$1,234.50", 1234.5), (" -7 % ", -7.0), ("1e3", 1000.0), (".5", 0.5), ("5.", 5.0), ("+3", 3.0), ("12d", None), ("1-2", None), ("", None), ("n/a", None)],
+)
+def test_numeric_texts(spark, text, number):
+    assert spark.createDataFrame([(text,)], "t string").select(S.clean_numeric("t")).first()[0] == number
+
+
 def test_ragged_lines_are_cut(spark, tmp_path):
     path = tmp_path / "ragged.csv"
     path.write_text("a,b\n1,2\n3,4,5\n6\n")
