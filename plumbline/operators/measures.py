@@ -129,7 +129,8 @@ def medians(df: DataFrame) -> DataFrame:
         return df.sparkSession.createDataFrame([], "column_name string, median double")
     cells = [F.struct(F.lit(c).alias("column_name"), _quoted(c).cast("double").alias("number")) for c in numeric]
     long = df.select(F.inline(F.array(*cells)))
-    return exact_percentiles(long, "number", {"median": 0.5}, ["column_name"]).select("column_name", "median")
+    halves = exact_percentiles(long, "number", {"median": 0.5}, ["column_name"], small_group=None)
+    return halves.select("column_name", "median")
 
 
 def basic_stats(df: DataFrame) -> DataFrame:

@@ -30,16 +30,17 @@ def exact_percentiles(
     by: Sequence[str] = (),
     accuracy: int = 10_000,
     window_rows: int = WINDOW_ROWS,
-    small_group: int = SMALL_GROUP,
+    small_group: int | None = SMALL_GROUP,
 ) -> DataFrame:
     """One row per group: ``n`` non-null values and one column per entry of ``probs``.
 
     Groups are counted first. Small ones use the built-in percentile, whose map is then
-    bounded; only large ones are bracketed.
+    bounded; only large ones are bracketed. ``small_group=None`` brackets all of them
+    without counting, for callers whose groups are few.
     """
     by = list(by)
     facts = df.select(*by, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    if not by:
+    if not by or small_group is None:
         return _bracketed(facts, probs, by, accuracy, window_rows)
     sizes = checkpoint_parquet(facts.groupBy(*by).agg(F.count("*").alias("_n")))
     total, large = sizes.count(), sizes.filter(F.col("_n") > small_group).select(*by)

@@ -19,6 +19,8 @@ from plumbline.plans.staging import checkpoint_parquet, join_on_group
 # Up to this many rows one task may hold a group; more rows are split by range.
 WINDOW_ROWS = 1_000_000
 ROWS_PER_RANGE = 500_000
+# More shuffle partitions than this cost more than the larger ranges they would save.
+MAX_RANGES = 20_000
 
 
 def _order(spec: str | tuple[str, str]) -> Column:
@@ -28,7 +30,7 @@ def _order(spec: str | tuple[str, str]) -> Column:
 
 def _ranges(df: DataFrame, rows: int, by: Sequence[str], order: list[Column]) -> DataFrame:
     """Rows with a range number in ``_pid`` that is fixed once written."""
-    parts = max(2, -(-rows // ROWS_PER_RANGE))
+    parts = min(MAX_RANGES, max(2, -(-rows // ROWS_PER_RANGE)))
     keys = [F.col(c).asc_nulls_first() for c in by] + order
     ranged = df.repartitionByRange(parts, *keys).withColumn("_pid", F.spark_partition_id())
     return checkpoint_parquet(ranged)

@@ -38,7 +38,8 @@ def by_key(rows):
 def test_percentiles_match_numpy(skewed, accuracy, window_rows):
     rows, df = skewed
     probs = {"p1": 0.01, "q1": 0.25, "mid": 0.5, "q3": 0.75, "top": 1.0}
-    got = {r["key"]: r for r in exact_percentiles(df, "value", probs, ["key"], accuracy, window_rows).collect()}
+    small = {50: 100, 10_000: None}[accuracy]
+    got = {r["key"]: r for r in exact_percentiles(df, "value", probs, ["key"], accuracy, window_rows, small).collect()}
     expected = by_key(rows)
     assert set(got) == set(expected)
     for key, values in expected.items():
@@ -47,6 +48,13 @@ def test_percentiles_match_numpy(skewed, accuracy, window_rows):
             assert got[key][name] == pytest.approx(np.percentile(values, 100 * p)), (key, name)
 
 
+def test_large_and_small_groups_meet_in_one_result(skewed):
+    rows, df = skewed
+    # "hot" is bracketed, the others are counted directly.
+    got = {r["key"]: r["mid"] for r in exact_percentiles(df, "value", {"mid": 0.5}, ["key"], small_group=1500).collect()}
+    assert got == {key: pytest.approx(np.percentile(values, 50)) for key, values in by_key(rows).items()}
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 5, 30, 199, 201, 450])
 def test_percentiles_of_small_groups(spark, n):
     values = [float((i * 37) % 101) + i / 7 for i in range(n)]
