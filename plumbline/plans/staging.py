@@ -7,7 +7,6 @@ partition number) is fixed for all later readers.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,20 +17,11 @@ BROADCAST_ROWS = 200_000
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """Shared folder named by ``spark.checkpoint.dir``.
-
-    Only a local session without the setting gets a folder of its own.
-    """
+    """Shared folder named by ``spark.checkpoint.dir``; nothing is staged without one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    root = spark.conf.get("spark.plumbline.localStagingDir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="plumbline-")
-        spark.conf.set("spark.plumbline.localStagingDir", root)
-    return root
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return root.rstrip("/")
 
 
 def new_path(spark: SparkSession, label: str) -> str:

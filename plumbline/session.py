@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import shutil
 import tempfile
 from pathlib import Path
@@ -29,8 +30,21 @@ def local_session(cores: int | str = "*", memory: str = "8g", shuffle_partitions
     )
 
 
+def _local_staging(spark: SparkSession) -> None:
+    """Name a staging folder for a session in one process that has none; it goes at exit."""
+    if spark.sparkContext.master.startswith("local[") and not spark.conf.get("spark.checkpoint.dir", None):
+        folder = tempfile.mkdtemp(prefix="plumbline-staging-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        spark.conf.set("spark.checkpoint.dir", folder)
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Fix the time zone and send the package to the Python workers, once per session."""
+    """Fix the time zone and send the package to the Python workers, once per session.
+
+    On a cluster ``spark.checkpoint.dir`` must be set; only a session in one process, as in
+    tests, is given a folder of its own.
+    """
+    _local_staging(spark)
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     application = spark.sparkContext.applicationId
