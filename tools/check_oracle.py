@@ -33,13 +33,13 @@ def row_key(row):
     return tuple((v is None, str(type(v).__name__ == "str"), str(v)) for v in row)
 
 
-def compare(spark, con, name, folder):
-    df = QUERIES[name](spark, folder)
+def compare(spark, con, name, folder, queries=QUERIES, oracles=ORACLES):
+    df = queries[name](spark, folder)
     names = sorted(df.columns)
     ours = [tuple(canonical(v) for v in r) for r in df.select(*[f"`{c}`" for c in names]).collect()]
-    if name not in ORACLES:
+    if name not in oracles:
         return "rows", len(ours), ""
-    result = con.execute(ORACLES[name])
+    result = con.execute(oracles[name])
     cols = [c[0] for c in result.description]
     theirs_raw = result.fetchall()
     if sorted(cols) != names:
