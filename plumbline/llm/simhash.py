@@ -16,6 +16,8 @@ from plumbline.llm.components import connected_components
 
 # A group of equal keys beyond this size is not compared pair by pair but dealt out again.
 PAIR_LIMIT = 4096
+# Links that a task holds before it reduces them to stars.
+LINKS_HELD = 500_000
 # Up to so many ways to mask the bits that may differ, all of them are signatures.
 MASK_LIMIT = 600
 
@@ -133,7 +135,7 @@ def _pairs(keys: np.ndarray, prints: np.ndarray, bits: int, offsets: np.ndarray
         variant = (keys >> 40) & 0xFF
         shift = (offsets[keys >> 48] + np.maximum(variant - 1, 0)).astype(np.uint64)
         side = (prints.view(np.uint64) >> shift) & np.uint64(1)
-    left, right = [], []
+    left, right, held = [], [], 0
     active = np.arange(len(keys))
     step = 1
     while True:
@@ -148,6 +150,10 @@ def _pairs(keys: np.ndarray, prints: np.ndarray, bits: int, offsets: np.ndarray
         near = np.bitwise_count((prints[i] ^ prints[j]).view(np.uint64)) <= bits
         left.append(prints[i[near]])
         right.append(prints[j[near]])
+        held += len(left[-1])
+        if held > LINKS_HELD:
+            a, b = _stars(np.concatenate(left), np.concatenate(right))
+            left, right, held = [a], [b], 0
         step += 1
     if not left:
         return prints[:0], prints[:0]
