@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import simhash
+from plumbline.llm import sharding, simhash, substring_dedup
 from plumbline.llm.common import pick, table
 from plumbline.session import prepare
 
@@ -27,8 +27,68 @@ def query(sql: str | None = None):
     return add
 
 
+SHARDS = 24
+
+
+@query()
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    rows = pick(documents, "doc_id", "text").withColumn("row", F.lit(0))
+    if "_metadata" not in documents.columns:  # the row number in its file tells repeated rows apart
+        rows = documents.select("doc_id", "text", F.col("_metadata.row_index").alias("row"))
+    size = sharding.text_bytes("text")
+    out = sharding.shuffled(rows, SHARDS, size, key=[F.col("doc_id"), F.col("row")])
+    return out.select(
+        "doc_id",
+        size.alias("size"),
+        F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 @query()
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text", width=3, bits=2)
     shown = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return found.select("doc_id", shown.alias("fingerprint"), "component_id")
+
+
+# Sentences with their words; runs of three, or fewer once they have 50 words, none under 12.
+SPAN_SQL = r"""
+WITH d AS (
+  SELECT doc_id, text, regexp_extract_all(coalesce(text, ''), '[^.!?\n]*[.!?\n]+[ \x09-\x0D]*|[^.!?\n]+') AS parts FROM documents),
+s AS (
+  SELECT doc_id, i, parts[i] AS part,
+         trim(regexp_replace(translate(parts[i], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+              '[ \x09-\x0D]+', ' ', 'g')) AS norm
+  FROM d, range(1, len(parts) + 1) r(i)),
+w AS (SELECT *, CASE WHEN norm = '' THEN 0 ELSE len(string_split(norm, ' ')) END AS n FROM s),
+a AS (
+  SELECT *, lead(norm, 1) OVER o AS b, lead(norm, 2) OVER o AS c, lead(n, 1) OVER o AS nb, lead(n, 2) OVER o AS nc
+  FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+r AS (
+  SELECT doc_id, i,
+         CASE WHEN n >= 50 THEN 1 WHEN n + nb >= 50 THEN 2 WHEN nc IS NOT NULL THEN 3 END AS k,
+         CASE WHEN n >= 50 THEN [norm] WHEN n + nb >= 50 THEN [norm, b] ELSE [norm, b, c] END AS span,
+         CASE WHEN n >= 50 THEN n WHEN n + nb >= 50 THEN n + nb ELSE n + nb + nc END AS total
+  FROM a),
+f AS (
+  SELECT *, row_number() OVER (PARTITION BY span ORDER BY doc_id, i) AS nth FROM r WHERE k IS NOT NULL AND total >= 12),
+g AS (SELECT DISTINCT doc_id, i + x AS i FROM f, range(0, 3) q(x) WHERE nth > 1 AND x < k),
+t AS (
+  SELECT s.doc_id, count(*) AS n_sentences, count(g.i) AS n_removed,
+         coalesce(string_agg(part, '' ORDER BY s.i) FILTER (g.i IS NULL), '') AS text
+  FROM s LEFT JOIN g ON s.doc_id = g.doc_id AND s.i = g.i GROUP BY s.doc_id)
+SELECT d.doc_id, coalesce(n_sentences, 0) AS n_sentences, coalesce(n_removed, 0) AS n_removed,
+       coalesce(t.text, d.text) AS text
+FROM d LEFT JOIN t ON d.doc_id = t.doc_id
+"""
+
+
+@query(SPAN_SQL)
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = pick(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return substring_dedup.remove_repeated_spans(documents)
