@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import sharding, simhash, substring_dedup
+from plumbline.llm import language_id, sharding, simhash, substring_dedup
 from plumbline.llm.common import pick, table
 from plumbline.session import prepare
 
@@ -27,6 +27,15 @@ def query(sql: str | None = None):
     return add
 
 
+@query()
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = pick(table(spark, sf_dir, "documents"), "doc_id", "text", "lang")
+    model = language_id.train(documents)
+    found = language_id.identify(documents.select("doc_id", "text"), model)
+    held_out = language_id.fold("doc_id") == 0
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "cross_entropy", "margin", "rejected")
+
+
 SHARDS = 24
 
 
