@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import language_id, sharding, simhash, substring_dedup
+from plumbline.llm import bpe, language_id, sharding, simhash, substring_dedup
 from plumbline.llm.common import pick, table
 from plumbline.session import prepare
 
@@ -65,6 +66,19 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", shown.alias("fingerprint"), "component_id")
 
 
+@query()
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = bpe.read_vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    done = bpe.encode_decode(pick(table(spark, sf_dir, "documents"), "doc_id", "text"), vocabulary)
+    listed = F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary")
+    return done.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(listed, 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 # Sentences with their words; runs of three, or fewer once they have 50 words, none under 12.
 SPAN_SQL = r"""
 WITH d AS (
