@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, language_id, sharding, simhash, substring_dedup
+from plumbline.llm import bpe, language_id, license_scan, sharding, simhash, substring_dedup
 from plumbline.llm.common import pick, table
 from plumbline.session import prepare
 
@@ -79,6 +79,12 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query()
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(pick(table(spark, sf_dir, "documents"), "doc_id", "text"))
+    return found.select("doc_id", *[c for c in license_scan.OUT if c != "spans"], F.size("spans").alias("n_spans"))
+
+
 # Sentences with their words; runs of three, or fewer once they have 50 words, none under 12.
 SPAN_SQL = r"""
 WITH d AS (
