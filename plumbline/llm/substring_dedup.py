@@ -121,10 +121,10 @@ def remove_repeated_spans(
     spans = keyed.select("text").mapInArrow(_occurrences(run, full, least, False), "span bigint")
     repeated = spans.groupBy("span").agg(F.count("*").alias("n")).filter("n > 1").select("span")
     places = keyed.mapInArrow(_occurrences(run, full, least, True), f"span bigint, id {kind}, print bigint, place int")
-    # Written, so that the join may split a hot span and the first place is reduced before it is shuffled.
+    # Written, so that both joins may split a hot span and the first place is reduced before it is shuffled.
     again = staged(places.join(repeated, "span"))
     place = F.struct("id", "print", "place")
-    first = again.groupBy("span").agg(F.min(place).alias("first"))
+    first = staged(again.groupBy("span").agg(F.min(place).alias("first")))
     later = again.join(first.withColumnRenamed("span", "_span"), F.col("span") == F.col("_span")).filter(place != F.col("first"))
     gone = staged(later.groupBy("id", "print").agg(F.collect_set("place").alias("_gone")))
 
