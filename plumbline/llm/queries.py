@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, language_id, license_scan, sharding, simhash, substring_dedup
-from plumbline.llm.common import pick, table
+from plumbline.llm import bpe, language_id, license_scan, quality_rules, sharding, simhash, substring_dedup
+from plumbline.llm.common import pick, staged, table
 from plumbline.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,6 +37,15 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "cross_entropy", "margin", "rejected")
 
 
+@query()
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = pick(table(spark, sf_dir, "documents"), "doc_id", "text", "lang", "source")
+    counted = staged(quality_rules.with_statistics(documents).drop("text"))
+    found = quality_rules.judged(counted, by=("lang", "source"))
+    base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return found.select("doc_id", *base, "base_failed", "kept", "distance")
+
+
 SHARDS = 24
 
 
