@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, language_id, license_scan, quality_rules, sharding, simhash, substring_dedup
+from plumbline.llm import bpe, language_id, license_scan, quality_rules, sharding, simhash, substring_dedup, url_filter
 from plumbline.llm.common import pick, staged, table
 from plumbline.session import prepare
 
@@ -68,6 +68,79 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+RULES = [
+    ("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"),
+]
+
+
+def _level_sql(name: str, units: str, out: str) -> str:
+    """Shrinkage of one level as in url_filter._shrunk."""
+    return f"""
+{name}_c AS (
+  SELECT greatest(0.001e0, least(0.999e0, CASE WHEN sum(n - 1) > 0 THEN
+           sum(CASE WHEN prior * (1 - prior) > 0 THEN n * pow(bad / n - prior, 2) / (prior * (1 - prior)) ELSE 0 END - 1)
+           / sum(n - 1) ELSE 0.001e0 END)) AS rho FROM {units} WHERE n > 0),
+{name} AS (
+  SELECT {out}, n, (1 - rho) / rho AS weight,
+         ((1 - rho) / rho * prior + bad) / ((1 - rho) / rho + n) AS rate
+  FROM {units}, {name}_c)"""
+
+
+URL_SQL = rf"""
+WITH p AS (
+  SELECT page_id,
+         translate(coalesce(regexp_extract(url, '{url_filter.SPLIT}', 1), ''), '{url_filter.UPPER}', '{url_filter.LOWER}') AS host,
+         coalesce(regexp_extract(url, '{url_filter.SPLIT}', 2), '') AS path FROM pages),
+o AS (
+  SELECT host, path, nullif(regexp_extract(path, '/([0-9]{{1,15}})([./]|$)', 1), '') AS shown FROM p),
+l AS (
+  SELECT doc_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY doc_id),
+h0 AS (
+  SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS bad,
+         regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') AS plain
+  FROM o LEFT JOIN l ON CAST(shown AS BIGINT) = doc_id GROUP BY host),
+h1 AS (
+  SELECT host, n, bad, regexp_extract(plain, '{url_filter.DOMAIN}', 0) AS domain,
+         regexp_extract(plain, '{url_filter.DOMAIN}', 2) AS suffix FROM h0),
+s0 AS (
+  SELECT suffix, sum(n) AS n, sum(bad) AS bad, (SELECT coalesce(sum(bad) / sum(n), 0) FROM h1) AS prior
+  FROM h1 GROUP BY suffix),
+{_level_sql("s", "s0", "suffix")},
+d0 AS (
+  SELECT domain, h1.suffix, sum(h1.n) AS n, sum(bad) AS bad, any_value(rate) AS prior
+  FROM h1 JOIN s ON h1.suffix = s.suffix GROUP BY domain, h1.suffix),
+{_level_sql("d", "d0", "domain")},
+e0 AS (SELECT host, h1.n, bad, rate AS prior FROM h1 JOIN d ON h1.domain = d.domain),
+{_level_sql("e", "e0", "host")},
+t AS (
+  SELECT host, round(rate, 6) AS bad_rate,
+         round(greatest(0, rate - {url_filter.Z} * sqrt(rate * (1 - rate) / (weight + n + 1))), 6) AS bad_bound FROM e),
+r AS (
+  SELECT page_id, host, path, CASE
+    WHEN (host = 'www.example.com' OR host LIKE '%.www.example.com') AND starts_with(path, '/en/') THEN 'www.example.com/en/'
+    WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/en/') THEN 'example.com/en/'
+    WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/es/') THEN 'net/es/'
+    WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/fr/') THEN 'net/fr/'
+    WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/') THEN 'com/' END AS rule FROM p)
+SELECT page_id, r.host AS host, path, rule,
+       CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+            WHEN bad_bound > {url_filter.LIMIT} THEN 'block' ELSE 'allow' END AS verdict, bad_rate, bad_bound
+FROM r LEFT JOIN t ON r.host = t.host
+"""
+
+
+@query(URL_SQL)
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = pick(table(spark, sf_dir, "pages"), "page_id", "url")
+    labels = table(spark, sf_dir, "labels")
+    bad = F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).otherwise(0)
+    known = labels.groupBy("doc_id").agg(F.max(bad).alias("bad"))
+    # A page shows the document whose number stands in its path.
+    shown = F.nullif(F.regexp_extract(url_filter.path_of(F.col("url")), "/([0-9]{1,15})([./]|$)", 1), F.lit(""))
+    outcomes = pages.select("url", shown.cast("long").alias("shown")).join(known, F.col("shown") == F.col("doc_id"))
+    return url_filter.judge(pages, outcomes.select("url", "bad"), RULES).drop("url")
+
+
 @query()
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text", width=3, bits=2)
