@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, language_id, license_scan, quality_rules, sharding, simhash, substring_dedup, topk_search, url_filter
+from plumbline.llm import bpe, language_id, license_scan, mixing, quality_rules, sharding, simhash, substring_dedup, topk_search, url_filter
 from plumbline.llm.common import pick, staged, table
 from plumbline.session import prepare
 
@@ -28,6 +28,50 @@ def query(sql: str | None = None):
     return add
 
 
+def _mixing_sql() -> str:
+    """Raking, unrolled, and the water level of the probabilities in closed form."""
+    dims = ("source", "lang", "topic")
+    kinds = " ".join(f"WHEN regexp_matches(text, '{pattern}') THEN '{name}'" for name, pattern in mixing.TOPICS)
+    steps = [f"""
+WITH r AS (
+  SELECT doc_id, source, lang, CASE {kinds} ELSE 'prose' END AS topic,
+         coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS n_tokens,
+         CAST('0x' || substr(md5('{mixing.SEED}|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || coalesce(text, '')), 1, 13) AS BIGINT)
+           / pow(2, {mixing.DRAW_BITS}) AS draw
+  FROM documents),
+c AS (SELECT source, lang, topic, sum(n_tokens) AS tokens FROM r GROUP BY ALL),
+t AS (SELECT *, {", ".join(f"pow(sum(tokens) OVER (PARTITION BY {d}), {mixing.POWER}) AS p_{d}" for d in dims)} FROM c),
+w0 AS (
+  SELECT source, lang, topic, tokens, CAST(tokens AS DOUBLE) AS weight,
+         {", ".join(f"p_{d} / (SELECT sum(p) FROM (SELECT {d}, any_value(p_{d}) AS p FROM t GROUP BY {d})) AS target_{d}" for d in dims)}
+  FROM t)"""]
+    for k in range(mixing.SWEEPS * len(dims)):
+        d = dims[k % len(dims)]
+        steps.append(
+            f"w{k + 1} AS (SELECT * REPLACE (coalesce(weight * target_{d} / nullif(sum(weight) OVER (PARTITION BY {d}), 0), 0) AS weight) FROM w{k})"
+        )
+    steps.append(f"""
+x AS (SELECT source, lang, topic, tokens, weight, weight / nullif(tokens, 0) AS ratio FROM w{mixing.SWEEPS * len(dims)}),
+y AS (
+  SELECT *, coalesce(sum(tokens) OVER b, 0) AS full_tokens, sum(weight) OVER () - coalesce(sum(weight) OVER b, 0) AS rest,
+         {mixing.BUDGET} * sum(tokens) OVER () AS aim
+  FROM x WINDOW b AS (ORDER BY ratio DESC NULLS LAST, source, lang, topic ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+f AS (SELECT max((aim - full_tokens) / rest) AS factor FROM y WHERE rest > 1e-12),
+p AS (SELECT source, lang, topic, CASE WHEN tokens > 0 THEN least(1, factor * ratio) ELSE 1 END AS probability FROM x, f)
+SELECT doc_id, r.source, r.lang, r.topic, n_tokens, round(probability, 6) AS probability, draw < probability AS sampled
+FROM r JOIN p ON r.source IS NOT DISTINCT FROM p.source AND r.lang IS NOT DISTINCT FROM p.lang AND r.topic = p.topic""")
+    return ",\n".join(steps)
+
+
+@query(_mixing_sql())
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = pick(table(spark, sf_dir, "documents"), "doc_id", "text", "lang", "source")
+    topics = documents.withColumn("topic", mixing.topic_of(F.col("text")))
+    key = [F.col("doc_id"), F.col("text")]
+    found = mixing.mixed(topics, [F.col("source"), F.col("lang"), F.col("topic")], mixing.token_count(F.col("text")), key)
+    return found.select("doc_id", "source", "lang", "topic", "n_tokens", F.round("probability", 6).alias("probability"), "sampled")
+
+
 @query()
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = pick(table(spark, sf_dir, "documents"), "doc_id", "text", "lang")
