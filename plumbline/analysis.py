@@ -6,7 +6,6 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from plumbline.operators.grain import discover_grain
 from plumbline.operators.health import health_columns, health_report
@@ -22,7 +21,11 @@ from plumbline.sources.tables import load_csv, require_rows, write_results
 
 @dataclass(frozen=True)
 class Analysis:
-    """Frames of one run; the later ones are None when the health gate stopped it."""
+    """Frames of one run; the later ones are None when the health gate stopped it.
+
+    ``specs`` says of every spec asked for whether it was computed, and if not, why;
+    ``results`` holds all computed ones with their verdicts, rejected ones too.
+    """
 
     data: DataFrame
     cast_log: DataFrame
@@ -30,6 +33,7 @@ class Analysis:
     proceed: bool
     profile: DataFrame | None = None
     grain: DataFrame | None = None
+    specs: DataFrame | None = None
     results: DataFrame | None = None
 
 
@@ -52,13 +56,24 @@ def analyze(
 
     profile = profile_columns(data)
     grain = discover_grain(data, profile)
-    known = [s for s in deduplicate(specs) if all(c in data.columns for c in (*s.columns, *s.dims, *([s.time] if s.time else [])))]
     nulls = {r["column_name"]: r["null_percentage"] for r in profile.select("column_name", "null_percentage").collect()}
-    fit = [s for s in known if eligible(data.schema, s, nulls[s.numerator] / 100)]
+    chosen, fit, states = {id(s) for s in deduplicate(specs)}, [], []
+    for s in specs:
+        missing = [c for c in (*s.columns, *s.dims, *([s.time] if s.time else [])) if c not in data.columns]
+        if missing:
+            states.append((s.name, "skipped", "no column " + ", ".join(missing)))
+        elif id(s) not in chosen:
+            states.append((s.name, "skipped", "repeats another spec"))
+        elif not eligible(data.schema, s, nulls[s.numerator] / 100):
+            states.append((s.name, "skipped", f"column {s.numerator} is not eligible"))
+        else:
+            states.append((s.name, "computed", None))
+            fit.append(s)
+    asked = spark.createDataFrame(states, "spec string, status string, reason string")
     if not fit:
-        return Analysis(data, loaded.log, health, True, profile, grain)
+        return Analysis(data, loaded.log, health, True, profile, grain, asked)
     graded = label_confidence(validate(run_specs(data, fit), table_rows=verdict["row_count"]))
     results = checkpoint_parquet(rank_results(graded, "spec_id"))
     if out is not None:
         write_results(results, out)
-    return Analysis(data, loaded.log, health, True, profile, grain, results.filter(F.col("verdict") != "reject"))
+    return Analysis(data, loaded.log, health, True, profile, grain, asked, results)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 PRIME = 2147483647
+SECOND_PRIME = 2147483629
 
 
 def as_column(c: Column | str) -> Column:
@@ -37,8 +38,16 @@ def hash_int(key: Column | str, seed: int = 0) -> Column:
 
 
 def hash_uniform(key: Column | str, seed: int = 0) -> Column:
-    """Uniform draw in (0, 1) from the row's key; the same on every partitioning."""
-    return (hash_int(key, seed) + F.lit(0.5)) / F.lit(float(PRIME))
+    """Uniform draw in (0, 1) from the row's key; the same on every partitioning.
+
+    Two hashes over coprime moduli are added modulo one, so draws repeat only after
+    about 4.6e18 keys.
+    """
+    k = F.pmod(as_column(key).cast("long"), F.lit(SECOND_PRIME).cast("long"))
+    first = (k * F.lit(69621) + F.lit(104729 * (seed + 1))) % F.lit(SECOND_PRIME)
+    other = ((first * first) % F.lit(SECOND_PRIME) * F.lit(48271) + first) % F.lit(SECOND_PRIME)
+    total = (hash_int(key, seed) + F.lit(0.5)) / F.lit(float(PRIME)) + (other + F.lit(0.25)) / F.lit(float(SECOND_PRIME))
+    return total - F.floor(total)
 
 
 def hash_normal(key: Column | str, seed: int = 0) -> Column:

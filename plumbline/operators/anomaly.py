@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.columns import PRIME, hash_uniform
 from plumbline.plans.quantiles import exact_percentiles
+from plumbline.plans.running import WINDOW_ROWS
 from plumbline.plans.staging import checkpoint_parquet, join_on_group
 
 MIN_VALUES = 10
@@ -23,9 +24,9 @@ TREES = 100
 SAMPLE = 256
 
 
-def iqr_bounds(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
+def iqr_bounds(df: DataFrame, col: str, by: Sequence[str] = (), window_rows: int = WINDOW_ROWS) -> DataFrame:
     """q1, q3, iqr and fences per group."""
-    q = exact_percentiles(df, col, {"q1": 0.25, "q3": 0.75}, by)
+    q = exact_percentiles(df, col, {"q1": 0.25, "q3": 0.75}, by, window_rows=window_rows)
     iqr = F.col("q3") - F.col("q1")
     return q.select(
         *by, "n", "q1", "q3", iqr.alias("iqr"), (F.col("q1") - 1.5 * iqr).alias("lower"), (F.col("q3") + 1.5 * iqr).alias("upper")
@@ -92,9 +93,10 @@ def _only(flagged: DataFrame, df: DataFrame, col: str) -> DataFrame:
     return rows.select(*df.columns, "lower", "upper", "severity", "classification")
 
 
-def anomalies_iqr(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
+def anomalies_iqr(df: DataFrame, col: str, by: Sequence[str] = (), window_rows: int = WINDOW_ROWS) -> DataFrame:
     """Rows beyond the fences; all columns of the row stay as context."""
-    return _only(flag_iqr(df, col, by), df, col)
+    fences = checkpoint_parquet(iqr_bounds(df, col, by, window_rows))
+    return _only(flag_iqr(df, col, by, fences), df, col)
 
 
 def anomalies_zscore(df: DataFrame, col: str, threshold: float = 3.0, by: Sequence[str] = ()) -> DataFrame:

@@ -44,17 +44,17 @@ DERIVED_METRICS = {
 }
 
 
-def find_derived(name: str) -> str | None:
-    """Key of a metric by key or full name; case, blanks, ``_`` and ``-`` do not matter."""
+def _plain(text: str) -> str:
+    return re.sub(r"[ _-]", "", text.lower())
+
 
-    def plain(text: str) -> str:
-        return re.sub(r"[ _-]", "", text.lower())
+# Keys and full names without case, blanks, ``_`` and ``-``; a full name may leave out its abbreviation.
+_NAMES = {_plain(n): key for key, (full, _, _) in DERIVED_METRICS.items() for n in (key, full, full.split(" (")[0])}
 
-    wanted = plain(name)
-    for key, (full, _, _) in DERIVED_METRICS.items():
-        if wanted == plain(key) or wanted in plain(full) or plain(full) in wanted:
-            return key
-    return None
+
+def find_derived(name: str) -> str | None:
+    """Key of a metric by its key or full name; nothing else matches."""
+    return _NAMES.get(_plain(name))
 
 
 def derive(

@@ -13,7 +13,6 @@ from plumbline.plans.running import percentiles_from_counts, previous_value
 from plumbline.plans.staging import checkpoint_parquet
 
 UNIQUE = 0.99
-MAX_DIMENSIONS = 10
 
 
 def _any_null(cols: Sequence[str]) -> Column:
@@ -44,33 +43,39 @@ def uniqueness(df: DataFrame, cols: Sequence[str], approximate: bool = False) ->
     )
 
 
-def key_candidates(profile: DataFrame, limit: int = MAX_DIMENSIONS) -> DataFrame:
-    """Columns worth trying in a key: identifiers, then ranks, then rich categories."""
+def key_candidates(profile: DataFrame, limit: int | None = None) -> DataFrame:
+    """Columns worth trying in a key: identifiers, then ranks, then rich categories.
+
+    All of them, unless ``limit`` names how many.
+    """
     sure = F.col("confidence") >= 0.70
     tier = (
         F.when((F.col("semantic_guess") == "identifier") & sure, 1)
         .when(F.col("is_ordinal"), 2)
         .when((F.col("statistical_type") == "categorical") & sure & (F.col("unique_ratio") > 0.05), 3)
     )
-    return (
+    found = (
         profile.filter(F.col("statistical_type") != "temporal")
         .withColumn("tier", tier)
         .filter("tier is not null")
         .select("column_name", "tier", "position")
         .orderBy("tier", "position")
-        .limit(limit)
     )
+    return found if limit is None else found.limit(limit)
 
 
-def find_key(df: DataFrame, time: str, dims: Sequence[str], approximate: bool = False) -> DataFrame:
+def find_key(df: DataFrame, time: str | None, dims: Sequence[str], approximate: bool = False) -> DataFrame:
     """Time, time+d1, time+d1+d2, …: the first key that is unique enough, else the best.
 
+    Without ``time`` the keys are d1, d1+d2, …; all dimensions are tried.
+
     One job per key tried, each reading only its columns, and the search ends at the
     first success: a table with a real key never pays for the longer ones.
     """
+    columns = [time, *dims] if time else list(dims)
     best = None
-    for i in range(len(dims[:MAX_DIMENSIONS]) + 1):
-        tried = uniqueness(df, [time, *dims[:i]], approximate).first()
+    for i in range(1, len(columns) + 1):
+        tried = uniqueness(df, columns[:i], approximate).first()
         if best is None or tried["ratio"] > best["ratio"]:
             best = tried
         if tried["ratio"] >= UNIQUE:
@@ -135,9 +140,7 @@ def discover_grain(df: DataFrame, profile: DataFrame) -> DataFrame:
 
     if not times:
         if dims:
-            key = uniqueness(df, dims[:3]).select(
-                F.col("columns").alias("composite_key"), F.col("ratio").alias("uniqueness_ratio")
-            )
+            key = find_key(df, None, dims).drop("is_unique")
         else:
             key = df.sparkSession.range(1).select(
                 F.lit(None).cast("string").alias("composite_key"), F.lit(0.0).alias("uniqueness_ratio")

@@ -149,8 +149,3 @@ def basic_stats(df: DataFrame) -> DataFrame:
         "min",
         "max",
     )
-
-
-def staged_measures(df: DataFrame, approximate: bool = False) -> DataFrame:
-    """``column_measures`` written once, for callers that derive several frames from it."""
-    return checkpoint_parquet(column_measures(df, approximate=approximate))

@@ -12,15 +12,15 @@ from plumbline.fixed_values import COST_WORDS, SALES_WORDS
 from plumbline.functions.columns import safe_div
 from plumbline.operators.metrics import attach_totals, metric_by, metric_over_time
 from plumbline.operators.spec import MetricSpec
-from plumbline.plans.running import running_totals
+from plumbline.plans.running import WINDOW_ROWS, running_totals
 from plumbline.plans.staging import checkpoint_parquet
 
 
-def pareto(df: DataFrame, dim: str, metric: str, n: int | None = None) -> DataFrame:
+def pareto(df: DataFrame, dim: str, metric: str, n: int | None = None, window_rows: int = WINDOW_ROWS) -> DataFrame:
     """Values of ``dim`` by their share of the total, largest first, with running share."""
     sums = df.filter(F.col(metric).isNotNull()).groupBy(dim).agg(F.sum(metric).alias("value"))
     sums = sums.withColumn("_one", F.lit(1).cast("long"))
-    ranked = running_totals(sums, [("value", "desc"), dim], {"_running": "value", "rank": "_one"})
+    ranked = running_totals(sums, [("value", "desc"), dim], {"_running": "value", "rank": "_one"}, window_rows=window_rows)
     total = ranked.agg(F.sum("value").alias("_total"))
     shares = ranked.crossJoin(F.broadcast(total)).select(
         dim,
@@ -98,11 +98,12 @@ def impact_metrics(
     return out
 
 
-def insight_domains(df: DataFrame, dims: Sequence[str], metrics: Sequence[str], k: int = 10, top: int = 5) -> DataFrame:
+def insight_domains(df: DataFrame, dims: Sequence[str], metrics: Sequence[str], k: int | None = None, top: int = 5) -> DataFrame:
     """(dimension, metric) pairs by how concentrated the metric is over the dimension.
 
     The score is the Herfindahl index of the shares, rescaled so that equal shares give
-    0 and a single value gives 1.
+    0 and a single value gives 1. All pairs come back unless ``k`` names how many; ``top``
+    members of each are named.
     """
     pairs = F.inline(F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("member")) for d in dims]))
     amounts = [F.coalesce(F.col(m).cast("double"), F.lit(0.0)).alias(f"_m{i}") for i, m in enumerate(metrics)]
@@ -124,13 +125,13 @@ def insight_domains(df: DataFrame, dims: Sequence[str], metrics: Sequence[str],
     )
     even = 1 / F.col("members")
     score = F.when(F.col("members") == 1, 1.0).otherwise((F.col("_hhi") - even) / F.nullif(1 - even, F.lit(0.0)))
-    return (
+    ranked = (
         scored.withColumn("variance_score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)))
         .join(leaders, ["dimension", "metric"])
         .select("dimension", "metric", "members", "top_share", "variance_score", "top_values")
         .orderBy(F.col("variance_score").desc(), "dimension", "metric")
-        .limit(k)
     )
+    return ranked if k is None else ranked.limit(k)
 
 
 def usage_rollup(log: DataFrame, prices: DataFrame) -> DataFrame:

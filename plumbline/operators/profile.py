@@ -309,7 +309,7 @@ def candidate_relationships(profile: DataFrame) -> DataFrame:
             F.lit("time_series").alias("type"),
             F.when(F.size("times") == 1, 0.7).otherwise(0.5).alias("confidence"),
             F.array_join("times", ",").alias("left_columns"),
-            F.array_join(F.slice("numbers", 1, 10), ",").alias("right_columns"),
+            F.array_join("numbers", ",").alias("right_columns"),
             ((F.size("times") > 0) & (F.size("numbers") > 0)).alias("found"),
         )
     ]
@@ -343,8 +343,8 @@ def cardinality(df: DataFrame, a: str, b: str) -> DataFrame:
     )
 
 
-def rank_columns(profile: DataFrame, limit: int = 20) -> DataFrame:
-    """Columns by information density, best first."""
+def rank_columns(profile: DataFrame, limit: int | None = None) -> DataFrame:
+    """Columns by information density, best first; all, or the first ``limit``."""
     kind, role = F.col("statistical_type"), F.col("semantic_guess")
     base = F.when(kind == "temporal", 1.0).when(kind == "identifier", 0.9).when(kind == "numeric", 0.6)
     base = base.when(kind == "categorical", 0.5).otherwise(0.3)
@@ -354,12 +354,8 @@ def rank_columns(profile: DataFrame, limit: int = 20) -> DataFrame:
     flat = F.when(F.col("unique_ratio") < 0.01, 0.2).otherwise(1.0)
     fine = F.when(F.col("unique_ratio") > 0.80, 0.1).otherwise(0.0)
     density = F.least(F.lit(1.0), (base + sure + weight) * empty * flat + fine)
-    return (
-        profile.select("column_name", "position", density.alias("density"))
-        .orderBy(F.col("density").desc(), "position")
-        .limit(limit)
-        .drop("position")
-    )
+    ranked = profile.select("column_name", "position", density.alias("density")).orderBy(F.col("density").desc(), "position")
+    return (ranked if limit is None else ranked.limit(limit)).drop("position")
 
 
 def column_metadata(profile: DataFrame) -> DataFrame:

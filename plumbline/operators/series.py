@@ -35,7 +35,9 @@ def to_series(
 
     Facts are reduced by one aggregate; everything later sees buckets only.
     """
-    bucket = F.date_trunc(GRAINS.get(grain, grain), F.col(time)).cast("timestamp_ntz").alias("bucket")
+    if grain not in GRAINS:
+        raise ValueError(f"grain is one of {sorted(GRAINS)}")
+    bucket = F.date_trunc(GRAINS[grain], F.col(time)).cast("timestamp_ntz").alias("bucket")
     aggs = [measure(metric, agg, time).cast("double").alias("value")]
     aggs += [measure(c, exog_agg, time).cast("double").alias(c) for c in exog]
     points = df.filter(F.col(time).isNotNull()).groupBy(*by, bucket).agg(*aggs).na.drop(subset=["value", *exog])

@@ -12,8 +12,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# A side below this many rows is broadcast; beyond it the join shuffles.
+# A side below this many rows and bytes is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
 
 
 def checkpoint_root(spark: SparkSession) -> str:
@@ -37,14 +38,26 @@ def checkpoint_parquet(df: DataFrame, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _wide(kind: str) -> bool:
+    return kind in ("string", "binary") or kind.startswith(("array", "map", "struct"))
+
+
 def broadcast_if_small(small: DataFrame, rows: int | None = None) -> DataFrame:
     """Hint a broadcast only when the (staged) table is known to be small.
 
-    Beyond the limit the table is returned as it is, so that Spark shuffles the join
-    and splits hot keys at run time.
+    Rows are counted unless given; columns of variable size are measured as text, all
+    others count 16 bytes. Beyond a limit the table is returned as it is, so that Spark
+    shuffles the join and splits hot keys at run time (spark.sql.adaptive.skewJoin, on by
+    default).
     """
-    rows = small.count() if rows is None else rows
-    return F.broadcast(small) if rows <= BROADCAST_ROWS else small
+    wide = [F.coalesce(F.octet_length(F.to_json(F.struct(f"`{c}`"))), F.lit(0)) for c, kind in small.dtypes if _wide(kind)]
+    if rows is None or (wide and rows <= BROADCAST_ROWS):
+        size = F.coalesce(F.sum(sum(wide, F.lit(0).cast("long"))), F.lit(0))
+        rows, measured = small.agg(F.count("*"), size).first()
+    else:
+        measured = 0
+    fixed = 16 * rows * (len(small.columns) - len(wide))
+    return F.broadcast(small) if rows <= BROADCAST_ROWS and measured + fixed <= BROADCAST_BYTES else small
 
 
 def mark_groups(facts: DataFrame, groups: DataFrame, by: list[str], rows: int) -> DataFrame:

@@ -328,8 +328,8 @@ SELECT {dim}, round(value, 4) AS value, round(value / total, 9) AS share, round(
 FROM ranked"""
 
 
-def pareto_of(spark, folder, dim):
-    out = motifs.pareto(sales_view(spark, folder, dim, "sales"), dim, "sales")
+def pareto_of(spark, folder, dim, **split):
+    out = motifs.pareto(sales_view(spark, folder, dim, "sales"), dim, "sales", **split)
     return rounded(out, 9, value=4)
 
 
@@ -343,6 +343,12 @@ def pareto_customer(spark, folder):
     return pareto_of(spark, folder, "customer_id")
 
 
+@query(SALES + PARETO.format(dim="customer_id"))
+def pareto_customer_split(spark, folder):
+    """The same by ranges, the way large tables go."""
+    return pareto_of(spark, folder, "customer_id", window_rows=50)
+
+
 @query(
     SALES
     + f"""SELECT segment, priority, round(sum(sales) / nullif(sum(ad_cost), 0), 6) AS value, count(*) AS sample_size
@@ -401,7 +407,7 @@ FROM shares GROUP BY dimension, metric"""
 def insight_domains(spark, folder):
     dims = ["brand", "category", "segment", "country"]
     view = sales_view(spark, folder, *dims, "sales", "inventory")
-    return rounded(motifs.insight_domains(view, dims, ["sales", "inventory"]), 9)
+    return rounded(motifs.insight_domains(view, dims, ["sales", "inventory"], 10), 9)
 
 
 # --- many specs, usage ----------------------------------------------------------------

@@ -38,7 +38,7 @@ PLANTED_NUMBERS = [c for c in PLANTED if c not in ("ts", "event_type")]
 
 
 def planted(spark, folder):
-    return table(spark, folder, "events", deal="event_id").select(*[F.expr(e).alias(c) for c, e in PLANTED.items()])
+    return table(spark, folder, "events").select(*[F.expr(e).alias(c) for c, e in PLANTED.items()])
 
 
 def per_column(columns, text: str, source: str = "planted") -> str:
@@ -125,7 +125,7 @@ LINE_COLUMNS = (
 
 @query(per_column(LINE_COLUMNS, f"{UNIQUE} AS unique_count", "lineitem"))
 def distinct_counts(spark, folder):
-    return measures.distinct_counts(table(spark, folder, "lineitem", deal="l_orderkey"))
+    return measures.distinct_counts(table(spark, folder, "lineitem"))
 
 
 # --- rules over the measures of a table, in SQL ----------------------------------------
@@ -271,7 +271,7 @@ FUNNEL_KINDS = {
 FUNNEL_SIMILAR = {"impressions": "funnel", "conversions": "funnel"}
 
 def all_sales(spark, folder):
-    return sales_view(spark, folder, deal=True)
+    return sales_view(spark, folder)
 
 
 SALES_RULES = SALES + rules_sql(SALES_KINDS, "sales")
@@ -293,7 +293,7 @@ def distribution_types(spark, folder):
 
 @query(SALES_RULES + "SELECT column_name, stype AS statistical_type, unique_count, round(unique_ratio, 6) AS unique_ratio FROM p")
 def statistical_types(spark, folder):
-    typed = P.statistical_type(measures.column_measures(sales_view(spark, folder, deal=True)))
+    typed = P.statistical_type(measures.column_measures(sales_view(spark, folder)))
     return rounded(typed.select("column_name", "statistical_type", "unique_count", "unique_ratio"))
 
 
@@ -374,7 +374,7 @@ def profile_warnings(spark, folder):
 UNION ALL SELECT 'type', stype, count(*) FROM p GROUP BY stype"""
 )
 def profile_summary(spark, folder):
-    return P.profile_summary(P.profile_columns(sales_view(spark, folder, deal=True)))
+    return P.profile_summary(P.profile_columns(sales_view(spark, folder)))
 
 
 def _pair_sql(label: str, a: str, b: str, factor: str) -> str:
@@ -388,7 +388,7 @@ WHERE EXISTS (SELECT 1 FROM p WHERE role = '{a}') AND EXISTS (SELECT 1 FROM p WH
     SALES_RULES
     + """SELECT 'time_series' AS type, CASE WHEN (SELECT count(*) FROM p WHERE stype = 'temporal') = 1 THEN 0.7::DOUBLE ELSE 0.5::DOUBLE END AS confidence,
   (SELECT string_agg(column_name, ',' ORDER BY position) FROM p WHERE stype = 'temporal') AS left_columns,
-  (SELECT string_agg(column_name, ',' ORDER BY position) FROM (SELECT * FROM p WHERE stype IN ('numeric', 'boolean') ORDER BY position LIMIT 10)) AS right_columns
+  (SELECT string_agg(column_name, ',' ORDER BY position) FROM (SELECT * FROM p WHERE stype IN ('numeric', 'boolean'))) AS right_columns
 WHERE EXISTS (SELECT 1 FROM p WHERE stype = 'temporal') AND EXISTS (SELECT 1 FROM p WHERE stype IN ('numeric', 'boolean'))
 UNION ALL """
     + " UNION ALL ".join(
@@ -401,7 +401,7 @@ UNION ALL """
     )
 )
 def relationship_candidates(spark, folder):
-    return rounded(P.candidate_relationships(P.profile_columns(sales_view(spark, folder, deal=True))))
+    return rounded(P.candidate_relationships(P.profile_columns(sales_view(spark, folder))))
 
 
 @query(
@@ -424,7 +424,7 @@ SELECT column_name, round(least(1, score * CASE WHEN null_percentage > 70 THEN 0
 FROM b ORDER BY density DESC, position LIMIT 20"""
 )
 def column_ranking(spark, folder):
-    return rounded(P.rank_columns(P.profile_columns(sales_view(spark, folder, deal=True))))
+    return rounded(P.rank_columns(P.profile_columns(sales_view(spark, folder)), 20))
 
 
 @query(
@@ -434,7 +434,7 @@ def column_ranking(spark, folder):
 FROM (SELECT *, stype IN ('numeric', 'identifier') AND mean IS NOT NULL AS num FROM p)"""
 )
 def column_metadata(spark, folder):
-    meta = P.column_metadata(P.profile_columns(sales_view(spark, folder, deal=True))).drop("data_type")
+    meta = P.column_metadata(P.profile_columns(sales_view(spark, folder))).drop("data_type")
     return rounded(meta, 4, mean=6)
 
 
@@ -448,7 +448,7 @@ def diverse_sample(spark, folder):
 
 
 def sample_values(spark, folder):
-    texts = P.sample_values(sales_view(spark, folder, deal=True))
+    texts = P.sample_values(sales_view(spark, folder))
     return texts.select("column_name", F.size("sample_values").cast("long").alias("samples"))
 
 
@@ -484,10 +484,10 @@ def key_uniqueness_with_nulls(spark, folder):
     SALES_RULES
     + """, k AS (SELECT column_name, position, CASE WHEN role = 'identifier' AND confidence >= 0.7 THEN 1 WHEN is_ordinal THEN 2
    WHEN stype = 'categorical' AND confidence >= 0.7 AND unique_ratio > 0.05 THEN 3 END AS tier FROM p WHERE stype <> 'temporal')
-SELECT column_name, CAST(tier AS INT) AS tier, CAST(position AS INT) AS position FROM k WHERE tier IS NOT NULL ORDER BY tier, position LIMIT 10"""
+SELECT column_name, CAST(tier AS INT) AS tier, CAST(position AS INT) AS position FROM k WHERE tier IS NOT NULL"""
 )
 def key_candidates(spark, folder):
-    return G.key_candidates(P.profile_columns(sales_view(spark, folder, deal=True)))
+    return G.key_candidates(P.profile_columns(sales_view(spark, folder)))
 
 
 def _keys_sql(source: str, time: str, dims: list[str]) -> str:
@@ -516,6 +516,17 @@ def composite_key_not_found(spark, folder):
     return rounded(G.find_key(table(spark, folder, "lineitem"), "l_shipdate", ["l_returnflag", "l_linestatus"]))
 
 
+# Eleven parts that tell no rows apart; only the twelfth makes the key.
+MANY = [f"d{i}" for i in range(1, 12)] + ["event_id"]
+MANY_SQL = "e AS (SELECT date_trunc('month', ts) AS month, event_id, " + ", ".join(f"event_id % 2 AS d{i}" for i in range(1, 12)) + " FROM events), "
+
+
+@query("WITH " + MANY_SQL + _keys_sql("e", "month", MANY) + KEY_PICK)
+def composite_key_many_dims(spark, folder):
+    month, copies = F.date_trunc("month", "ts").alias("month"), [(F.col("event_id") % 2).alias(f"d{i}") for i in range(1, 12)]
+    return rounded(G.find_key(table(spark, folder, "events").select(month, "event_id", *copies), "month", MANY))
+
+
 def gaps_sql(source: str, time: str, distinct: bool) -> str:
     rows = f"(SELECT DISTINCT {time} AS t FROM {source})" if distinct else f"(SELECT {time} AS t FROM {source})"
     return f"""gaps AS (SELECT epoch(t) - epoch(lag(t) OVER (ORDER BY t)) AS gap FROM {rows}),

@@ -99,7 +99,10 @@ def hash_sql(key: str, seed: int = 0) -> str:
 
 
 def uniform_sql(key: str, seed: int = 0) -> str:
-    return f"(({hash_sql(key, seed)} + 0.5e0) / 2147483647e0)"
+    first = f"((({key}) % 2147483629 * 69621 + {104729 * (seed + 1)}) % 2147483629)"
+    other = f"(({first} * {first} % 2147483629 * 48271 + {first}) % 2147483629)"
+    total = f"(({hash_sql(key, seed)} + 0.5e0) / 2147483647e0 + ({other} + 0.25e0) / 2147483629e0)"
+    return f"({total} - floor({total}))"
 
 
 def normal_sql(key: str, seed: int = 0) -> str:

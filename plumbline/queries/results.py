@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumbline.operators import validate as V
+from plumbline.plans.running import running_totals
 from plumbline.queries.registry import query, register, rounded
 from plumbline.sources.views import table
 
@@ -121,13 +121,14 @@ for _kind in ("correlation", "trend", "anomaly", "causal", "forecast"):
 @query(
     GRADED
     + f"""SELECT spec_id, label AS confidence_label, verdict, row_number() OVER (ORDER BY {LEVEL} DESC,
-  CASE verdict WHEN 'accept' THEN 2 WHEN 'weak_signal' THEN 1 ELSE 0 END DESC, spec_id) AS place FROM labelled ORDER BY place LIMIT 100"""
+  CASE verdict WHEN 'accept' THEN 2 WHEN 'weak_signal' THEN 1 ELSE 0 END DESC, spec_id) AS place FROM labelled"""
 )
 def ranked_results(spark, folder):
-    """The best hundred results: ordering checked through their places."""
-    top = V.rank_results(graded(spark, folder), "spec_id").limit(100).select("spec_id", "confidence_label", "verdict")
-    by_rank = V.level("confidence_label", V.LABELS).desc(), V.level("verdict", V.VERDICTS).desc(), F.col("spec_id")
-    return top.withColumn("place", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(*by_rank)).cast("long"))
+    """All results with their places, numbered without bringing them into one task."""
+    levels = {"_label": V.level("confidence_label", V.LABELS), "_verdict": V.level("verdict", V.VERDICTS), "_one": F.lit(1).cast("long")}
+    rows = V.rank_results(graded(spark, folder), "spec_id").select("spec_id", "confidence_label", "verdict").withColumns(levels)
+    placed = running_totals(rows, [("_label", "desc"), ("_verdict", "desc"), "spec_id"], {"place": "_one"})
+    return placed.select("spec_id", "confidence_label", "verdict", "place")
 
 
 @query(

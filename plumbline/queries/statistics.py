@@ -205,6 +205,12 @@ def spearman_all(spark, folder):
     return rounded(C.spearman(sales_view(spark, folder, "sales", "inventory"), "sales", "inventory"), 9)
 
 
+@query(spearman_sql(""))
+def spearman_all_split(spark, folder):
+    """The same by ranges, the way large tables go."""
+    return rounded(C.spearman(sales_view(spark, folder, "sales", "inventory"), "sales", "inventory", window_rows=500), 9)
+
+
 @query(
     SALES
     + f""", c AS (SELECT brand, count(*) AS n, corr(sales, our_position) AS r FROM sales GROUP BY brand),

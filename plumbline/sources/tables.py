@@ -142,17 +142,6 @@ def load_csv(spark: SparkSession, path: str, threshold: float = CAST_RATE) -> Ca
     return infer_and_cast(normalize_headers(read_csv_strings(spark, path)), threshold)
 
 
-def deal_out(scan: DataFrame, key: str) -> DataFrame:
-    """Spread a scan by ``key`` when it comes in fewer splits than there are cores.
-
-    Spark cuts a table into at least one split per core unless it is small or a single
-    row group, so on large tables this changes nothing. Only for frames that are a plain
-    scan, ahead of work that costs much more per row than the exchange.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores, key) if scan.rdd.getNumPartitions() < cores else scan
-
-
 def trim_strings(df: DataFrame) -> DataFrame:
     """Trim every string column."""
     return df.select(

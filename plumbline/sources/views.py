@@ -5,14 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.sources.tables import deal_out
 
-
-def table(spark: SparkSession, folder: str, name: str, deal: str | None = None) -> DataFrame:
-    """A stored table; ``deal`` names a key by which a small one is spread over all cores
-    for work that is heavy per row."""
-    scan = spark.read.parquet(f"{folder}/{name}.parquet")
-    return deal_out(scan, deal) if deal else scan
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A stored table."""
+    return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
 # Columns of the sales view, the tables each one needs besides lineitem, and how it is made.
@@ -40,19 +36,20 @@ JOIN_KEYS = {
 }
 
 
-def sales_view(spark: SparkSession, folder: str, *columns: str, deal: bool = False) -> DataFrame:
+def sales_view(spark: SparkSession, folder: str, *columns: str, trusted_keys: bool = False) -> DataFrame:
     """One row per line item with the named columns (all of them by default).
 
-    Only the tables those columns need are joined; every line item has its part, order,
-    customer and nation, so leaving a join out keeps the rows. No side is broadcast by
+    All tables are joined, so that every selection rests on the same rows. With
+    ``trusted_keys`` the caller vouches that each line item has its part, order, customer
+    and nation; then only the tables the columns need are read. No side is broadcast by
     hand: Spark broadcasts a dimension below the session's threshold and sort-merges it
     otherwise.
     """
     wanted = columns or tuple(SALES_COLUMNS)
     needed = {t for c in wanted for t in SALES_COLUMNS[c][0]}
-    facts = table(spark, folder, "lineitem", "l_orderkey" if deal else None)
+    facts = table(spark, folder, "lineitem")
     for name, (left, right) in JOIN_KEYS.items():
-        if name in needed:
+        if name in needed or not trusted_keys:
             side = table(spark, folder, name)
             facts = facts.join(side, facts[left] == side[right])
     return facts.select(*[F.expr(SALES_COLUMNS[c][1]).alias(c) for c in wanted])

@@ -34,6 +34,16 @@ def test_csv_to_results(spark, tmp_path):
     assert shoes[0]["verdict"] == "accept" and shoes[0]["confidence_label"] == "high"
 
 
+def test_every_spec_is_accounted_for(spark, tmp_path):
+    write_csv(tmp_path / "sales.csv", 400)
+    odd = [MetricSpec("odd", "nowhere"), SPECS[0]]
+    run = analyze(spark, str(tmp_path / "sales.csv"), [*SPECS, *odd])
+    states = [(r["spec"], r["status"]) for r in run.specs.collect()]
+    assert len(states) == len(SPECS) + len(odd)
+    assert ("odd", "skipped") in states and ("text", "skipped") in states and ("absent", "skipped") in states
+    assert sum(s == "computed" for _, s in states) == run.results.select("spec_id").distinct().count()
+
+
 def test_health_gate_stops(spark, tmp_path):
     write_csv(tmp_path / "few.csv", 20)
     run = analyze(spark, str(tmp_path / "few.csv"), SPECS)

@@ -328,7 +328,7 @@ def test_pareto_top_n_and_ties(spark):
 
 def test_derived_lookup_and_levels(facts):
     assert D.find_derived("ltv-cac") == "LTV_CAC" and D.find_derived("Click Through Rate") == "CTR"
-    assert D.find_derived("nothing like it") is None
+    assert all(D.find_derived(x) is None for x in ("nothing like it", "", "rate", "cost"))
     assert [r["value"] for r in D.derive(facts, "roas", ("n", "d")).limit(2).collect()] == [5.0, None]
     groups = {r["g"]: r["value"] for r in D.derive(facts, "ROI", ("n", "d"), "group", ["g"]).collect()}
     assert groups == {"a": 14.0, "b": pytest.approx(2.6)}

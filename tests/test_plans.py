@@ -117,8 +117,8 @@ def test_filter_and_columns_reach_the_scan(spark, folder):
 
 
 def test_unused_dimensions_are_not_joined(spark, folder):
-    plan = plan_of(sales_view(spark, folder, "date", "sales"))
-    assert "Join" not in plan
+    plan = plan_of(sales_view(spark, folder, "date", "sales", trusted_keys=True))
+    assert "Join" not in plan and "Join" in plan_of(sales_view(spark, folder, "date", "sales"))
 
 
 def test_no_single_partition_exchange_over_rows(spark, folder):
