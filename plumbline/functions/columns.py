@@ -30,21 +30,23 @@ def transform(column: Column | str, fn: str) -> Column:
     raise ValueError(f"unknown transformation {fn!r}")
 
 
-def hash_int(key: Column | str, seed: int = 0) -> Column:
+def hash_int(key: Column | str, seed: int | Column = 0) -> Column:
     """Integer in [0, 2147483647) that depends only on the row's key and the seed."""
+    seed = F.lit(seed) if isinstance(seed, int) else seed
     k = F.pmod(as_column(key).cast("long"), F.lit(PRIME).cast("long"))
-    first = (k * F.lit(48271) + F.lit(7919 * (seed + 1))) % F.lit(PRIME)
+    first = (k * F.lit(48271) + (seed + 1).cast("long") * 7919) % F.lit(PRIME)
     return ((first * first) % F.lit(PRIME) * F.lit(69621) + first) % F.lit(PRIME)
 
 
-def hash_uniform(key: Column | str, seed: int = 0) -> Column:
+def hash_uniform(key: Column | str, seed: int | Column = 0) -> Column:
     """Uniform draw in (0, 1) from the row's key; the same on every partitioning.
 
     Two hashes over coprime moduli are added modulo one, so draws repeat only after
     about 4.6e18 keys.
     """
+    step = (F.lit(seed) if isinstance(seed, int) else seed) + 1
     k = F.pmod(as_column(key).cast("long"), F.lit(SECOND_PRIME).cast("long"))
-    first = (k * F.lit(69621) + F.lit(104729 * (seed + 1))) % F.lit(SECOND_PRIME)
+    first = (k * F.lit(69621) + step.cast("long") * 104729) % F.lit(SECOND_PRIME)
     other = ((first * first) % F.lit(SECOND_PRIME) * F.lit(48271) + first) % F.lit(SECOND_PRIME)
     total = (hash_int(key, seed) + F.lit(0.5)) / F.lit(float(PRIME)) + (other + F.lit(0.25)) / F.lit(float(SECOND_PRIME))
     return total - F.floor(total)

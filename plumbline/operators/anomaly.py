@@ -7,21 +7,26 @@ a checked broadcast.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from plumbline.functions.columns import PRIME, hash_uniform
+from plumbline.functions.columns import hash_uniform
 from plumbline.plans.quantiles import exact_percentiles
 from plumbline.plans.running import WINDOW_ROWS
 from plumbline.plans.staging import checkpoint_parquet, join_on_group
 
 MIN_VALUES = 10
+# Defaults of the isolation forest: trees, rows a tree rests on, draws over those wanted, draws of a row at most.
 TREES = 100
 SAMPLE = 256
+SPARE = 1.3
+MOST_DRAWS = 64
+EULER = 0.5772156649015329
 
 
 def iqr_bounds(df: DataFrame, col: str, by: Sequence[str] = (), window_rows: int = WINDOW_ROWS) -> DataFrame:
@@ -131,120 +136,137 @@ def contamination(df: DataFrame, col: str, by: Sequence[str] = (), bounds: DataF
 # --- isolation forest on one column ---------------------------------------------------
 
 
-def _expected_path(n: np.ndarray) -> np.ndarray:
+def _expected_path(n: Column) -> Column:
     """Mean depth of an unsuccessful search among n values."""
-    n = np.asarray(n, dtype=float)
-    harmonic = np.log(np.maximum(n - 1, 1.0)) + 0.5772156649015329
-    return np.where(n > 2, 2 * harmonic - 2 * (n - 1) / np.maximum(n, 1.0), np.where(n == 2, 1.0, 0.0))
+    several = 2 * (F.log(F.greatest(n - 1, F.lit(1)).cast("double")) + EULER) - 2 * (n - 1) / n
+    return F.when(n > 2, several).when(n == 2, 1.0).otherwise(0.0)
 
 
-def _grow(values: np.ndarray, rng: np.random.Generator, limit: int) -> tuple[list[float], list[float]]:
-    """One tree as a step function: cut points and the path length between them."""
-    cuts: list[float] = []
-    depths: list[float] = []
+def _samples(df: DataFrame, col: str, key: Column, seed: int, trees: int, sample: int) -> DataFrame:
+    """(tree, v): hashed samples of at most ``sample`` rows a tree, by one rule for any table.
 
-    def split(part: np.ndarray, depth: int) -> None:
-        if depth >= limit or len(part) <= 1 or part[0] == part[-1]:
-            depths.append(depth + float(_expected_path(np.array(len(part)))))
-            return
-        at = rng.uniform(part[0], part[-1])
-        left = int(np.searchsorted(part, at, side="right"))
-        split(part[:left], depth + 1)
-        cuts.append(float(at))
-        split(part[left:], depth + 1)
-
-    split(np.sort(values), 0)
-    return cuts, depths
-
-
-def _tree_frame(seed: int):
-    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
-        tree = int(pdf["tree"].iloc[0])
-        # The sample is the rows of lowest hash, so it does not depend on arrival order.
-        chosen = pdf.sort_values(["u", "v"])["v"].to_numpy()[:SAMPLE]
-        cuts, depths = _grow(chosen, np.random.default_rng([seed, tree]), int(np.ceil(np.log2(max(len(chosen), 2)))))
-        return pd.DataFrame({"tree": [tree], "size": [len(chosen)], "cuts": [cuts], "depths": [depths]})
-
-    return grow
+    Each row makes the same number of draws, just enough for all samples together and
+    MOST_DRAWS at most; a draw takes part by one hash and picks its tree by another.
+    Each tree keeps the lowest hashes.
+    """
+    facts = df.select(F.col(col).cast("double").alias("v"), key.cast("long").alias("k")).filter("v is not null and not isnan(v)")
+    n = max(1, facts.count())
+    want = SPARE * sample * trees
+    draws = min(MOST_DRAWS, max(1, math.ceil(want / n)))
+    drawn = facts.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    drawn = drawn.withColumn("u", hash_uniform("k", F.lit(seed) + 2 * F.col("j"))).filter(F.col("u") < min(1.0, want / (n * draws)))
+    drawn = drawn.withColumn("tree", F.floor(hash_uniform("k", F.lit(seed) + 2 * F.col("j") + 1) * trees).cast("int"))
+    lowest = W.partitionBy("tree").orderBy("u", "v")
+    return drawn.withColumn("_place", F.row_number().over(lowest)).filter(F.col("_place") <= sample).select("tree", "v")
+
+
+def _leaves(samples: DataFrame, seed: int, sample: int) -> DataFrame:
+    """(tree, low, high, path in billionths): the values low ≤ v < high end in this leaf.
+
+    All trees grow one level at a time: a node's values are cut at a hashed place between
+    its least and its greatest. The rows of a tree stay together, so there is one shuffle.
+    """
+    depth = max(1, math.ceil(math.log2(max(sample, 2))))
+    none = F.lit(None).cast("double")
+    rows = samples.repartition("tree").select("tree", "v", F.lit(1).cast("long").alias("node"), F.lit(0).alias("depth"), none.alias("low"), none.alias("high"))
+    node = W.partitionBy("tree", "node")
+    for _ in range(depth):
+        place = hash_uniform(F.col("tree").cast("long") * (1 << (depth + 1)) + F.col("node"), seed - 1)
+        least, greatest = F.min("v").over(node), F.max("v").over(node)
+        cut = least + (greatest - least) * place
+        rows = rows.withColumn("cut", F.when((cut > least) & (cut <= greatest), cut))
+        left, cuts = F.col("v") < F.col("cut"), F.col("cut").isNotNull()
+        rows = rows.select(
+            "tree",
+            "v",
+            F.when(~cuts, F.col("node")).when(left, 2 * F.col("node")).otherwise(2 * F.col("node") + 1).alias("node"),
+            (F.col("depth") + cuts.cast("int")).alias("depth"),
+            F.when(cuts & ~left, F.col("cut")).otherwise(F.col("low")).alias("low"),
+            F.when(cuts & left, F.col("cut")).otherwise(F.col("high")).alias("high"),
+        )
+    size = F.count("*")
+    return rows.groupBy("tree", "node", "low", "high", "depth").agg(
+        size.alias("n"), F.round((F.col("depth") + _expected_path(size)) * 1e9).cast("long").alias("path")
+    )
 
 
-def _forest(df: DataFrame, col: str, key: Column, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """All trees summed into one step function over the column: edges and scores.
+def _score_steps(leaves: DataFrame) -> DataFrame:
+    """(edge, severity): the score of values from ``edge`` up to the next; null is the start.
 
-    Trees are grown in parallel from hashed samples of at most 256 rows; what reaches
-    the driver is at most 100 × 255 cut points.
+    At most trees × sample rows, which bounds the one ordered window over them.
     """
-    facts = df.select(F.col(col).cast("double").alias("v"), key.alias("k")).filter("v is not null")
-    n = facts.count()
-    want = 1.3 * SAMPLE
-    if n <= TREES * want * 4:
-        # Small table: every tree draws from all rows.
-        draws = facts.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))))
-        draws = draws.withColumn("u", hash_uniform(F.pmod("k", F.lit(PRIME)) * TREES + F.col("tree"), seed))
-        draws = draws.filter(F.col("u") < min(1.0, want / n))
-    else:
-        # Large table: a row can serve one tree only, so most rows are dropped by one hash.
-        draws = facts.withColumn("u", hash_uniform("k", seed)).filter(F.col("u") < want * TREES / n)
-        draws = draws.withColumn("tree", F.floor(hash_uniform("k", seed + 1) * TREES).cast("int"))
-    trees = draws.groupBy("tree").applyInPandas(_tree_frame(seed), "tree int, size int, cuts array<double>, depths array<double>")
-    grown = trees.collect()
-
-    edges = np.unique(np.concatenate([np.asarray(t["cuts"], dtype=float) for t in grown] or [np.empty(0)]))
-    total = np.zeros(len(edges) + 1)
-    for t in grown:
-        inner = np.searchsorted(np.asarray(t["cuts"], dtype=float), edges, side="left")
-        steps = np.asarray(t["depths"], dtype=float)
-        total[:-1] += steps[inner]
-        total[-1] += steps[-1]
-    size = max((t["size"] for t in grown), default=1)
-    path = total / max(len(grown), 1)
-    return edges, np.power(2.0, -path / max(float(_expected_path(np.array(size))), 1e-12))
+    whole = leaves.groupBy("tree").agg(F.sum("n").alias("n")).agg(F.count("*").alias("trees"), F.max("n").alias("size"))
+    turns = leaves.select(F.col("low").alias("edge"), "path").union(
+        leaves.filter("high is not null").select("high", (-F.col("path")).alias("path"))
+    )
+    order = W.orderBy(F.col("edge").asc_nulls_first()).rowsBetween(W.unboundedPreceding, 0)
+    total = turns.groupBy("edge").agg(F.sum("path").alias("turn")).withColumn("total", F.sum("turn").over(order))
+    mean = F.col("total") / 1e9 / F.col("trees")
+    score = F.pow(F.lit(2.0), -mean / F.greatest(_expected_path(F.col("size")), F.lit(1e-12)))
+    return total.crossJoin(F.broadcast(whole)).select("edge", F.round(score, 9).alias("severity"))
 
 
 def flag_iforest(
-    df: DataFrame, col: str, key: Column | str, seed: int = 42, rate: float | None = None, source: DataFrame | None = None
+    df: DataFrame,
+    col: str,
+    key: Column | str,
+    seed: int = 42,
+    rate: float | None = None,
+    source: DataFrame | None = None,
+    trees: int = TREES,
+    sample: int = SAMPLE,
 ) -> DataFrame:
     """Every non-null row with its isolation score in ``severity`` and ``is_anomaly``.
 
     ``key`` is an integer that identifies the row; the samples are drawn by its hash.
     ``source`` may name the same rows with fewer columns made, for the passes before.
-    The score depends on the value alone, so the cut comes from exact counts per step of
-    the score function, not from a sort of all rows.
+    The score is a step function of the value: rows find their step by a binary search
+    over the bounded edges, and the cut comes from exact counts per step, not from a sort
+    of all rows.
     """
     key = F.col(key) if isinstance(key, str) else key
     source = df if source is None else source
-    edges, scores = _forest(source, col, key, seed)
-    lookup = df.sparkSession.sparkContext.broadcast((edges, scores))
-
-    @F.pandas_udf("double")
-    def score(values: pd.Series) -> pd.Series:
-        at, level = lookup.value
-        return pd.Series(level[np.searchsorted(at, values.to_numpy(), side="left")])
+    leaves = checkpoint_parquet(_leaves(_samples(source, col, key, seed, trees, sample), seed, sample))
+    steps = checkpoint_parquet(_score_steps(leaves))
+    edges = [r["edge"] for r in steps.filter("edge is not null").orderBy("edge").select("edge").collect()]  # ≤ trees × sample
+    named = steps.select((F.row_number().over(W.orderBy(F.col("edge").asc_nulls_first())) - 1).cast("double").alias("_b"), "severity")
 
     def scored_rows(rows: DataFrame) -> DataFrame:
-        return rows.filter(F.col(col).isNotNull()).withColumn("severity", score(F.col(col).cast("double")))
-
-    scored = scored_rows(df)
-    steps = scored_rows(source.select(col)).groupBy("severity").agg(F.count("*").alias("rows"))
-    # At most one row per step: 25 501.
-    levels = steps.orderBy(F.col("severity").desc()).toPandas()
+        value = F.col(col).cast("double")
+        rows = rows.filter(value.isNotNull()).withColumn("_v", value)
+        if edges:
+            rows = Bucketizer(splits=[-math.inf, *edges, math.inf], inputCol="_v", outputCol="_at", handleInvalid="keep").transform(rows)
+        else:
+            rows = rows.withColumn("_at", F.lit(0.0))
+        return rows.join(F.broadcast(named), F.col("_at") == F.col("_b"), "left").drop("_v", "_at", "_b")
+
+    levels = scored_rows(source.select(col)).groupBy("severity").agg(F.count("*").alias("rows")).filter("severity is not null")
+    levels = levels.orderBy(F.col("severity").desc()).toPandas()  # one row per step at most
     n = int(levels["rows"].sum())
     if rate is None:
         rate = contamination(source, col).first()["contamination"]
     rate = 0.01 if rate is None else rate
     # The cut is the interpolated percentile of −severity at ``rate``.
-    reached = np.cumsum(levels["rows"].to_numpy())
+    reached, severity = levels["rows"].cumsum().to_numpy(), levels["severity"].to_numpy()
     at = rate * (n - 1)
-    low = levels["severity"].to_numpy()[np.searchsorted(reached, np.floor(at), side="right")] if n else 0.0
-    high = levels["severity"].to_numpy()[np.searchsorted(reached, np.ceil(at), side="right")] if n else 0.0
-    cut = low + (high - low) * (at - np.floor(at))
-    enough = n >= MIN_VALUES
-    return scored.withColumn("is_anomaly", F.lit(enough) & (F.col("severity") > F.lit(float(cut))))
+    low = severity[reached.searchsorted(math.floor(at), side="right")] if n else 0.0
+    high = severity[reached.searchsorted(math.ceil(at), side="right")] if n else 0.0
+    cut = low + (high - low) * (at - math.floor(at))
+    flag = F.lit(n >= MIN_VALUES) & F.coalesce(F.col("severity") > F.lit(float(cut)), F.lit(False))
+    return scored_rows(df).withColumn("is_anomaly", flag)
 
 
-def anomalies_iforest(df: DataFrame, col: str, key: Column | str, seed: int = 42, rate: float | None = None) -> DataFrame:
+def anomalies_iforest(
+    df: DataFrame,
+    col: str,
+    key: Column | str,
+    seed: int = 42,
+    rate: float | None = None,
+    trees: int = TREES,
+    sample: int = SAMPLE,
+) -> DataFrame:
     """Rows that isolate early; classified against two population deviations."""
-    flagged = flag_iforest(df, col, key, seed, rate)
+    flagged = flag_iforest(df, col, key, seed, rate, None, trees, sample)
     bounds = zscore_bounds(df, col, (), 2.0).select("lower", "upper")
     rows = flagged.filter("is_anomaly").crossJoin(F.broadcast(bounds))
     return classify_anomalies(rows, col).select(*df.columns, "lower", "upper", "severity", "classification")

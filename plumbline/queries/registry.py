@@ -92,14 +92,14 @@ WITH calls AS (
 """
 
 
-def hash_sql(key: str, seed: int = 0) -> str:
+def hash_sql(key: str, seed: int | str = 0) -> str:
     """The row hash of ``functions.columns.hash_int`` in SQL."""
-    first = f"((({key}) % 2147483647 * 48271 + {7919 * (seed + 1)}) % 2147483647)"
+    first = f"((({key}) % 2147483647 * 48271 + 7919 * (({seed}) + 1)) % 2147483647)"
     return f"(({first} * {first} % 2147483647 * 69621 + {first}) % 2147483647)"
 
 
-def uniform_sql(key: str, seed: int = 0) -> str:
-    first = f"((({key}) % 2147483629 * 69621 + {104729 * (seed + 1)}) % 2147483629)"
+def uniform_sql(key: str, seed: int | str = 0) -> str:
+    first = f"((({key}) % 2147483629 * 69621 + 104729 * (({seed}) + 1)) % 2147483629)"
     other = f"(({first} * {first} % 2147483629 * 48271 + {first}) % 2147483629)"
     total = f"(({hash_sql(key, seed)} + 0.5e0) / 2147483647e0 + ({other} + 0.25e0) / 2147483629e0)"
     return f"({total} - floor({total}))"

@@ -8,7 +8,7 @@ from plumbline.operators import anomaly as N
 from plumbline.operators import association as C
 from plumbline.operators import causal as K
 from plumbline.operators import validate as V
-from plumbline.queries.registry import SALES, hash_sql, normal_sql, query, register, rounded, student_p_sql
+from plumbline.queries.registry import SALES, hash_sql, normal_sql, query, register, rounded, student_p_sql, uniform_sql
 from plumbline.sources.views import sales_view, table
 
 ROW_KEY = "l_orderkey * 8 + l_linenumber"
@@ -156,19 +156,85 @@ def anomaly_consensus_two(spark, folder):
     )
 
 
+def _forest_sql() -> str:
+    """Samples, levels and steps of the isolation forest; then ``forest``: lines with severity and hit."""
+    path = "CASE WHEN {n} > 2 THEN 2 * (ln(greatest({n} - 1, 1)) + 0.5772156649015329e0) - 2 * ({n} - 1) / {n} WHEN {n} = 2 THEN 1 ELSE 0 END"
+    out = f""", size AS (SELECT greatest(1, count(amount)) AS n FROM lines),
+draws AS (SELECT n, least({N.MOST_DRAWS}, greatest(1, CAST(ceil({N.SPARE * N.SAMPLE * N.TREES}e0 / n) AS BIGINT))) AS m FROM size),
+drawn AS (
+  SELECT amount AS v, row_key AS k, j, {uniform_sql("row_key", "42 + 2 * j")} AS u, {uniform_sql("row_key", "43 + 2 * j")} AS t, n, m
+  FROM lines, draws, range({N.MOST_DRAWS}) r(j) WHERE j < m AND amount IS NOT NULL),
+taken AS (
+  SELECT CAST(floor(t * {N.TREES}) AS BIGINT) AS tree, v, u FROM drawn WHERE u < least(1, {N.SPARE * N.SAMPLE * N.TREES}e0 / (n * m))),
+l0 AS (
+  SELECT tree, v, 1::BIGINT AS node, 0 AS depth, NULL::DOUBLE AS low, NULL::DOUBLE AS high
+  FROM (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY u, v) AS place FROM taken) WHERE place <= {N.SAMPLE})"""
+    levels = (N.SAMPLE - 1).bit_length()
+    for i in range(levels):
+        place = uniform_sql(f"(tree * {1 << (levels + 1)} + node)", 41)
+        out += f""",
+c{i} AS (SELECT *, min(v) OVER w AS a, max(v) OVER w AS b FROM l{i} WINDOW w AS (PARTITION BY tree, node)),
+d{i} AS (SELECT *, a + (b - a) * {place} AS raw FROM c{i}),
+e{i} AS (SELECT *, CASE WHEN raw > a AND raw <= b THEN raw END AS cut FROM d{i}),
+l{i + 1} AS (
+  SELECT tree, v, CASE WHEN cut IS NULL THEN node WHEN v < cut THEN 2 * node ELSE 2 * node + 1 END AS node,
+         depth + CAST(cut IS NOT NULL AS INT) AS depth, CASE WHEN cut IS NOT NULL AND v >= cut THEN cut ELSE low END AS low,
+         CASE WHEN cut IS NOT NULL AND v < cut THEN cut ELSE high END AS high FROM e{i})"""
+    return out + f""",
+leaf AS (
+  SELECT tree, low, high, count(*) AS n, CAST(round((depth + {path.format(n="count(*)")}) * 1e9) AS BIGINT) AS path
+  FROM l{levels} GROUP BY tree, node, low, high, depth),
+whole AS (SELECT count(*) AS trees, max(n) AS size FROM (SELECT sum(n) AS n FROM leaf GROUP BY tree)),
+turn AS (SELECT edge, sum(path) AS turn FROM (SELECT low AS edge, path FROM leaf UNION ALL SELECT high, -path FROM leaf WHERE high IS NOT NULL) GROUP BY edge),
+step AS (
+  SELECT coalesce(edge, '-infinity'::DOUBLE) AS edge,
+         round(pow(2e0, -(CAST(sum(turn) OVER (ORDER BY edge NULLS FIRST ROWS UNBOUNDED PRECEDING) AS DOUBLE) / 1e9 / trees)
+               / greatest({path.format(n="size")}, 1e-12)), 9) AS severity FROM turn, whole),
+scored AS (SELECT lines.*, step.severity FROM lines ASOF JOIN step ON lines.amount >= step.edge WHERE amount IS NOT NULL),
+part AS (SELECT greatest(0.01e0, least(0.15e0, avg((amount < lower OR amount > upper)::INT))) AS rate FROM flagged),
+o AS (SELECT severity, row_number() OVER (ORDER BY severity DESC) - 1 AS i, count(*) OVER () AS n FROM scored),
+limits AS (
+  SELECT max(severity) FILTER (i = floor(spot)) AS a, max(severity) FILTER (i = ceil(spot)) AS b, max(spot) - floor(max(spot)) AS f, max(n) AS n
+  FROM (SELECT o.*, rate * (n - 1) AS spot FROM o, part)),
+forest AS (SELECT scored.*, n >= {N.MIN_VALUES} AND severity > a + (b - a) * f AS found FROM scored, limits),
+two AS (SELECT avg(amount) - 2 * stddev_pop(amount) AS low2, avg(amount) + 2 * stddev_pop(amount) AS high2 FROM lines)
+"""
+
+
+@query(
+    iqr_cte()
+    + _forest_sql()
+    + f"""SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_returnflag, round(amount, 6) AS amount, round(lower, 6) AS lower,
+  round(upper, 6) AS upper, round(severity, 6) AS severity, {CLASS} AS classification
+FROM (SELECT forest.*, low2 AS lower, high2 AS upper FROM forest, two WHERE found)"""
+)
 def anomalies_iforest(spark, folder):
     return anomaly_rows(N.anomalies_iforest(lines(spark, folder), "amount", "row_key"))
 
 
+@query(
+    iqr_cte()
+    + _forest_sql()
+    + f""", z AS (SELECT avg(amount) AS mean, stddev_pop(amount) AS std FROM lines),
+votes AS (
+  SELECT flagged.l_orderkey, flagged.l_linenumber, flagged.l_returnflag, flagged.row_key, flagged.amount, hit AS a,
+         coalesce(abs(flagged.amount - mean) / nullif(std, 0) > 3, FALSE) AS b, found AS c, flagged.severity AS sa,
+         abs(flagged.amount - mean) / nullif(std, 0) AS sb, lower AS la, upper AS ua, mean - 3 * std AS lb, mean + 3 * std AS ub
+  FROM flagged JOIN forest ON flagged.row_key = forest.row_key AND flagged.l_partkey = forest.l_partkey
+    AND flagged.l_shipdate = forest.l_shipdate AND flagged.amount = forest.amount, z),
+named AS (
+  SELECT *, a::INT + b::INT + c::INT AS agreement_count, CASE WHEN a THEN sa ELSE sb END AS severity,
+         CASE WHEN a THEN la ELSE lb END AS lower, CASE WHEN a THEN ua ELSE ub END AS upper FROM votes)
+SELECT l_orderkey, l_linenumber, l_returnflag, row_key, round(amount, 6) AS amount, agreement_count,
+  concat_ws(',', CASE WHEN a THEN 'iqr' END, CASE WHEN b THEN 'zscore' END, CASE WHEN c THEN 'isolation_forest' END) AS methods_agreed,
+  CASE WHEN agreement_count >= 3 THEN 'high' ELSE 'medium' END AS consensus_confidence, round(severity, 6) AS severity,
+  {CLASS} AS classification FROM named WHERE agreement_count >= 2"""
+)
 def anomaly_consensus_three(spark, folder):
     found = N.anomalies_consensus(lines(spark, folder), "amount", key="row_key")
     return rounded(found.drop("l_shipdate", "l_partkey"))
 
 
-register("anomalies_iforest", anomalies_iforest)
-register("anomaly_consensus_three", anomaly_consensus_three)
-
-
 # --- association ------------------------------------------------------------------------
 
 READING = """CASE WHEN abs(r) < 0.3 THEN 'weak' WHEN abs(r) < 0.7 THEN 'moderate' ELSE 'strong' END AS strength,

@@ -234,3 +234,11 @@ def test_causal_effect_against_least_squares(spark):
     r = K.refute(df, "t", "y", ["a", "b"], "id").first()
     assert r["estimated_effect"] == pytest.approx(beta[0]) and r["standard_error"] == pytest.approx(error)
     assert r["refutations_passed"] >= 2 and r["causal_confidence"] == "high"
+
+
+def test_isolation_forest_with_keys_beyond_31_bits(spark):
+    prime = 2147483647
+    df = spark.range(3000).select((F.lit(5) + F.col("id") * prime).alias("id"), F.when(F.col("id") < 12, 900.0).otherwise(F.col("id") % 97).alias("v"))
+    assert N.anomalies_iforest(df, "v", "id").filter("v = 900").count() == 12
+    draws = df.select(N.hash_uniform("id", 42).alias("u")).agg(F.countDistinct("u"), F.avg("u")).first()
+    assert draws[0] == 3000 and abs(draws[1] - 0.5) < 0.05
