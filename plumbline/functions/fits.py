@@ -1,191 +1,243 @@
-"""Small least-squares models of one short series, used inside grouped tasks.
+"""Models of short series as column expressions: one row per series, its values in arrays.
 
-Likelihoods are conditional (the first values are taken as given), so the information
-criteria of the models compare with each other but not with an exact likelihood.
+Regressions are solved by sweeping columns out one after another, recursions are folds
+over the array, and weights come from fixed grids. Likelihoods are conditional (the first
+values are taken as given), so the information criteria of the models compare with each
+other but not with an exact likelihood.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from dataclasses import dataclass
 
-import numpy as np
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
-from plumbline.functions.tails import unit_root_p
+# Candidate weights: autoregressive and moving-average; level, trend and season.
+ARMA_GRID = tuple(i / 20 for i in range(-19, 20))
+LEVEL_GRID = (0.05, 0.1, 0.2, 0.3, 0.5, 0.7, 0.9)
+TREND_GRID = (0.0, 0.05, 0.1, 0.2, 0.4)
+SEASON_GRID = (0.0, 0.05, 0.1, 0.2, 0.4)
 
 
-@dataclass
-class Fit:
-    """Forecast with its 95 % band and information criteria."""
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
-    mean: np.ndarray
-    half_width: np.ndarray
-    aic: float
-    bic: float
 
+def total(a: Column) -> Column:
+    return F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
 
-def _criteria(sse: float, n: int, k: int) -> tuple[float, float]:
-    level = n * (math.log(2 * math.pi * max(sse / n, 1e-300)) + 1)
-    return level + 2 * k, level + k * math.log(n)
 
+def dot(a: Column, b: Column) -> Column:
+    return total(F.zip_with(a, b, lambda p, q: p * q))
 
-def _refine(loss, bounds: list[tuple[float, float]], points: int, rounds: int = 6) -> tuple[float, ...]:
-    """Minimise ``loss`` (vectorised over candidates) on grids that shrink around the best."""
-    low, high = np.array(bounds, dtype=float).T
-    best = (low + high) / 2
-    lo, hi = low.copy(), high.copy()
-    for _ in range(rounds):
-        axes = [np.linspace(a, b, points) for a, b in zip(lo, hi)]
-        grid = np.stack([g.ravel() for g in np.meshgrid(*axes, indexing="ij")])
-        values = loss(*grid)
-        best = grid[:, int(np.nanargmin(values))]
-        step = (hi - lo) / (points - 1)
-        lo, hi = np.maximum(low, best - 1.5 * step), np.minimum(high, best + 1.5 * step)
-    return tuple(best)
 
+def mean(a: Column) -> Column:
+    return total(a) / F.size(a)
 
-def unit_root(y: np.ndarray, max_lag: int | None = None) -> tuple[float, float]:
-    """(t statistic, p-value) of the augmented unit-root test with a constant.
 
-    The number of lagged differences, up to ``max_lag``, is chosen by AIC on a common
-    sample.
-    """
-    n = len(y)
-    if n < 6 or np.ptp(y) == 0:
-        return math.nan, 1.0
-    most = max(0, min(int(math.ceil(12 * (n / 100) ** 0.25)), n // 2 - 2))
-    most = most if max_lag is None else min(most, max_lag)
-    dy = np.diff(y)
-
-    def regress(p: int, start: int):
-        rows = np.arange(start, len(dy))
-        columns = [y[rows], *[dy[rows - j] for j in range(1, p + 1)], np.ones(len(rows))]
-        x, target = np.stack(columns, axis=1), dy[rows]
-        beta, *_ = np.linalg.lstsq(x, target, rcond=None)
-        rest = target - x @ beta
-        return x, beta, float(rest @ rest), len(rows)
-
-    def score(p: int) -> float:
-        _, _, sse, m = regress(p, most)
-        return _criteria(sse, m, p + 2)[0]
-
-    lag = min(range(most + 1), key=score)
-    x, beta, sse, m = regress(lag, lag)
-    free = m - x.shape[1]
-    if free <= 0:
-        return math.nan, 1.0
-    error = math.sqrt(max(sse, 1e-300) / free * np.linalg.pinv(x.T @ x)[0, 0])
-    t = float(beta[0] / error) if error > 0 else math.nan
-    return t, (1.0 if math.isnan(t) else unit_root_p(t))
-
-
-def arma(y: np.ndarray, d: int, periods: int, weights: Sequence[float] | None = None) -> Fit:
-    """ARIMA(1,d,1) by conditional least squares; a constant only without differencing.
-
-    ``weights`` gives (autoregressive, moving-average) instead of fitting them.
-    """
-    z = np.diff(y, n=d) if d else y
-    centre = float(z.mean()) if d == 0 else 0.0
-    w = z - centre
-
-    def loss(phi, theta):
-        e = np.zeros_like(phi)
-        total = np.zeros_like(phi)
-        for t in range(1, len(w)):
-            e = w[t] - phi * w[t - 1] - theta * e
-            total = total + e * e
-        return total
-
-    phi, theta = weights or _refine(loss, [(-0.99, 0.99), (-0.99, 0.99)], 21)
-    e, sse = 0.0, 0.0
-    for t in range(1, len(w)):
-        e = w[t] - phi * w[t - 1] - theta * e
-        sse += e * e
-    m = len(w) - 1
-    steps = np.empty(periods)
-    previous = phi * w[-1] + theta * e
-    for h in range(periods):
-        steps[h] = previous
-        previous = phi * previous
-    psi = np.concatenate([[1.0], (phi + theta) * phi ** np.arange(periods - 1)])
-    if d:
-        psi = np.cumsum(psi)
-        mean = y[-1] + np.cumsum(steps)
-    else:
-        mean = centre + steps
-    spread = np.sqrt(sse / m * np.cumsum(psi * psi))
-    return Fit(mean, 1.96 * spread, *_criteria(sse, m, 3 if d else 4))
-
-
-def seasonal_arx(y: np.ndarray, x: np.ndarray, d: int, season: int, future: np.ndarray) -> Fit:
-    """Regression on the last value, the value one season back and the outside columns.
-
-    All columns are differenced ``d`` times; ``future`` holds the outside values to come.
+def differences(y: Column) -> Column:
+    n = F.size(y)
+    return F.zip_with(F.slice(y, 2, F.greatest(n - 1, F.lit(0))), F.slice(y, 1, F.greatest(n - 1, F.lit(0))), lambda a, b: a - b)
+
+
+def running(a: Column) -> Column:
+    """Sums up to each place."""
+    return F.transform(a, lambda v, i: total(F.slice(a, 1, i + 1)))
+
+
+def criteria(sse: Column, n: Column, k: Column | int) -> tuple[Column, Column]:
+    """AIC and BIC of k parameters on n rows."""
+    k = F.lit(k) if isinstance(k, int) else k
+    level = n * (F.log(2 * math.pi * F.greatest(sse / n, F.lit(1e-300))) + 1)
+    return level + 2 * k, level + k * F.log(n.cast("double"))
+
+
+def swept(columns: Column, steps: Column) -> Column:
+    """The columns left when the first ``steps`` have been regressed out, one by one.
+
+    A struct: ``left`` (arrays, the last one is the target) and ``sse``, the target's sum
+    of squares after each step. A column without anything of its own explains nothing.
     """
-    periods = len(future)
-    z = np.diff(y, n=d) if d else y
-    known = np.vstack([x, future])
-    ahead = np.diff(known, n=d, axis=0) if d else known
-    back = [1] + ([season] if len(z) > 2 * season else [])
-    start = max(back)
-    rows = np.arange(start, len(z))
-    columns = [z[rows - b] for b in back] + [ahead[rows, j] for j in range(x.shape[1])]
-    columns += [np.ones(len(rows))] if d == 0 else []
-    design = np.stack(columns, axis=1)
-    if len(rows) <= design.shape[1] + 1:
-        raise ValueError("too few points")
-    beta, *_ = np.linalg.lstsq(design, z[rows], rcond=None)
-    rest = z[rows] - design @ beta
-    sse = float(rest @ rest)
-    path = list(z)
-    for h in range(periods):
-        at = len(z) + h
-        value = sum(beta[i] * path[at - b] for i, b in enumerate(back))
-        value += float(ahead[at] @ beta[len(back) : len(back) + x.shape[1]])
-        path.append(value + (beta[-1] if d == 0 else 0.0))
-    steps = np.array(path[len(z) :])
-    # Response of the series to one shock, for the width of the band.
-    psi = np.zeros(periods)
-    for h in range(periods):
-        psi[h] = 1.0 if h == 0 else sum(beta[i] * psi[h - b] for i, b in enumerate(back) if h >= b)
-    if d:
-        psi, steps = np.cumsum(psi), y[-1] + np.cumsum(steps)
-    spread = np.sqrt(sse / len(rows) * np.cumsum(psi * psi))
-    return Fit(steps, 1.96 * spread, *_criteria(sse, len(rows), design.shape[1] + 1))
-
-
-def holt_winters(y: np.ndarray, season: int, periods: int, weights: Sequence[float] | None = None) -> Fit:
-    """Additive level, trend and season; smoothing weights given or by least squares."""
-    n = len(y)
-    if n < 2 * season:
-        raise ValueError("needs two seasons")
-    first, second = y[:season].mean(), y[season : 2 * season].mean()
-    slope = (second - first) / season
-    # Seasonal start values around the line through the first season's middle.
-    line = first + slope * (np.arange(season) - (season - 1) / 2)
-    start = y[:season] - line
-    level0 = first - slope * (season + 1) / 2
-
-    def run(alpha, beta, gamma):
-        level = np.full(np.shape(alpha), level0)
-        trend = np.full(np.shape(alpha), slope)
-        seasons = [np.full(np.shape(alpha), s) for s in start]
-        total = np.zeros(np.shape(alpha))
-        for t in range(n):
-            s = seasons[t % season]
-            e = y[t] - level - trend - s
-            total = total + e * e
-            before = level
-            level = alpha * (y[t] - s) + (1 - alpha) * (level + trend)
-            trend = beta * (level - before) + (1 - beta) * trend
-            seasons[t % season] = gamma * (y[t] - level) + (1 - gamma) * s
-        return total, level, trend, seasons
-
-    alpha, beta, gamma = weights or _refine(lambda *p: run(*p)[0], [(0.0, 1.0)] * 3, 7)
-    sse, level, trend, seasons = run(np.array(alpha), np.array(beta), np.array(gamma))
-    h = np.arange(1, periods + 1)
-    mean = float(level) + float(trend) * h + np.array([float(seasons[(n + k) % season]) for k in range(periods)])
-    c = alpha * (1 + beta * np.arange(1, periods)) + gamma * (1 - alpha) * (np.arange(1, periods) % season == 0)
-    spread = np.sqrt(float(sse) / n * (1 + np.concatenate([[0.0], np.cumsum(c * c)])))
-    return Fit(mean, 1.96 * spread, *_criteria(float(sse), n, 3 + 2 + season))
+
+    def without(rest: Column, pivot: Column) -> Column:
+        shares = let(dot(pivot, pivot), lambda size: F.transform(
+            rest, lambda c: F.struct(c.alias("c"), F.when(size > 1e-12, dot(c, pivot) / size).otherwise(0.0).alias("k"))
+        ))
+        return F.transform(shares, lambda s: F.zip_with(s["c"], pivot, lambda a, b: a - b * s["k"]))
+
+    def step(state: Column, _: Column) -> Column:
+        rest = F.slice(state["left"], 2, F.size(state["left"]) - 1)
+        return let(
+            without(rest, state["left"][0]),
+            lambda left: F.struct(
+                left.alias("left"), F.concat(state["sse"], F.array(let(F.element_at(left, -1), lambda t: dot(t, t)))).alias("sse")
+            ),
+        )
+
+    start = F.struct(columns.alias("left"), F.array().cast("array<double>").alias("sse"))
+    return F.aggregate(F.sequence(F.lit(1), steps), start, step)
+
+
+def largest_lag(n: Column, max_lag: int | None) -> Column:
+    most = F.greatest(F.lit(0), F.least(F.ceil(12 * F.pow(n / 100, F.lit(0.25))), F.floor(n / 2) - 2)).cast("int")
+    return most if max_lag is None else F.least(most, F.lit(max_lag))
+
+
+def _lagged(dy: Column, lag: Column, rows: Column, count: Column) -> Column:
+    """``count`` columns: differences 1 … count steps before the last ``rows`` ones."""
+    back = F.filter(F.sequence(F.lit(0), count), lambda j: j > 0)
+    return F.transform(back, lambda j: F.slice(dy, lag + 1 - j, rows))
+
+
+def unit_root_lag(y: Column, most: Column) -> Column:
+    """Lagged differences, up to ``most``, with the lowest AIC on a common sample."""
+    dy = differences(y)
+    rows = F.size(dy) - most
+    columns = F.concat(
+        F.array(F.array_repeat(F.lit(1.0), rows), F.slice(y, most + 1, rows)), _lagged(dy, most, rows, most), F.array(F.slice(dy, most + 1, rows))
+    )
+    sse = F.slice(swept(columns, most + 2)["sse"], 2, most + 1)
+    aic = F.transform(sse, lambda s, p: criteria(s, rows, p + 2)[0])
+    return let(aic, lambda a: F.array_position(a, F.array_min(a)).cast("int") - 1)
+
+
+def unit_root_t(y: Column, lag: Column) -> Column:
+    """t statistic of the last value in the regression of the next difference."""
+    dy = differences(y)
+    rows = F.size(dy) - lag
+    columns = F.concat(
+        F.array(F.array_repeat(F.lit(1.0), rows)), _lagged(dy, lag, rows, lag), F.array(F.slice(y, lag + 1, rows), F.slice(dy, lag + 1, rows))
+    )
+    free = rows - lag - 2
+    own = let(swept(columns, lag + 1)["left"], lambda left: _last_step(left[0], left[1]))
+    return let(own, lambda s: F.when((free > 0) & (s["size"] > 1e-12) & (s["sse"] > 0), s["beta"] / F.sqrt(s["sse"] / free / s["size"])))
+
+
+def _last_step(x: Column, target: Column) -> Column:
+    """Coefficient of the one column left, its own sum of squares and that of the rest."""
+
+    def rest(s: Column) -> Column:
+        sse = total(F.zip_with(target, x, lambda t, v: (t - s["beta"] * v) * (t - s["beta"] * v)))
+        return F.struct(s["beta"].alias("beta"), s["size"].alias("size"), sse.alias("sse"))
+
+    share = let(dot(x, x), lambda size: F.struct(F.when(size > 1e-12, dot(x, target) / size).otherwise(0.0).alias("beta"), size.alias("size")))
+    return let(share, rest)
+
+
+def _grid(*axes: Sequence[float]) -> Column:
+    """All combinations as an array of arrays, in order."""
+    out = F.transform(F.array(*[F.lit(float(v)) for v in axes[0]]), lambda v: F.array(v))
+    for axis in axes[1:]:
+        values = F.array(*[F.lit(float(v)) for v in axis])
+        out = F.flatten(F.transform(out, lambda head: F.transform(values, lambda v: F.concat(head, F.array(v)))))
+    return out
+
+
+def _lowest(candidates: Column, loss) -> Column:
+    """(loss, weights): the least, ties to the smaller weights."""
+    return F.array_min(F.transform(candidates, lambda w: F.struct(loss(w)["sse"].alias("sse"), w.alias("w"))))
+
+
+def arma_errors(w: Column, weights: Column) -> Column:
+    """Last error and sum of squares of an ARMA(1,1) run through ``w``."""
+
+    def step(s: Column, v: Column) -> Column:
+        now = v - weights[0] * s["before"] - weights[1] * s["e"]
+        return let(now, lambda e: F.struct(v.alias("before"), e.alias("e"), (s["sse"] + e * e).alias("sse")))
+
+    start = F.struct(w[0].alias("before"), F.lit(0.0).alias("e"), F.lit(0.0).alias("sse"))
+    return F.aggregate(F.slice(w, 2, F.size(w) - 1), start, step)
+
+
+def arma_weights(w: Column, given: Sequence[float] | None) -> Column:
+    if given is not None:
+        return F.array(*[F.lit(float(v)) for v in given])
+    return _lowest(_grid(ARMA_GRID, ARMA_GRID), lambda c: arma_errors(w, c))["w"]
+
+
+def arma_forecast(y: Column, w: Column, centre: Column, d: Column, weights: Column, periods: int) -> Column:
+    """(mean, half, aic, bic) of ARIMA(1,d,1), d zero or one; a constant only without differencing."""
+    return let(arma_errors(w, weights), lambda end: _arma_ahead(y, w, centre, d, weights, periods, end))
+
+
+def _arma_ahead(y: Column, w: Column, centre: Column, d: Column, weights: Column, periods: int, end: Column) -> Column:
+    m = F.size(w) - 1
+    phi, theta = weights[0], weights[1]
+    first = phi * F.element_at(w, -1) + theta * end["e"]
+    steps = F.transform(F.sequence(F.lit(0), F.lit(periods - 1)), lambda h: first * F.pow(phi, h.cast("double")))
+    psi = F.transform(
+        F.sequence(F.lit(0), F.lit(periods - 1)), lambda h: F.when(h == 0, 1.0).otherwise((phi + theta) * F.pow(phi, (h - 1).cast("double")))
+    )
+    level = F.transform(running(steps), lambda v: F.element_at(y, -1) + v)
+    ahead = F.when(d == 1, level).otherwise(F.transform(steps, lambda v: centre + v))
+    aic, bic = criteria(end["sse"], m, F.when(d == 1, 3).otherwise(4))
+    return F.struct(ahead.alias("mean"), _band(F.when(d == 1, running(psi)).otherwise(psi), end["sse"] / m).alias("half"), aic.alias("aic"), bic.alias("bic"))
+
+
+def _band(psi: Column, variance: Column) -> Column:
+    """Half widths at 95 % from the responses to one shock."""
+    return F.transform(running(F.transform(psi, lambda p: p * p)), lambda s: 1.96 * F.sqrt(variance * s))
+
+
+def seasonal_run(y: Column, season: int, weights: Column) -> Column:
+    """Level, trend, seasons and sum of squares of additive smoothing run through ``y``."""
+    halves = F.array(mean(F.slice(y, 1, season)), mean(F.slice(y, season + 1, season)))
+
+    def begun(a: Column) -> Column:
+        # Seasonal start values around the line through the first season's middle.
+        slope = (a[1] - a[0]) / season
+        seasons = F.transform(F.slice(y, 1, season), lambda v, k: v - (a[0] + slope * (k - (season - 1) / 2)))
+        level = a[0] - slope * (season + 1) / 2
+        return F.struct(level.alias("level"), slope.alias("trend"), seasons.alias("seasons"), F.lit(0.0).alias("sse"), F.lit(0).alias("t"))
+
+    def step(s: Column, v: Column) -> Column:
+        at = s["t"] % season
+        own = s["seasons"][at]
+        e = v - s["level"] - s["trend"] - own
+
+        def turned(level: Column) -> Column:
+            changed = weights[2] * (v - level) + (1 - weights[2]) * own
+            seasons = F.concat(F.slice(s["seasons"], 1, at), F.array(changed), F.slice(s["seasons"], at + 2, F.lit(season)))
+            trend = weights[1] * (level - s["level"]) + (1 - weights[1]) * s["trend"]
+            return F.struct(level.alias("level"), trend.alias("trend"), seasons.alias("seasons"), (s["sse"] + e * e).alias("sse"), (s["t"] + 1).alias("t"))
+
+        return let(weights[0] * (v - own) + (1 - weights[0]) * (s["level"] + s["trend"]), turned)
+
+    return F.aggregate(y, let(halves, begun), step)
+
+
+def seasonal_weights(y: Column, season: int, given: Sequence[float] | None) -> Column:
+    if given is not None:
+        return F.array(*[F.lit(float(v)) for v in given])
+    return _lowest(_grid(LEVEL_GRID, TREND_GRID, SEASON_GRID), lambda c: seasonal_run(y, season, c))["w"]
+
+
+def seasonal_forecast(y: Column, season: int, weights: Column, periods: int) -> Column:
+    """(mean, half, aic, bic) of additive level, trend and season."""
+    return let(seasonal_run(y, season, weights), lambda end: _seasonal_ahead(y, season, weights, periods, end))
+
+
+def _seasonal_ahead(y: Column, season: int, weights: Column, periods: int, end: Column) -> Column:
+    n = F.size(y)
+    ahead = F.transform(F.sequence(F.lit(0), F.lit(periods - 1)), lambda h: end["level"] + end["trend"] * (h + 1) + end["seasons"][(n + h) % season])
+    shock = F.transform(
+        F.sequence(F.lit(0), F.lit(periods - 1)),
+        lambda h: F.when(h == 0, 1.0).otherwise(weights[0] * (1 + weights[1] * h) + F.when(h % season == 0, weights[2] * (1 - weights[0])).otherwise(0.0)),
+    )
+    aic, bic = criteria(end["sse"], n, 5 + season)
+    return F.struct(ahead.alias("mean"), _band(shock, end["sse"] / n).alias("half"), aic.alias("aic"), bic.alias("bic"))
+
+
+def least_squares(columns: Sequence[Column], target: Column) -> tuple[list[Column], Column]:
+    """Coefficients, each from sweeping all other columns out first, and the sum of squares."""
+    out, sse = [], None
+    for i, own in enumerate(columns):
+        others = [c for j, c in enumerate(columns) if j != i]
+        state = swept(F.array(*others, own, target), F.lit(len(others))) if others else F.struct(F.array(own, target).alias("left"))
+        last = let(state["left"], lambda left: _last_step(left[0], left[1]))
+        out.append(last["beta"])
+        sse = last["sse"]
+    return out, sse

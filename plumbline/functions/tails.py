@@ -75,6 +75,16 @@ def unit_root_p(t: float) -> float:
     return normal_cdf(sum(c * t**i for i, c in enumerate(coefficients)))
 
 
+@F.pandas_udf(T.DoubleType())
+def _root_p(t: pd.Series) -> pd.Series:
+    return t.map(lambda v: 1.0 if pd.isna(v) else unit_root_p(float(v))).astype(float)
+
+
+def root_p(t: Column) -> Column:
+    """p-value column of the unit-root statistic, 1 where there is none; for result rows."""
+    return _root_p(t.cast("double"))
+
+
 @F.pandas_udf(T.DoubleType())
 def _student_p(t: pd.Series, df: pd.Series) -> pd.Series:
     p = pd.Series(student_two_sided(t.to_numpy(dtype=float), df.to_numpy(dtype=float)))

@@ -1,63 +1,123 @@
 """Forecasts of many bucketed series in parallel.
 
-A group handed to Python is one series: one row per bucket, never facts.
+A series is one row with its buckets in arrays: one value per bucket, never facts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from plumbline.functions.fits import Fit, arma, holt_winters, seasonal_arx, unit_root
+from plumbline.functions import fits as X
+from plumbline.functions.tails import root_p
 from plumbline.operators.series import MIN_POINTS, series_frequency
 from plumbline.plans.staging import checkpoint_parquet, join_on_group
 
 MODELS = ("arima", "sarimax", "ets")
 ETS_SEASON = 12
+# Critical values of the unit-root statistic with a constant, for long series.
+CRITICAL = {"1%": -3.43, "5%": -2.86, "10%": -2.57}
 
 
 def _keyed(series: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[str]]:
     return (series, list(by)) if by else (series.withColumn("_all", F.lit(0)), ["_all"])
 
 
-def _schema(series: DataFrame, keys: Sequence[str], fields: str) -> T.StructType:
-    own = [series.schema[k] for k in keys]
-    return T.StructType(own + list(T.StructType.fromDDL(fields).fields))
+def _folded(series: DataFrame, keys: Sequence[str], exog: Sequence[str] = ()) -> DataFrame:
+    """One row per key: n, ``y`` and ``x0`` … in order of the bucket."""
+    names = ["value", *exog]
+    points = F.array_sort(F.collect_list(F.struct("bucket", *[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(names)])))
+    rows = series.groupBy(*keys).agg(points.alias("_points"))
+    arrays = {("y" if i == 0 else f"x{i - 1}"): F.col(f"_points.c{i}") for i in range(len(names))}
+    return rows.withColumns({**arrays, "n": F.size("_points").cast("long")}).drop("_points")
+
+
+def _tested(rows: DataFrame, max_lag: int | None = None) -> DataFrame:
+    """Add lag, statistic, p-value and decision of the unit-root test."""
+    usable = (F.col("n") >= 6) & (F.array_max("y") > F.array_min("y"))
+    lag = F.when(usable, X.unit_root_lag(F.col("y"), X.largest_lag(F.col("n"), max_lag)))
+    rows = checkpoint_parquet(rows.withColumn("adf_lag", lag))
+    rows = rows.withColumn("adf_statistic", F.when(F.col("adf_lag").isNotNull(), X.unit_root_t(F.col("y"), F.coalesce("adf_lag", F.lit(0)))))
+    return checkpoint_parquet(rows.withColumn("adf_p", root_p(F.col("adf_statistic"))).withColumn("is_stationary", F.col("adf_p") < 0.05))
 
 
 def adf(series: DataFrame, by: Sequence[str] = (), max_lag: int | None = None) -> DataFrame:
-    """Unit-root test per key: statistic, p-value and the stationarity decision."""
+    """Unit-root test per key: statistic, p-value, decision and critical values.
+
+    The number of lagged differences, up to ``max_lag``, is chosen by AIC on a common
+    sample.
+    """
     keyed, keys = _keyed(series, by)
-    schema = _schema(keyed, keys, "n bigint, adf_statistic double, adf_p double, is_stationary boolean")
+    levels = F.create_map(*[F.lit(v) for pair in CRITICAL.items() for v in pair])
+    tested = _tested(_folded(keyed, keys), max_lag)
+    return tested.select(*keys, "n", "adf_statistic", "adf_p", "is_stationary", "adf_lag", levels.alias("critical_values")).drop("_all")
 
-    def test(pdf: pd.DataFrame) -> pd.DataFrame:
-        y = pdf.sort_values("bucket")["value"].to_numpy(dtype=float)
-        t, p = unit_root(y, max_lag)
-        head = {k: [pdf[k].iloc[0]] for k in keys}
-        return pd.DataFrame({**head, "n": [len(y)], "adf_statistic": [t], "adf_p": [p], "is_stationary": [p < 0.05]})
 
-    return keyed.groupBy(*keys).applyInPandas(test, schema).drop("_all")
+def _arima(rows: DataFrame, periods: int, weights: Sequence[float] | None) -> DataFrame:
+    plain = F.col("d") == 0
+    rows = rows.filter(F.size("z") >= 3).withColumn("_centre", F.when(plain, X.mean(F.col("z"))).otherwise(0.0))
+    rows = rows.withColumn("_w", F.transform("z", lambda v: v - F.col("_centre")))
+    rows = checkpoint_parquet(rows.withColumn("_weights", X.arma_weights(F.col("_w"), weights)))
+    return rows.withColumn("_fit", X.arma_forecast(F.col("y"), F.col("_w"), F.col("_centre"), F.col("d"), F.col("_weights"), periods))
 
 
-def _attempt(
-    name: str, y: np.ndarray, x: np.ndarray, d: int, season: int, periods: int, factor: float, weights: Sequence[float] | None
-) -> Fit | None:
-    try:
-        if name == "arima":
-            return arma(y, d, periods, weights)
-        if name == "ets":
-            return holt_winters(y, ETS_SEASON, periods, weights)
-        if x.shape[1]:
-            return seasonal_arx(y, x, d, season, np.tile(x[-1] * factor, (periods, 1)))
-    except (ValueError, np.linalg.LinAlgError):
-        pass
-    return None
+def _ets(rows: DataFrame, periods: int, weights: Sequence[float] | None) -> DataFrame:
+    rows = rows.filter(F.col("n") >= 2 * ETS_SEASON)
+    rows = checkpoint_parquet(rows.withColumn("_weights", X.seasonal_weights(F.col("y"), ETS_SEASON, weights)))
+    return rows.withColumn("_fit", X.seasonal_forecast(F.col("y"), ETS_SEASON, F.col("_weights"), periods))
+
+
+def _regression(rows: DataFrame, periods: int, count: int, factor: float) -> DataFrame:
+    """Regression on the last value, the value one season back and the outside columns.
+
+    All columns are differenced as the series is; outside columns keep their last value,
+    times ``factor``.
+    """
+    z, size, season = F.col("z"), F.size("z"), F.col("seasonal_period").cast("int")
+    back = size > 2 * season
+    start = F.when(back & (season > 1), season).otherwise(1)
+    rows = rows.withColumn("_back", back).withColumn("_start", start).withColumn("_m", F.size("z") - F.col("_start"))
+    rows = rows.filter(F.col("_m") > count + 2 + F.when(F.col("_back"), 1).otherwise(0) - F.when(F.col("d") == 1, 1).otherwise(0) + 0)
+    at, m = F.col("_start"), F.col("_m")
+    none = F.array_repeat(F.lit(0.0), m)
+    known = {}
+    for j in range(count):
+        path = F.concat(F.col(f"x{j}"), F.array_repeat(F.element_at(F.col(f"x{j}"), -1) * factor, periods))
+        known[f"_a{j}"] = F.when(F.col("d") == 1, X.differences(path)).otherwise(path)
+    rows = rows.withColumns(known)
+    columns = [
+        F.slice(z, at, m),
+        F.when(F.col("_back"), F.slice(z, at + 1 - season, m)).otherwise(none),
+        *[F.slice(F.col(f"_a{j}"), at + 1, m) for j in range(count)],
+        F.when(F.col("d") == 0, F.array_repeat(F.lit(1.0), m)).otherwise(none),
+    ]
+    beta, sse = X.least_squares(columns, F.slice(z, at + 1, m))
+    # The constant is swept first and solved last; columns of zeros get no weight.
+    rows = checkpoint_parquet(rows.withColumn("_b", F.array(*beta)).withColumn("_sse", sse))
+    b = F.col("_b")
+    outside = lambda i: sum((b[2 + j] * F.col(f"_a{j}")[i] for j in range(count)), F.lit(0.0))
+    # What a season back means without one does not matter: its weight is zero.
+    lag = F.when(F.col("_back"), F.col("seasonal_period").cast("int")).otherwise(1)
+    ahead = F.aggregate(
+        F.sequence(F.lit(0), F.lit(periods - 1)),
+        z,
+        lambda path, h: F.concat(path, F.array(b[0] * F.element_at(path, -1) + b[1] * F.element_at(path, -lag) + outside(size + h) + b[2 + count])),
+    )
+    psi = F.aggregate(
+        F.sequence(F.lit(1), F.lit(periods - 1)),
+        F.array(F.lit(1.0)),
+        lambda s, h: F.concat(s, F.array(b[0] * F.element_at(s, -1) + F.when(h >= lag, b[1] * F.try_element_at(s, -lag)).otherwise(0.0))),
+    ) if periods > 1 else F.array(F.lit(1.0))
+    steps = F.slice(ahead, size + 1, periods)
+    level = F.transform(X.running(steps), lambda v: F.element_at("y", -1) + v)
+    mean = F.when(F.col("d") == 1, level).otherwise(steps)
+    half = X._band(F.when(F.col("d") == 1, X.running(psi)).otherwise(psi), F.col("_sse") / F.col("_m"))
+    k = count + 2 + F.when(F.col("_back"), 1).otherwise(0) + F.when(F.col("d") == 0, 1).otherwise(0)
+    aic, bic = X.criteria(F.col("_sse"), F.col("_m"), k)
+    return rows.withColumn("_fit", F.struct(mean.alias("mean"), half.alias("half"), aic.alias("aic"), bic.alias("bic")))
 
 
 def fit_models(
@@ -73,59 +133,47 @@ def fit_models(
     """Every model that could be fitted, one row per (key, model, step).
 
     ``weights`` fixes the parameters of a model (arima: two, ets: three) instead of
-    fitting them; ``difference`` overrules the stationarity test.
+    picking them from the grids; ``difference`` (0 or 1) overrules the stationarity test.
 
     Outside columns keep their last value. With ``scenario`` a further model name,
     ``scenario``, carries the outside-regressor forecast with that value scaled.
     """
+    if difference not in (None, 0, 1):
+        raise ValueError("difference is 0 or 1")
     keyed, keys = _keyed(series, by)
-    frequency = checkpoint_parquet(series_frequency(keyed, keys))
-    keyed = join_on_group(keyed, frequency.select(*keys, "seasonal_period", "frequency", "gaps_detected"), keys)
-    schema = _schema(
-        keyed,
-        keys,
-        "model string, step int, forecast double, lower double, upper double, aic double, bic double,"
-        "n bigint, adf_p double, is_stationary boolean, frequency string, gaps_detected bigint",
-    )
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("bucket")
-        y = pdf["value"].to_numpy(dtype=float)
-        x = pdf[list(exog)].to_numpy(dtype=float).reshape(len(y), len(exog))
-        _, p = unit_root(y)
-        stationary = bool(p < 0.05)
-        order = difference if difference is not None else 0 if stationary else 1
-        tries = [(name, name, 1.0) for name in models] + ([("scenario", "sarimax", scenario)] if scenario is not None else [])
-        out = []
-        for label, name, factor in tries:
-            if len(y) < MIN_POINTS:
-                break
-            season = int(pdf["seasonal_period"].iloc[0])
-            fit = _attempt(name, y, x, order, season, periods, factor, (weights or {}).get(name))
-            if fit is None or not np.all(np.isfinite(fit.mean)):
-                continue
-            out.append(
-                pd.DataFrame(
-                    {
-                        "model": label,
-                        "step": np.arange(1, periods + 1, dtype="int32"),
-                        "forecast": fit.mean,
-                        "lower": fit.mean - fit.half_width,
-                        "upper": fit.mean + fit.half_width,
-                        "aic": fit.aic,
-                        "bic": fit.bic,
-                    }
-                )
-            )
-        if not out:
-            return pd.DataFrame(columns=schema.names)
-        frame = pd.concat(out, ignore_index=True)
-        frame = frame.assign(n=len(y), adf_p=p, is_stationary=stationary)
-        for c in ["frequency", "gaps_detected", *keys]:
-            frame[c] = pdf[c].iloc[0]
-        return frame[schema.names]
-
-    return keyed.groupBy(*keys).applyInPandas(run, schema).drop("_all")
+    frequency = checkpoint_parquet(series_frequency(keyed, keys).select(*keys, "seasonal_period", "frequency", "gaps_detected"))
+    rows = join_on_group(_tested(_folded(keyed, keys, exog)), frequency, keys).filter(F.col("n") >= MIN_POINTS)
+    d = F.when(F.col("is_stationary"), 0).otherwise(1) if difference is None else F.lit(difference)
+    rows = rows.withColumn("d", d)
+    rows = checkpoint_parquet(rows.withColumn("z", F.when(F.col("d") == 1, X.differences(F.col("y"))).otherwise(F.col("y"))))
+    tries = [(name, name, 1.0) for name in models] + ([("scenario", "sarimax", scenario)] if scenario is not None else [])
+    out = None
+    for label, name, factor in tries:
+        given = (weights or {}).get(name)
+        if name == "sarimax" and not exog:
+            continue
+        fitted = _arima(rows, periods, given) if name == "arima" else _ets(rows, periods, given) if name == "ets" else _regression(rows, periods, len(exog), factor)
+        fitted = fitted.select(*keys, F.lit(label).alias("model"), "_fit", "n", "adf_p", "is_stationary", "frequency", "gaps_detected")
+        out = fitted if out is None else out.unionByName(fitted)
+    if out is None:
+        raise ValueError("no model can be fitted without outside columns")
+    fit = checkpoint_parquet(out)
+    steps = fit.select("*", F.posexplode(F.arrays_zip(F.col("_fit.mean").alias("mean"), F.col("_fit.half").alias("half"))).alias("_h", "_s"))
+    return steps.select(
+        *keys,
+        "model",
+        (F.col("_h") + 1).cast("int").alias("step"),
+        F.col("_s")["mean"].alias("forecast"),
+        (F.col("_s")["mean"] - F.col("_s")["half"]).alias("lower"),
+        (F.col("_s")["mean"] + F.col("_s")["half"]).alias("upper"),
+        F.col("_fit.aic").alias("aic"),
+        F.col("_fit.bic").alias("bic"),
+        "n",
+        "adf_p",
+        "is_stationary",
+        "frequency",
+        "gaps_detected",
+    ).drop("_all")
 
 
 def best_model(fits: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from plumbline.functions import fits as X
 from plumbline.operators import forecast as FC
 from plumbline.operators import series as T
 from plumbline.queries.registry import ORACLES, SALES, normal_cdf_sql, query, register, rounded
@@ -130,7 +131,7 @@ z AS (SELECT *, CASE WHEN t <= -1.61 THEN 2.1659e0 + 1.4412e0 * t + 0.038269e0 *
   CASE WHEN t < -18.83 THEN TRUE ELSE {normal_cdf_sql('greatest(z.z, -30e0)')} < 0.05 END AS is_stationary FROM z"""
 )
 def stationarity_without_lags(spark, folder):
-    return rounded(FC.adf(monthly(spark, folder), ["brand"], max_lag=0))
+    return rounded(FC.adf(monthly(spark, folder), ["brand"], max_lag=0).drop("adf_lag", "critical_values"))
 
 
 WITH_SERIES = BUCKETS.replace("WITH sales", "WITH RECURSIVE sales", 1)
@@ -255,19 +256,73 @@ def scenario_impact_differenced(spark, folder):
     return rounded(FC.simulate(series, "cost", 20.0, 12, ["brand"], ["sarimax"], 1), 2)
 
 
-# --- fitted models: no SQL form, checked on planted signals in the tests -----------------
+# --- lag by AIC and weights from the grids ------------------------------------------------
 
 
+def _sweep_sql(name: str, start: str, steps: str) -> str:
+    """Columns regressed out one after another as in fits.swept; ``start`` has brand, m, cols."""
+    return f""", {name}_r AS (
+  SELECT brand, m, 0 AS k, cols, CAST([] AS DOUBLE[]) AS sse FROM {start}
+  UNION ALL
+  SELECT brand, m, k + 1, left_over, list_append(sse, list_inner_product(left_over[-1], left_over[-1]))
+  FROM (SELECT r.brand, r.m, k, r.sse, list_transform(r.cols[2:], lambda c: list_transform(range(1, r.m + 1), lambda i: c[i]
+          - r.cols[1][i] * CASE WHEN list_inner_product(r.cols[1], r.cols[1]) > 1e-12
+                           THEN list_inner_product(c, r.cols[1]) / list_inner_product(r.cols[1], r.cols[1]) ELSE 0 END)) AS left_over
+        FROM {name}_r r JOIN {start} s ON r.brand = s.brand WHERE k < s.{steps})),
+{name} AS (SELECT * FROM {name}_r QUALIFY k = max(k) OVER (PARTITION BY brand))"""
+
+
+ADF = (
+    """, folded AS (SELECT brand, list(value ORDER BY bucket) AS y, count(*) AS n FROM series GROUP BY brand),
+held AS (
+  SELECT *, CAST(greatest(0, least(ceil(12 * pow(n / 100, 0.25)), floor(n / 2) - 2)) AS BIGINT) AS most,
+         list_transform(range(1, n), lambda i: y[i + 1] - y[i]) AS dy FROM folded),
+first AS (
+  SELECT brand, n - 1 - most AS m, most + 2 AS steps, most,
+         list_concat([list_transform(range(1, n - most), lambda i: 1e0), y[most + 1:n - 1]],
+                     list_transform(range(1, most + 1), lambda j: dy[most + 1 - j:n - 1 - j]), [dy[most + 1:n - 1]]) AS cols FROM held)"""
+    + _sweep_sql("common", "first", "steps")
+    + """, picked AS (
+  SELECT c.brand, list_transform(range(0, most + 1), lambda p: c.m * (ln(2 * pi() * greatest(c.sse[p + 2] / c.m, 1e-300)) + 1) + 2 * (p + 2)) AS aic
+  FROM common c JOIN first f ON c.brand = f.brand),
+lagged AS (SELECT brand, list_position(aic, list_min(aic)) - 1 AS lag FROM picked),
+second AS (
+  SELECT h.brand, n - 1 - lag AS m, lag + 1 AS steps, lag,
+         list_concat([list_transform(range(1, n - lag), lambda i: 1e0)],
+                     list_transform(range(1, lag + 1), lambda j: dy[lag + 1 - j:n - 1 - j]), [y[lag + 1:n - 1], dy[lag + 1:n - 1]]) AS cols
+  FROM held h JOIN lagged l ON h.brand = l.brand)"""
+    + _sweep_sql("own", "second", "steps")
+    + """, b AS (
+  SELECT o.brand, lag, o.m - lag - 2 AS free, list_inner_product(o.cols[1], o.cols[1]) AS size,
+         list_inner_product(o.cols[1], o.cols[2]) / list_inner_product(o.cols[1], o.cols[1]) AS beta, o.cols AS cols, o.m AS m
+  FROM own o JOIN second s ON o.brand = s.brand),
+t AS (
+  SELECT brand, lag, beta / sqrt(list_sum(list_transform(range(1, m + 1), lambda i: pow(cols[2][i] - beta * cols[1][i], 2))) / free / size) AS t FROM b),
+z AS (SELECT *, CASE WHEN t <= -1.61 THEN 2.1659e0 + 1.4412e0 * t + 0.038269e0 * t * t
+  ELSE 1.7339e0 + 0.93202e0 * t - 0.12745e0 * t * t - 0.010368e0 * t * t * t END AS z FROM t),
+root AS (SELECT brand, lag, t, CASE WHEN t < -18.83 THEN 0e0 ELSE """
+    + normal_cdf_sql("greatest(z.z, -30e0)")
+    + """ END AS p FROM z)
+"""
+)
+
+
+@query(
+    WITH_SERIES
+    + ADF
+    + """SELECT root.brand, n, round(t, 4) AS adf_statistic, abs(round(p, 4)) AS adf_p, p < 0.05 AS is_stationary, CAST(lag AS INT) AS adf_lag
+FROM root JOIN folded ON root.brand = folded.brand"""
+)
 def stationarity(spark, folder):
-    return rounded(FC.adf(monthly(spark, folder), ["brand"]), 4)
+    return rounded(FC.adf(monthly(spark, folder), ["brand"]).drop("critical_values"), 4)
 
 
-def _model(name: str, model: str, exog=()) -> None:
+def _model(name: str, model: str, exog=(), sql: str | None = None) -> None:
     def run(spark, folder):
         steps = FC.forecast(monthly(spark, folder, exog), 12, ["brand"], exog, model)
         return rounded(steps.select("brand", "model", "step", "forecast", "lower", "upper", "aic", "bic"), 2)
 
-    register(name, run)
+    register(name, run, sql)
 
 
 def forecast_summary(spark, folder):
@@ -278,10 +333,143 @@ def scenario_impact(spark, folder):
     return rounded(FC.simulate(monthly(spark, folder, ["cost"]), "cost", 20.0, 12, ["brand"]), 2)
 
 
-register("stationarity", stationarity)
-_model("forecast_arima", "arima")
-_model("forecast_ets", "ets")
-_model("forecast_with_cost", "sarimax", ("cost",))
-_model("forecast_best_model", "auto", ("cost",))
-register("forecast_summary", forecast_summary)
-register("scenario_impact", scenario_impact)
+ARIMA_FIT = (
+    ADF
+    + f""", zs AS (
+  SELECT f.brand, f.y, CASE WHEN p < 0.05 THEN 0 ELSE 1 END AS d, CASE WHEN p < 0.05 THEN f.y ELSE h.dy END AS z
+  FROM folded f JOIN root ON f.brand = root.brand JOIN held h ON f.brand = h.brand),
+ws AS (
+  SELECT brand, y, d, CASE WHEN d = 0 THEN list_avg(z) ELSE 0 END AS centre,
+         list_transform(z, lambda v: v - CASE WHEN d = 0 THEN list_avg(z) ELSE 0 END) AS w FROM zs),
+ar AS (
+  SELECT brand, a / 20e0 AS phi, b / 20e0 AS theta, 1::BIGINT AS i, 0e0 AS e, 0e0 AS sse
+  FROM ws, range({round(X.ARMA_GRID[0] * 20)}, {round(X.ARMA_GRID[-1] * 20) + 1}) p(a), range({round(X.ARMA_GRID[0] * 20)}, {round(X.ARMA_GRID[-1] * 20) + 1}) q(b)
+  UNION ALL
+  SELECT brand, phi, theta, i + 1, e1, sse + e1 * e1
+  FROM (SELECT ar.brand, phi, theta, i, sse, w[i + 1] - phi * w[i] - theta * e AS e1 FROM ar JOIN ws ON ar.brand = ws.brand WHERE i < len(w))),
+am AS (
+  SELECT ar.brand, phi, theta, e, sse, y, d, centre, w, len(w) - 1 AS m FROM ar JOIN ws ON ar.brand = ws.brand WHERE i = len(w)
+  QUALIFY row_number() OVER (PARTITION BY ar.brand ORDER BY sse, phi, theta) = 1),
+ap AS (
+  SELECT am.*, step, (phi * w[-1] + theta * e) * pow(phi, step - 1) AS move,
+         CASE WHEN step = 1 THEN 1 ELSE (phi + theta) * pow(phi, step - 2) END AS psi FROM am, range(1, 13) h(step)),
+aq AS (SELECT *, sum(move) OVER s AS moved, CASE WHEN d = 1 THEN sum(psi) OVER s ELSE psi END AS shock FROM ap WINDOW s AS (PARTITION BY brand ORDER BY step)),
+arima AS (
+  SELECT brand, 'arima' AS model, CAST(step AS INT) AS step, CASE WHEN d = 1 THEN y[-1] + moved ELSE centre + move END AS mean,
+         1.96e0 * sqrt(sse / m * sum(shock * shock) OVER (PARTITION BY brand ORDER BY step)) AS half,
+         m * (ln(2 * pi() * greatest(sse / m, 1e-300)) + 1) AS level, m, CASE WHEN d = 1 THEN 3 ELSE 4 END AS k FROM aq)
+"""
+)
+SHOWN = """SELECT brand, model, step, round(mean, 2) AS forecast, round(mean - half, 2) AS lower, round(mean + half, 2) AS upper,
+  round(level + 2 * k, 2) AS aic, round(level + k * ln(m), 2) AS bic FROM """
+
+_axis = lambda values: "[" + ", ".join(f"{v}e0" for v in values) + "]"
+ETS_FIT = f""", ev AS (SELECT brand, list(value ORDER BY bucket) AS y, count(*) AS n FROM series GROUP BY brand HAVING count(*) >= 24),
+eb AS (SELECT *, list_avg(y[1:12]) AS a1, (list_avg(y[13:24]) - list_avg(y[1:12])) / 12 AS slope FROM ev),
+es AS (
+  SELECT brand, a, b, c, 0::BIGINT AS t, a1 - slope * 13 / 2 AS lvl, slope AS trend,
+         list_transform(range(12), lambda k: y[k + 1] - (a1 + slope * (k - 5.5e0))) AS seasons, 0e0 AS sse
+  FROM eb, unnest({_axis(X.LEVEL_GRID)}) p(a), unnest({_axis(X.TREND_GRID)}) q(b), unnest({_axis(X.SEASON_GRID)}) r(c)
+  UNION ALL
+  SELECT brand, a, b, c, t + 1, nl, b * (nl - lvl) + (1 - b) * trend,
+         list_transform(range(12), lambda k: CASE WHEN k = t % 12 THEN c * (y[t + 1] - nl) + (1 - c) * seasons[k + 1] ELSE seasons[k + 1] END),
+         sse + pow(y[t + 1] - lvl - trend - seasons[t % 12 + 1], 2)
+  FROM (SELECT es.*, eb.y, a * (y[t + 1] - seasons[t % 12 + 1]) + (1 - a) * (lvl + trend) AS nl FROM es JOIN eb ON es.brand = eb.brand WHERE t < n)),
+em AS (SELECT es.*, n FROM es JOIN eb ON es.brand = eb.brand WHERE t = n QUALIFY row_number() OVER (PARTITION BY es.brand ORDER BY sse, a, b, c) = 1),
+ep AS (
+  SELECT em.*, step, lvl + trend * step + seasons[(n + step - 1) % 12 + 1] AS mean,
+         CASE WHEN step = 1 THEN 1 ELSE a * (1 + b * (step - 1)) + CASE WHEN (step - 1) % 12 = 0 THEN c * (1 - a) ELSE 0 END END AS psi
+  FROM em, range(1, 13) h(step)),
+ets AS (
+  SELECT brand, 'ets' AS model, CAST(step AS INT) AS step, mean, 1.96e0 * sqrt(sse / n * sum(psi * psi) OVER (PARTITION BY brand ORDER BY step)) AS half,
+         n * (ln(2 * pi() * greatest(sse / n, 1e-300)) + 1) AS level, n AS m, 17 AS k FROM ep)
+"""
+
+_model("forecast_arima", "arima", sql=WITH_SERIES + ARIMA_FIT + SHOWN + "arima")
+_model("forecast_ets", "ets", sql=WITH_SERIES + ETS_FIT + SHOWN + "ets")
+
+
+def _regression_sql() -> str:
+    """Last value, value a year back, cost and a constant, differenced as the unit-root test says."""
+    parts = ["z[start:start + m - 1]", "CASE WHEN back THEN z[start - 11:start + m - 12] ELSE zeros END", "x[start + 1:start + m]",
+             "CASE WHEN d = 0 THEN list_transform(zeros, lambda v: 1e0) ELSE zeros END"]
+    out = """, xf AS (SELECT brand, list(cost ORDER BY bucket) AS cost FROM series GROUP BY brand),
+xz AS (
+  SELECT zs.brand, y, d, z, len(z) > 24 AS back, CASE WHEN len(z) > 24 THEN 12 ELSE 1 END AS start, cost[-1] AS x_last,
+         CASE WHEN d = 1 THEN list_transform(range(1, len(cost)), lambda i: cost[i + 1] - cost[i]) ELSE cost END AS x
+  FROM zs JOIN xf ON zs.brand = xf.brand),
+xm AS (SELECT *, len(z) - start AS m, list_transform(range(1, len(z) - start + 1), lambda i: 0e0) AS zeros FROM xz)"""
+    for i, own in enumerate(parts):
+        others = [p for j, p in enumerate(parts) if j != i]
+        out += f""", xs{i} AS (SELECT brand, m, 3 AS steps, [{", ".join([*others, own, "z[start + 1:start + m]"])}] AS cols FROM xm)"""
+        out += _sweep_sql(f"xw{i}", f"xs{i}", "steps")
+        out += f""", xb{i} AS (
+  SELECT brand, m, cols, CASE WHEN list_inner_product(cols[1], cols[1]) > 1e-12
+         THEN list_inner_product(cols[1], cols[2]) / list_inner_product(cols[1], cols[1]) ELSE 0 END AS b FROM xw{i})"""
+    return out + """, xc AS (
+  SELECT xm.*, xb0.b AS b1, xb1.b AS b2, xb2.b AS b3, xb3.b AS b4, CASE WHEN back THEN 12 ELSE 1 END AS lag,
+         list_sum(list_transform(range(1, xm.m + 1), lambda i: pow(xb3.cols[2][i] - xb3.b * xb3.cols[1][i], 2))) AS sse
+  FROM xm JOIN xb0 ON xm.brand = xb0.brand JOIN xb1 ON xm.brand = xb1.brand JOIN xb2 ON xm.brand = xb2.brand JOIN xb3 ON xm.brand = xb3.brand),
+xp AS (
+  SELECT brand, factor, 0 AS h, z AS path, CAST([] AS DOUBLE[]) AS psi FROM xc, (VALUES (1e0), (1.2e0)) v(factor)
+  UNION ALL
+  SELECT xp.brand, factor, h + 1,
+         list_append(path, b1 * path[-1] + b2 * path[len(path) + 1 - lag]
+           + b3 * CASE WHEN d = 0 THEN factor * x_last WHEN h = 0 THEN (factor - 1) * x_last ELSE 0 END + b4),
+         list_append(psi, CASE WHEN h = 0 THEN 1 ELSE b1 * psi[-1] + CASE WHEN h >= lag THEN b2 * psi[len(psi) + 1 - lag] ELSE 0 END END)
+  FROM xp JOIN xc ON xp.brand = xc.brand WHERE h < 12),
+xq AS (
+  SELECT xp.brand, factor, h, path[-1] AS move, psi[-1] AS psi, d, y[-1] AS y_last, sse, m, 3 + back::INT + (d = 0)::INT AS k
+  FROM xp JOIN xc ON xp.brand = xc.brand WHERE h > 0),
+xr AS (
+  SELECT *, CASE WHEN d = 1 THEN y_last + sum(move) OVER w ELSE move END AS mean, CASE WHEN d = 1 THEN sum(psi) OVER w ELSE psi END AS shock
+  FROM xq WINDOW w AS (PARTITION BY brand, factor ORDER BY h)),
+sarimax AS (
+  SELECT brand, 'sarimax' AS model, CAST(h AS INT) AS step, mean, 1.96e0 * sqrt(sse / m * sum(shock * shock) OVER (PARTITION BY brand ORDER BY h)) AS half,
+         m * (ln(2 * pi() * greatest(sse / m, 1e-300)) + 1) AS level, m, k FROM xr WHERE factor = 1)
+"""
+
+
+REGRESSION_FIT = ARIMA_FIT + _regression_sql()
+BEST = """, best AS (SELECT * FROM tried QUALIFY dense_rank() OVER (PARTITION BY brand ORDER BY level + 2 * k, model) = 1)
+"""
+ALL_THREE = WITH_SERIES + REGRESSION_FIT + ETS_FIT + ", tried AS (SELECT * FROM arima UNION ALL SELECT * FROM sarimax UNION ALL SELECT * FROM ets)" + BEST
+
+_model("forecast_with_cost", "sarimax", ("cost",), WITH_SERIES + REGRESSION_FIT + SHOWN + "sarimax")
+_model("forecast_best_model", "auto", ("cost",), ALL_THREE + SHOWN + "best")
+register(
+    "scenario_impact",
+    scenario_impact,
+    ALL_THREE
+    + """, base AS (SELECT brand, any_value(model) AS baseline_model, sum(mean) AS base FROM best GROUP BY brand),
+changed AS (SELECT brand, sum(mean) AS changed FROM xr WHERE factor > 1 GROUP BY brand)
+SELECT base.brand, baseline_model, round(base, 2) AS baseline_total, round(changed, 2) AS scenario_total, 20e0 AS delta_percent,
+  round(changed - base, 2) AS impact_absolute, round((changed - base) / nullif(base, 0) * 100, 2) AS impact_percent
+FROM base JOIN changed ON base.brand = changed.brand""",
+)
+register(
+    "forecast_summary",
+    forecast_summary,
+    WITH_SERIES
+    + ARIMA_FIT
+    + ETS_FIT
+    + ", tried AS (SELECT * FROM arima UNION ALL SELECT * FROM ets)"
+    + BEST
+    + """, gap AS (SELECT brand, epoch(bucket) - epoch(lag(bucket) OVER (PARTITION BY brand ORDER BY bucket)) AS gap FROM series),
+med AS (SELECT *, quantile_cont(gap, 0.5) OVER (PARTITION BY brand) AS med FROM gap WHERE gap IS NOT NULL),
+freq AS (
+  SELECT brand, count(*) FILTER (gap > 2 * med) AS gaps, CASE WHEN max(med) <= 86400 THEN 'daily' WHEN max(med) <= 7 * 86400 THEN 'weekly'
+         WHEN max(med) <= 31 * 86400 THEN 'monthly' ELSE 'unknown' END AS frequency FROM med GROUP BY brand),
+sums AS (
+  SELECT best.brand, model, n, count(*) AS periods, sum(mean) AS total, max(level + 2 * k) AS aic, max(level + k * ln(m)) AS bic,
+         regr_slope(mean, step) / nullif(avg(mean), 0) * 100 AS pct, max(p) < 0.05 AS calm, max(gaps) AS gaps, max(frequency) AS frequency
+  FROM best JOIN root ON best.brand = root.brand JOIN folded ON best.brand = folded.brand JOIN freq ON best.brand = freq.brand
+  GROUP BY best.brand, model, n)
+SELECT brand, model AS model_selected, n AS sample_size, periods, round(total, 2) AS forecast_total, round(aic, 2) AS aic, round(bic, 2) AS bic,
+  calm AS is_stationary, frequency, CASE WHEN pct > 5 THEN 'up' WHEN pct < -5 THEN 'down' ELSE 'flat' END AS trend_direction,
+  round(greatest(0, least(1, 0.5e0 + CASE WHEN calm THEN 0.2e0 ELSE 0 END + CASE WHEN n > 50 THEN 0.2e0 WHEN n > 30 THEN 0.1e0 ELSE 0 END
+    - CASE WHEN aic > 2 * n THEN 0.1e0 ELSE 0 END)), 2) AS model_confidence,
+  coalesce(nullif(concat_ws('; ', CASE WHEN NOT calm THEN 'series not stationary, differences were modelled' END,
+    CASE WHEN gaps > 2 THEN gaps || ' gaps in time' END, CASE WHEN aic > 1000 THEN 'poor information criterion' END), ''), 'no remarks') AS notes
+FROM sums""",
+)

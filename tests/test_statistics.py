@@ -7,7 +7,6 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.functions.fits import arma, holt_winters, seasonal_arx, unit_root
 from plumbline.functions.tails import incomplete_beta, student_two_sided, unit_root_p
 from plumbline.operators import anomaly as N
 from plumbline.operators import association as C
@@ -38,50 +37,79 @@ def test_unit_root_p_at_published_points():
     assert unit_root_p(5.0) == 1.0 and unit_root_p(-20.0) == 0.0
 
 
-def test_unit_root_decides():
-    rng = np.random.default_rng(3)
-    noise = rng.normal(size=400)
-    assert unit_root(noise)[1] < 0.01
-    assert unit_root(np.cumsum(noise))[1] > 0.05
-    assert unit_root(np.full(50, 3.0))[1] == 1.0
+def as_series(spark, y, **columns):
+    days = pd.date_range("2000-01-01", periods=len(y), freq="D")
+    frame = pd.DataFrame({"bucket": days, "value": np.asarray(y, dtype=float), **columns})
+    return spark.createDataFrame(frame)
 
 
-def test_arma_recovers_its_parameters():
+def fitted(series, model, periods, d, exog=(), **more):
+    rows = FC.fit_models(series, periods, exog=exog, models=[model], difference=d, **more).orderBy("model", "step").toPandas()
+    rows["half"] = rows.upper - rows.forecast
+    return rows
+
+
+def test_unit_root_decides(spark):
+    noise = np.random.default_rng(3).normal(size=400)
+    assert FC.adf(as_series(spark, noise)).first()["adf_p"] < 0.01
+    walk = FC.adf(as_series(spark, np.cumsum(noise))).first()
+    assert walk["adf_p"] > 0.05 and walk["adf_statistic"] > walk["critical_values"]["5%"]
+    assert FC.adf(as_series(spark, np.full(50, 3.0))).first()["adf_p"] == 1.0
+
+
+def test_unit_root_is_the_regression_of_its_lag(spark):
+    y = np.cumsum(np.random.default_rng(6).normal(size=120)) * 0.3 + np.random.default_rng(7).normal(size=120)
+    found = FC.adf(as_series(spark, y)).first()
+    dy, most = np.diff(y), math.ceil(12 * 1.2**0.25)
+
+    def regress(p, start):
+        r = np.arange(start, len(dy))
+        x = np.stack([y[r], *[dy[r - j] for j in range(1, p + 1)], np.ones(len(r))], axis=1)
+        beta, *_ = np.linalg.lstsq(x, dy[r], rcond=None)
+        rest = dy[r] - x @ beta
+        return x, beta, rest @ rest
+
+    aic = [(len(dy) - most) * math.log(regress(p, most)[2]) + 2 * p for p in range(most + 1)]
+    lag = int(np.argmin(aic))
+    x, beta, sse = regress(lag, lag)
+    error = math.sqrt(sse / (len(x) - x.shape[1]) * np.linalg.inv(x.T @ x)[0, 0])
+    assert found["adf_lag"] == lag and found["adf_statistic"] == pytest.approx(beta[0] / error, rel=1e-8)
+
+
+def test_arma_recovers_its_parameters(spark):
     rng = np.random.default_rng(11)
     y, e = [0.0], rng.normal(size=3000)
     for t in range(1, 3000):
         y.append(0.7 * y[-1] + e[t] + 0.2 * e[t - 1])
-    fit = arma(np.array(y) + 10, 0, 5)
+    fit = fitted(as_series(spark, np.array(y) + 10), "arima", 5, 0)
     # Forecasts fall back to the mean by the autoregressive share.
-    steps = fit.mean - (np.mean(y) + 10)
+    steps = fit.forecast.to_numpy() - (np.mean(y) + 10)
     assert steps[2] / steps[1] == pytest.approx(0.7, abs=0.06)
-    assert fit.half_width[0] == pytest.approx(1.96, rel=0.06)
-    assert np.all(np.diff(fit.half_width) > 0)
+    assert fit.half[0] == pytest.approx(1.96, rel=0.06)
+    assert np.all(np.diff(fit.half) > 0)
 
 
-def test_random_walk_forecast_is_flat():
+def test_random_walk_forecast_is_flat(spark):
     y = np.cumsum(np.random.default_rng(1).normal(size=500))
-    fit = arma(y, 1, 8)
-    assert np.ptp(fit.mean) < 1.0 and fit.half_width[7] > 2 * fit.half_width[0]
+    fit = fitted(as_series(spark, y), "arima", 8, 1)
+    assert np.ptp(fit.forecast) < 1.0 and fit.half[7] > 2 * fit.half[0]
 
 
-def test_holt_winters_follows_trend_and_season():
+def test_smoothing_follows_trend_and_season(spark):
     i = np.arange(60)
     y = 100 + 2 * i + 10 * np.sin(2 * np.pi * i / 12)
-    fit = holt_winters(y, 12, 12)
+    fit = fitted(as_series(spark, y), "ets", 12, 0)
     ahead = np.arange(60, 72)
-    assert fit.mean == pytest.approx(100 + 2 * ahead + 10 * np.sin(2 * np.pi * ahead / 12), abs=1.5)
-    with pytest.raises(ValueError):
-        holt_winters(y[:20], 12, 3)
+    assert fit.forecast.to_numpy() == pytest.approx(100 + 2 * ahead + 10 * np.sin(2 * np.pi * ahead / 12), abs=1.5)
+    assert fitted(as_series(spark, y[:20]), "ets", 3, 0).empty
 
 
-def test_outside_column_effect_is_found():
+def test_outside_column_effect_is_found(spark):
     rng = np.random.default_rng(8)
-    x = rng.normal(50, 10, size=(200, 1))
-    y = 3 * x[:, 0] + rng.normal(size=200)
-    now = seasonal_arx(y, x, 0, 12, np.tile(x[-1], (4, 1)))
-    more = seasonal_arx(y, x, 0, 12, np.tile(x[-1] + 10, (4, 1)))
-    assert more.mean - now.mean == pytest.approx(np.full(4, 30.0), rel=0.1)
+    x = rng.normal(50, 10, size=200)
+    fit = fitted(as_series(spark, 3 * x + rng.normal(size=200), x=x), "sarimax", 4, 0, ["x"], scenario=1.2)
+    more, now = (fit[fit.model == m].forecast.to_numpy() for m in ("scenario", "sarimax"))
+    assert more - now == pytest.approx(np.full(4, 3 * 0.2 * x[-1]), rel=0.1)
 
 
 @pytest.fixture(scope="module")
