@@ -62,11 +62,12 @@ def analyze(
         missing = [c for c in (*s.columns, *s.dims, *([s.time] if s.time else [])) if c not in data.columns]
         if missing:
             states.append((s.name, "skipped", "no column " + ", ".join(missing)))
-        elif id(s) not in chosen:
+        elif id(s) not in chosen:  # another one stands for it
             states.append((s.name, "skipped", "repeats another spec"))
         elif not eligible(data.schema, s, nulls[s.numerator] / 100):
             states.append((s.name, "skipped", f"column {s.numerator} is not eligible"))
         else:
+            chosen.remove(id(s))
             states.append((s.name, "computed", None))
             fit.append(s)
     asked = spark.createDataFrame(states, "spec string, status string, reason string")

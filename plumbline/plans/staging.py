@@ -18,8 +18,11 @@ BROADCAST_BYTES = 64 << 20
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """Shared folder named by ``spark.checkpoint.dir``; nothing is staged without one."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """Shared folder named by ``spark.checkpoint.dir``; nothing is staged without one.
+
+    ``SparkContext.setCheckpointDir`` names one as well.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return root.rstrip("/")

@@ -32,10 +32,12 @@ def local_session(cores: int | str = "*", memory: str = "8g", shuffle_partitions
 
 def _local_staging(spark: SparkSession) -> None:
     """Name a staging folder for a session in one process that has none; it goes at exit."""
-    if spark.sparkContext.master.startswith("local[") and not spark.conf.get("spark.checkpoint.dir", None):
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if context.master.startswith("local[") and not named:
         folder = tempfile.mkdtemp(prefix="plumbline-staging-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", folder)
+        context.setCheckpointDir(folder)
 
 
 def prepare(spark: SparkSession) -> SparkSession:

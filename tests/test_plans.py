@@ -1,6 +1,7 @@
 """Helpers that must stay exact when groups are split, and the shape of plans."""
 
 import random
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -10,6 +11,7 @@ from plumbline.operators import metrics as M
 from plumbline.operators.spec import MetricSpec
 from plumbline.plans.quantiles import exact_percentiles
 from plumbline.plans.running import percentiles_from_counts, previous_value, running_totals
+from plumbline.plans.staging import broadcast_if_small, checkpoint_root
 from plumbline.sources.views import sales_view
 
 
@@ -143,3 +145,20 @@ def test_partitioning_does_not_change_hashed_results(spark, folder, partitions):
 
 
 PLACEBO = {}
+
+
+def test_staging_needs_a_named_folder():
+    def session(setting, folder):
+        conf = SimpleNamespace(get=lambda key, default: setting)
+        return SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(getCheckpointDir=lambda: folder))
+
+    with pytest.raises(ValueError):
+        checkpoint_root(session(None, None))
+    assert checkpoint_root(session("s3://shared/", None)) == "s3://shared"
+    assert checkpoint_root(session(None, "file:/here")) == "file:/here"
+
+
+def test_broadcast_is_bounded_in_bytes(spark):
+    wide = spark.range(40).withColumn("text", F.repeat(F.lit("x"), 2_000_000))
+    assert "hint" not in broadcast_if_small(wide)._jdf.queryExecution().logical().toString().lower()
+    assert "hint" in broadcast_if_small(spark.range(40))._jdf.queryExecution().logical().toString().lower()
