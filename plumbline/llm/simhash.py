@@ -32,6 +32,11 @@ def fingerprint(text: str | None, width: int, seed: int = 42) -> list[int]:
     return [xxhash.xxh64_intdigest(s, seed) for s in shingles]
 
 
+def mark(hashes: np.ndarray) -> int:
+    """One hash of all shingles of a text, repeats included."""
+    return xxhash.xxh64_intdigest(np.sort(hashes).tobytes(), 3) - (1 << 63)
+
+
 def _majority(hashes: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """One fingerprint per run of hashes: a bit is 1 if set in over half of them."""
     out = np.zeros(len(starts), dtype=np.uint64)
@@ -41,12 +46,12 @@ def _majority(hashes: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.
     return out
 
 
-def _fingerprint_batches(width: int, at: int):
+def _fingerprint_batches(width: int, at: int, marked: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(at)
             sizes = [len(t) if t is not None else 0 for t in texts.to_pylist()] if len(texts) else []
-            parts = []
+            parts, marks = [], []
             for i, j in slices(sizes):
                 runs = [fingerprint(t, width) for t in texts.slice(i, j - i).to_pylist()]
                 counts = np.array([len(r) for r in runs], dtype=np.uint64)
@@ -58,25 +63,29 @@ def _fingerprint_batches(width: int, at: int):
                     starts = (ends - counts[filled]).astype(np.int64)
                     out[filled] = _majority(flat, starts, counts[filled])
                 parts.append(out.view(np.int64))
+                if marked:
+                    marks += [mark(np.array(r, dtype=np.uint64)) for r in runs]
             prints = np.concatenate(parts) if parts else np.zeros(0, dtype=np.int64)
             kept = [c for k, c in enumerate(batch.columns) if k != at]
             names = [n for k, n in enumerate(batch.schema.names) if k != at]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(prints)], [*names, "fp"])
+            more = [pa.array(marks, pa.int64())] if marked else []
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(prints), *more], [*names, "fp", "mark"][: len(kept) + 1 + len(more)])
 
     return run
 
 
-def fingerprints(df: DataFrame, text: str = "text", width: int = 3) -> DataFrame:
+def fingerprints(df: DataFrame, text: str = "text", width: int = 3, marked: bool = False) -> DataFrame:
     """The other columns of ``df`` and ``fp``, the 64-bit fingerprint of the whole text.
 
     A-Z are lower-cased, words are runs of characters other than ASCII white space, and
     shingles are ``width`` words joined by one space, repeats included; a shorter text is
     one shingle. Each is hashed by XXH64 with seed 42. Null, empty and white texts have
-    the fingerprint 0. ``fp`` replaces a column of that name.
+    the fingerprint 0. ``fp`` replaces a column of that name. ``marked`` adds ``mark``, which
+    tells texts of different shingles apart.
     """
     df = without(df, "fp")
-    schema = ", ".join([f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in df.schema if f.name != text] + ["fp bigint"])
-    return df.mapInArrow(_fingerprint_batches(width, df.columns.index(text)), schema)
+    schema = ", ".join([f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in df.schema if f.name != text] + ["fp bigint"] + ["mark bigint"] * marked)
+    return df.mapInArrow(_fingerprint_batches(width, df.columns.index(text), marked), schema)
 
 
 def _segments(bits: int) -> list[tuple[int, int]]:
@@ -329,9 +338,26 @@ def components_of(prints: DataFrame, id_col: str, bits: int = 2, limit: int = PA
     return without(prints, "component_id", "root").join(final, F.col("fp") == F.col("__fp")).drop("__fp").withColumnRenamed("__root", "root")
 
 
-def keep_first(df: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 3, bits: int = 2) -> DataFrame:
+def _with_similar(texts: DataFrame, by_print: DataFrame, roots: DataFrame, digests: DataFrame, width: int, similar: float) -> DataFrame:
+    """``roots`` (node, root) of fingerprints after texts of similar shingles are linked, too."""
+    from plumbline.llm.shingle_sets import similar_links
+
+    near = staged(by_print.join(roots, by_print.fp == roots.node, "left").select(F.col("fp").alias("_fp"), F.coalesce("root", "fp").alias("root")))
+    marks = staged(digests.select("mark", "fp").distinct())
+    known = staged(marks.join(near, F.col("fp") == F.col("_fp")).select("mark", "root"))
+    found = similar_links(texts, known, width, similar)
+    left, right = known.toDF("_a", "x"), known.toDF("_b", "y")
+    new = found.join(left, F.col("a") == F.col("_a")).join(right, F.col("b") == F.col("_b"))
+    return connected_components(roots.toDF("a", "b").union(new.select("x", "y")))
+
+
+def keep_first(
+    df: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 3, bits: int = 2, similar: float | None = None
+) -> DataFrame:
     """``df`` with one row of each component of near-duplicates, all columns unchanged.
 
+    With ``similar``, texts whose sets of shingles have that Jaccard similarity or more are
+    linked as well, however many bits of their fingerprints differ (see ``shingle_sets``).
     The row with the smallest id stays (null ids last; among equal ids the one with the
     smallest row hash; of fully equal rows exactly one).
     """
@@ -340,10 +366,13 @@ def keep_first(df: DataFrame, id_col: str = "doc_id", text: str = "text", width:
     names = flat.columns
     key, body = f"_k{columns.index(id_col)}", f"_k{columns.index(text)}"
     row = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), F.xxhash64(*names).alias("h1"), F.xxhash64(F.lit(7), *names).alias("h2"))
-    digests = staged(fingerprints(flat.select(row.alias("row"), body), body, width))
+    marked = similar is not None
+    digests = staged(fingerprints(flat.select(row.alias("row"), body), body, width, marked))
     by_print = digests.groupBy("fp").agg(F.min("row").alias("first"))
     by_print = staged(by_print)
     roots = connected_components(links(by_print.select("fp"), bits))
+    if similar is not None:
+        roots = _with_similar(flat.select(body), by_print, roots, digests, width, similar)
     rooted = by_print.join(roots, by_print.fp == roots.node, "left").select("first", F.coalesce("root", "fp").alias("root"))
     first = rooted.groupBy("root").agg(F.min("first").alias("first"))
     copies = digests.groupBy("row").agg(F.count("*").alias("copies"))

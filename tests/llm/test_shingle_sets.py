@@ -1,0 +1,51 @@
+import numpy as np
+import pytest
+
+from plumbline.llm import shingle_sets
+from plumbline.llm.simhash import keep_first
+from tests.llm.test_simhash import brute_groups, brute_print
+
+
+def brute_sets(text, width):
+    words = (text or "").lower().split()
+    return {tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else set()
+
+
+def kept(rows, width, bits, similar):
+    """Smallest id of each group, by all pairs."""
+    sets, prints = [brute_sets(t, width) for _, t in rows], brute_groups([brute_print(t, width) for _, t in rows], bits)
+    label = list(prints)
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            if x and y and 10 * len(x & y) >= 10 * similar * len(x | y) and label[i] != label[j]:
+                label = [label[j] if g == label[i] else g for g in label]
+    first = {}
+    for (i, _), g in zip(rows, label):
+        first[g] = min(first.get(g, i), i)
+    return sorted(first.values())
+
+
+def near_copies():
+    """Families of texts in which pairs of all similarities occur, under one common line."""
+    rng = np.random.default_rng(5)
+    rows = [(0, None), (1, ""), (2, "two words")]
+    line = "this line of nine words stands in every text "
+    for _ in range(12):
+        base = [f"w{k}" for k in rng.integers(0, 10_000, 150)]
+        for swaps in (0, 1, 2, 3, 4, 5, 9):
+            words = list(base)
+            for at in rng.choice(150, swaps, replace=False):
+                words[at] = f"x{rng.integers(10_000)}"
+            rows.append((len(rows), line + " ".join(words)))
+    return rows
+
+
+@pytest.mark.parametrize("limit", [64, 2])
+def test_near_copies_of_two_and_three_are_all_found(spark, monkeypatch, limit):
+    monkeypatch.setattr(shingle_sets.similar_links, "__defaults__", (limit,))
+    rows = near_copies()
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = kept(rows, 5, 5, 0.8)
+    assert sorted(r.doc_id for r in keep_first(df, width=5, bits=5, similar=0.8).collect()) == want
+    assert len(want) < keep_first(df, width=5, bits=5).count()
+    assert keep_first(df.limit(0), width=5, bits=5, similar=0.8).count() == 0
