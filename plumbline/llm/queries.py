@@ -231,32 +231,37 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[c for c in license_scan.OUT if c != "spans"], F.size("spans").alias("n_spans"))
 
 
-# Sentences with their words; runs of three, or fewer once they have 50 words, none under 12.
-SPAN_SQL = r"""
+# Sentences, long ones in parts, with their sizes; runs of 16 words, stretches of 30.
+SPAN_SQL = rf"""
 WITH d AS (
-  SELECT doc_id, text, regexp_extract_all(coalesce(text, ''), '[^.!?\n]*[.!?\n]+[ \x09-\x0D]*|[^.!?\n]+') AS parts FROM documents),
+  SELECT doc_id, text, regexp_extract_all(coalesce(text, ''), '[^{substring_dedup.ENDS}\n]*[{substring_dedup.ENDS}\n]+[ \x09-\x0D]*|[^{substring_dedup.ENDS}\n]+') AS whole
+  FROM documents),
+l AS (
+  SELECT doc_id, text, flatten(list_transform(whole, lambda x:
+    CASE WHEN len(regexp_extract_all(x, '[^ \x09-\x0D]+')) > 16 THEN regexp_extract_all(x,
+      '(?s)[ \x09-\x0D]*(?:[^ \x09-\x0D]{{1,7}}[ \x09-\x0D]+)*[^ \x09-\x0D]{{8,}}[ \x09-\x0D]*|.+') ELSE [x] END)) AS parts
+  FROM d),
 s AS (
   SELECT doc_id, i, parts[i] AS part,
          trim(regexp_replace(translate(parts[i], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
               '[ \x09-\x0D]+', ' ', 'g')) AS norm
-  FROM d, range(1, len(parts) + 1) r(i)),
-w AS (SELECT *, CASE WHEN norm = '' THEN 0 ELSE len(string_split(norm, ' ')) END AS n FROM s),
-a AS (
-  SELECT *, lead(norm, 1) OVER o AS b, lead(norm, 2) OVER o AS c, lead(n, 1) OVER o AS nb, lead(n, 2) OVER o AS nc
-  FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+  FROM l, range(1, len(parts) + 1) r(i)),
+w AS (SELECT *, greatest(CASE WHEN norm = '' THEN 0 ELSE len(string_split(norm, ' ')) END, length(part) // {substring_dedup.WORD_CHARS}) AS n FROM s),
+c AS (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM w),
 r AS (
-  SELECT doc_id, i,
-         CASE WHEN n >= 50 THEN 1 WHEN n + nb >= 50 THEN 2 WHEN nc IS NOT NULL THEN 3 END AS k,
-         CASE WHEN n >= 50 THEN [norm] WHEN n + nb >= 50 THEN [norm, b] ELSE [norm, b, c] END AS span,
-         CASE WHEN n >= 50 THEN n WHEN n + nb >= 50 THEN n + nb ELSE n + nb + nc END AS total
-  FROM a),
+  SELECT a.doc_id, a.i, b.i AS j FROM (SELECT doc_id, i, upto - n + 16 AS aim FROM c) a
+  ASOF JOIN c b ON a.doc_id = b.doc_id AND a.aim <= b.upto),
+p AS (SELECT doc_id, list(norm ORDER BY i) AS norms FROM s GROUP BY doc_id),
 f AS (
-  SELECT *, row_number() OVER (PARTITION BY span ORDER BY doc_id, i) AS nth FROM r WHERE k IS NOT NULL AND total >= 12),
-g AS (SELECT DISTINCT doc_id, i + x AS i FROM f, range(0, 3) q(x) WHERE nth > 1 AND x < k),
+  SELECT r.doc_id, i, j, row_number() OVER (PARTITION BY list_slice(norms, i, j) ORDER BY r.doc_id, i) AS nth
+  FROM r JOIN p ON r.doc_id = p.doc_id),
+g AS (SELECT DISTINCT doc_id, unnest(range(i, j + 1)) AS i FROM f WHERE nth > 1),
+h AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS island FROM g),
+k AS (SELECT doc_id, i FROM h JOIN w USING (doc_id, i) QUALIFY sum(n) OVER (PARTITION BY doc_id, island) >= 30),
 t AS (
-  SELECT s.doc_id, count(*) AS n_sentences, count(g.i) AS n_removed,
-         coalesce(string_agg(part, '' ORDER BY s.i) FILTER (g.i IS NULL), '') AS text
-  FROM s LEFT JOIN g ON s.doc_id = g.doc_id AND s.i = g.i GROUP BY s.doc_id)
+  SELECT s.doc_id, count(*) AS n_sentences, count(k.i) AS n_removed,
+         coalesce(string_agg(part, '' ORDER BY s.i) FILTER (k.i IS NULL), '') AS text
+  FROM s LEFT JOIN k ON s.doc_id = k.doc_id AND s.i = k.i GROUP BY s.doc_id)
 SELECT d.doc_id, coalesce(n_sentences, 0) AS n_sentences, coalesce(n_removed, 0) AS n_removed,
        coalesce(t.text, d.text) AS text
 FROM d LEFT JOIN t ON d.doc_id = t.doc_id
