@@ -8,7 +8,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import pick, quoted, slices, staged, without
@@ -16,12 +16,14 @@ from plumbline.llm.common import pick, quoted, slices, staged, without
 ORDER = 5
 BITS = 12  # of a symbol: letters below 2048 as they are, others hashed into the upper half
 UNKNOWN = "und"
-# N-grams kept per language, the most frequent ones; this bounds what is broadcast.
-MAX_GRAMS = 300_000
+# Characters of labelled texts of a language, at most about, that its model is fitted on; this bounds the model.
+TRAIN_CHARS = 8_000_000
 # Labelled rows of a language, at most about, that fit the confidence and the limit of rejection.
 CALIBRATION_ROWS = 8_000
 DRAWS = 1_000_000_000_000
-CHUNK = 1_000_000
+CHUNK = 250_000
+# N-grams that a counting task holds before it passes its sums on.
+GRAMS_HELD = 1_000_000
 # Entropy that chance may add to a text of n letters, times the root of n: four deviations of two nats.
 SPREAD = 8.0
 
@@ -185,67 +187,79 @@ def _best_two(entropies: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return best, low, second - low
 
 
+def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    keys, n = (np.concatenate(x) for x in zip(*parts))
+    order = np.argsort(keys, kind="stable")
+    keys, n = keys[order], n[order]
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    return keys[first], np.add.reduceat(n, first)
+
+
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, gram, n), summed over all the task has seen of a language."""
+    """(lang, gram, n), summed over what the task has seen since it last passed its sums on."""
     sums: dict[str, list] = {}
 
-    def merge(name: str) -> None:
-        keys = np.concatenate([k for k, _ in sums[name]])
-        n = np.concatenate([n for _, n in sums[name]])
-        order = np.argsort(keys, kind="stable")
-        keys, n = keys[order], n[order]
-        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-        sums[name] = [(keys[first], np.add.reduceat(n, first))]
+    def held() -> int:
+        return sum(len(k) for parts in sums.values() for k, _ in parts)
+
+    def passed() -> Iterator[pa.RecordBatch]:
+        for name, parts in sums.items():
+            keys, n = _added(parts)
+            for i in range(0, len(keys), 100_000):
+                part = slice(i, i + 100_000)
+                arrays = [pa.array([name] * len(keys[part])), pa.array(keys[part]), pa.array(n[part].astype(np.int64))]
+                yield pa.RecordBatch.from_arrays(arrays, ["lang", "gram", "n"])
+        sums.clear()
 
     for batch in batches:
         names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        for name in set(names):
+        for name in sorted(set(names)):
             own = [t for t, x in zip(texts, names) if x == name]
-            for i, j in slices([len(t) if t else 0 for t in own]):
+            for i, j in slices([len(t) if t else 0 for t in own], CHUNK):
                 symbols, _, place = _symbols(own[i:j])
                 for start in range(0, len(symbols), CHUNK):
                     keys = np.sort(_keys(symbols, place, start, min(len(symbols), start + CHUNK)))
                     first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
                     sums.setdefault(name, []).append((keys[first], np.diff(np.r_[first, len(keys)])))
-                if len(sums.get(name, ())) > 12:
-                    merge(name)
-    for name in sums:
-        merge(name)
-        keys, n = sums[name][0]
-        for i in range(0, len(keys), 100_000):
-            part = slice(i, i + 100_000)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([name] * len(keys[part])), pa.array(keys[part]), pa.array(n[part].astype(np.int64))], ["lang", "gram", "n"]
-            )
-
-
-def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", max_grams: int = MAX_GRAMS) -> Model | None:
+                if held() > 2 * GRAMS_HELD:
+                    sums = {x: [_added(parts)] for x, parts in sums.items()}
+                    if held() > GRAMS_HELD:
+                        yield from passed()
+    yield from passed()
+
+
+def _drawn(rows: DataFrame, lang: str, text: str, seed: int, rate: dict[str, float]) -> DataFrame:
+    """Texts of each language drawn by a hash at the language's rate; equal texts go together."""
+    cuts = [F.lit(x) for name, r in rate.items() for x in (name, int(r * DRAWS))]
+    draw = F.pmod(F.xxhash64(F.lit(seed), quoted(text)), F.lit(DRAWS))
+    return rows.filter(draw < F.create_map(*cuts)[quoted(lang)]) if cuts else rows
+
+
+def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", chars: int = TRAIN_CHARS) -> Model | None:
     """Models of the languages of ``labelled`` (rows with a null label do not count).
 
-    Every n-gram of every text is counted; per language the most frequent ``max_grams``
-    are kept, by one count limit, so the model is bounded however large the table is.
-    None without any labelled text.
+    A language with more than ``chars`` characters is fitted on labelled rows drawn at a
+    rate that gives about so many; every n-gram of every drawn text counts, so discounts and
+    continuation counts are those of the drawn texts as a whole. None without any
+    labelled text.
     """
     rows = pick(labelled, lang, text).filter(quoted(lang).isNotNull() & quoted(text).isNotNull())
-    counted = rows.mapInArrow(_count_grams, "lang string, gram bigint, n bigint")
-    grams = staged(counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")))
-    falling = Window.partitionBy("lang").orderBy(F.desc("n"))
-    levels = grams.groupBy("lang", "n").agg(F.count("*").alias("kinds"))  # distinct counts are few
-    levels = levels.withColumn("upto", F.sum("kinds").over(falling)).filter(F.col("upto") <= max_grams)
-    least = levels.groupBy("lang").agg(F.min("n").alias("least")).withColumnRenamed("lang", "_lang")
-    kept = grams.join(least, (F.col("lang") == F.col("_lang")) & (F.col("n") >= F.col("least"))).select("lang", "gram", "n")
-    data = kept.toArrow()
-    names = np.array(data.column("lang").to_pylist(), dtype=object)
-    languages = sorted(set(names.tolist()))
-    if not languages:
+    there = dict(map(tuple, rows.groupBy(quoted(lang)).agg(F.sum(F.length(quoted(text)))).collect()))
+    rate = {name: min(1.0, chars / n) if n else 1.0 for name, n in there.items()}
+    counted = _drawn(rows, lang, text, 29, rate).mapInArrow(_count_grams, "lang string, gram bigint, n bigint")
+    data = staged(counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))).toArrow()
+    names = data.column("lang").dictionary_encode().combine_chunks()
+    listed = names.dictionary.to_pylist()
+    if not listed:
         return None
+    number = names.indices.to_numpy(zero_copy_only=False)
     keys, counts = data.column("gram").to_numpy(), data.column("n").to_numpy().astype(float)
     own = {}
-    for name in languages:
-        mine = names == name
+    for i, name in enumerate(listed):
+        mine = number == i
         order = np.argsort(keys[mine])
         own[name] = keys[mine][order], counts[mine][order]
-    return estimate(languages, own)
+    return estimate(sorted(listed), own)
 
 
 def _platt(x: np.ndarray, right: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
@@ -279,9 +293,7 @@ def calibrate(model: Model, labelled: DataFrame, text: str = "text", lang: str =
     known = pick(labelled, lang, text).filter(quoted(lang).isin(model.languages) & quoted(text).isNotNull())
     there = dict(map(tuple, known.groupBy(quoted(lang)).count().collect()))
     rate = {name: min(1.0, rows / n) for name, n in there.items()}
-    cuts = [F.lit(x) for name, r in rate.items() for x in (name, int(r * DRAWS))]
-    draw = F.pmod(F.xxhash64(F.lit(17), text), F.lit(DRAWS))
-    sample = known.filter(draw < F.create_map(*cuts)[quoted(lang)]) if cuts else known
+    sample = _drawn(known, lang, text, 17, rate)
     scored = _score(sample, model, text).select(quoted(lang).alias("lang"), "lang_pred", "cross_entropy", "margin", "n_letters").toPandas()
     scored = scored[scored.lang_pred != UNKNOWN]
     right = (scored.lang == scored.lang_pred).to_numpy()

@@ -115,3 +115,27 @@ def test_rare_languages_keep_a_limit(spark, rare_rows):
     odd = spark.createDataFrame([("zqxzwyvxkzzjqy" * 20,), (text("bb"),)], "text string")
     got = [(r.lang_pred, r.rejected) for r in li.identify(odd, model).collect()]
     assert got == [("bb", True), ("bb", False)]
+
+
+def test_counts_passed_on_in_parts_and_rows_beyond_the_bound(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    words = {"aa": ["abba", "cab", "abc", "bab"], "bb": ["xyz", "zyx", "zzxy", "yxy"]}
+    texts = {name: [" ".join(rng.choice(words[name], 30)) for _ in range(60)] for name in words}
+    monkeypatch.setattr(li, "CHUNK", 50)
+    monkeypatch.setattr(li, "GRAMS_HELD", 20)
+    batch = li.pa.RecordBatch.from_pydict({"lang": [n for n in texts for _ in texts[n]], "text": [t for n in texts for t in texts[n]]})
+    sums = Counter()
+    parts = list(li._count_grams(iter([batch])))
+    assert len(parts) > 2 and all(p.num_rows <= 200 for p in parts)
+    for p in parts:
+        for name, gram, n in zip(*p.to_pydict().values()):
+            sums[name, gram] += n
+    whole = li.fit(spark.createDataFrame([(t, n) for n in texts for t in texts[n]], "text string, lang string"))
+    want = model_of(texts)
+    assert whole.languages == want.languages and sum(sums.values()) == sum(len(symbols(t)) for own in texts.values() for t in own)
+    for a, b in zip(whole.levels, want.levels):
+        assert np.array_equal(a.grams, b.grams) and np.allclose(a.logs, b.logs, atol=1e-5)
+    few = li.fit(spark.createDataFrame([(t, n) for n in texts for t in texts[n]], "text string, lang string"), chars=2_000)
+    assert few.levels[-1].logs.shape != whole.levels[-1].logs.shape or not np.allclose(few.levels[-1].logs, whole.levels[-1].logs)
+    entropies, _ = li._entropies(few, texts["aa"] + texts["bb"])
+    assert (entropies.argmin(axis=1) == np.repeat([0, 1], 60)).all()

@@ -4,6 +4,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from plumbline.llm import bpe, language_id
@@ -71,3 +72,23 @@ def test_model_of_the_first_stage_is_the_operators(spark, folder, steps):
     low = entropies.min(axis=1) - language_id.SPREAD / np.sqrt(np.maximum(letters, 1))
     kept = (letters > 0) & (low <= model.limits[entropies.argmin(axis=1)])
     assert {r.doc_id for r in steps[1][1]} == {r.doc_id for r, k in zip(steps[0][1], kept) if k}
+
+
+def test_odd_rows_go_through_every_stage(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    odd = [(None, None, None, None, None), (7, "", "en", None, 0), (7, "", "en", None, 0), (None, "word " * 50_000, None, "s", 1), (8, "! 1 ?", "en", "s", 5)]
+    rows = docs.unionByName(spark.createDataFrame(odd, docs.schema)).unionByName(docs.limit(20))
+    for name in ("Score", "margin", "rejected", "sampled", "probability", "n_tokens", "n_removed", "Text", "_fold", "id", "row"):
+        rows = rows.withColumn(name, F.lit(f"kept {name}"))
+    now = staged(rows)
+    columns = now.columns
+    for name, stage in corpus_pipeline.STAGES:
+        now = staged(stage(spark, now, folder))
+        assert name == "bpe" or now.columns == columns
+        if name != "bpe":
+            assert now.filter("Score <> 'kept Score' or n_removed <> 'kept n_removed' or sampled <> 'kept sampled'").count() == 0
+    assert now.count() > 0 and now.filter("not round_trip").count() == 0
+    empty = staged(docs.limit(0))
+    for _, stage in corpus_pipeline.STAGES:
+        empty = staged(stage(spark, empty, folder))
+    assert empty.count() == 0
