@@ -7,42 +7,58 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import bpe, language_id, mixing, simhash, substring_dedup
-from plumbline.llm.common import staged, table
+from plumbline.llm.common import pick, staged, table
 from plumbline.session import prepare
 
-# Near copies: five-word shingles; fingerprints in few bits apart, or sets of shingles four fifths alike.
-SHINGLE_WORDS, DIFFERING_BITS = 5, 5
-SIMILAR = 0.8
+# Near copies: fingerprints over three-word shingles that differ in few bits, as in op7_simhash.
+SHINGLE_WORDS, DIFFERING_BITS = 3, 2
+
+
+def _apart(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` under names that clash with nothing, and what each column is called there."""
+    flat = docs.toDF(*[f"_p{i}" for i in range(len(docs.columns))])
+    return flat, {name: f"_p{i}" for i, name in reversed(list(enumerate(docs.columns)))}
+
+
+def _back(done: DataFrame, docs: DataFrame) -> DataFrame:
+    return done.select(*[f"_p{i}" for i in range(len(docs.columns))]).toDF(*docs.columns)
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised; those without a letter or beyond the limits go."""
-    model = language_id.train(docs)
-    return language_id.identify(docs, model).filter("not rejected").select(docs.columns)
+    """Documents whose language is recognised; those without a letter or beyond the limits go.
+
+    Null and empty texts go; without any labelled text there is no model and none stays.
+    """
+    flat, name = _apart(docs)
+    model = language_id.train(flat, name["doc_id"], name["text"], name["lang"])
+    return _back(language_id.identify(flat, model, name["text"]).filter("not rejected"), docs)
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-duplicates."""
-    return simhash.keep_first(docs, "doc_id", "text", SHINGLE_WORDS, DIFFERING_BITS, SIMILAR)
+    """The document with the smallest id of each group of near-duplicates; one of repeated rows; null ids last."""
+    return simhash.keep_first(docs, "doc_id", "text", SHINGLE_WORDS, DIFFERING_BITS)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the sentences that repeat an earlier passage."""
-    cut = substring_dedup.remove_repeated_spans(docs, "doc_id", "text")
-    return cut.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    """All documents, without the sentences that repeat an earlier passage; a row stays even if its text is empty then."""
+    flat, name = _apart(docs)
+    cut = substring_dedup.remove_repeated_spans(flat, name["doc_id"], name["text"])
+    return _back(cut.withColumn(name["n_chars"], F.length(name["text"]).cast("long")), docs)
 
 
 def to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample in which source, language and topic have tempered shares of the tokens."""
-    dims = [F.col("source"), F.col("lang"), mixing.topic_of(F.col("text"))]
-    found = mixing.mixed(docs, dims, mixing.token_count(F.col("text")), [F.col("doc_id"), F.col("text")])
-    return found.filter("sampled").select(docs.columns)
+    """A sample in which source, language and topic have tempered shares of the tokens; null is a category of its own."""
+    flat, name = _apart(docs)
+    text = F.col(name["text"])
+    dims = [F.col(name["source"]), F.col(name["lang"]), mixing.topic_of(text)]
+    found = mixing.mixed(flat, dims, mixing.token_count(text), [F.col(name["doc_id"]), text])
+    return _back(found.filter("sampled"), docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, and whether they decode to its text."""
+    """Token ids of each document, and whether they decode to its text; null and empty texts have none."""
     vocabulary = bpe.read_vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    done = bpe.encode_decode(docs.select("doc_id", "lang", "source", "text"), vocabulary)
+    done = bpe.encode_decode(pick(docs, "doc_id", "lang", "source", "text"), vocabulary)
     same = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
     return done.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), same.alias("round_trip"))
 
