@@ -10,6 +10,9 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 
+# Bytes of one Arrow batch that Spark sends to a Python worker.
+ARROW_BYTES = 8 << 20
+
 # Applications that already have the package.
 _SHIPPED: set[str] = set()
 
@@ -49,6 +52,8 @@ def prepare(spark: SparkSession) -> SparkSession:
     _local_staging(spark)
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+    # What a Python worker holds at a time is bounded by bytes, however long the texts are.
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     application = spark.sparkContext.applicationId
     if application not in _SHIPPED:
         root = Path(__file__).resolve().parent
