@@ -8,7 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, language_id, license_scan, mixing, quality_rules, sharding, simhash, substring_dedup, topk_search, url_filter
+from plumbline.llm import (
+    bpe, fill_in_middle, language_id, license_scan, mixing, quality_rules, sharding, simhash, spelling, substring_dedup,
+    token_counts, topk_search, url_filter,
+)
 from plumbline.llm.common import pick, staged, table
 from plumbline.session import prepare
 
@@ -272,3 +275,47 @@ FROM d LEFT JOIN t ON d.doc_id = t.doc_id
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = pick(table(spark, sf_dir, "documents"), "doc_id", "text")
     return substring_dedup.remove_repeated_spans(documents)
+
+
+TOKEN_LIMIT = 2048
+
+
+@query()
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = token_counts.read_vocabulary(public_tokenizers.path("word_bpe_49k.json"))
+    found = token_counts.count_tokens(pick(table(spark, sf_dir, "documents"), "doc_id", "text"), vocabulary)
+    n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes")
+    return found.select("doc_id", n_bytes, "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
+
+
+@query()
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = spelling.runs(table(spark, sf_dir, "documents"), "doc_id", "text")
+    words = runs.select(spelling.with_typos(F.col("run"), F.col("id")).alias("word"))
+    return spelling.variants(spelling.counted(words)).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+FIM_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || doc_id) AS h,
+         regexp_extract_all(coalesce(text, ''), '[ \x09-\x0D]*[^ \x09-\x0D]+|[ \x09-\x0D]+') AS u FROM documents),
+c AS (
+  SELECT *, len(u) AS n, CAST('0x' || substr(h, 1, 8) AS BIGINT) % (len(u) + 1) AS x, CAST('0x' || substr(h, 9, 8) AS BIGINT) % (len(u) + 1) AS y,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>')
+                   OR CAST('0x' || substr(h, 17, 8) AS BIGINT) % 100 >= 50 THEN 'plain'
+              WHEN CAST('0x' || substr(h, 25, 8) AS BIGINT) % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM d),
+s AS (
+  SELECT *, array_to_string(u[1:least(x, y)], '') AS p, array_to_string(u[least(x, y) + 1:greatest(x, y)], '') AS m,
+         array_to_string(u[greatest(x, y) + 1:], '') AS s FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+              ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(text) AS restored_sha256 FROM s
+"""
+
+
+@query(FIM_SQL)
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = fill_in_middle.restore(fill_in_middle.transform(pick(table(spark, sf_dir, "documents"), "doc_id", "text")))
+    digest = lambda name: F.sha2(F.col(name).cast("binary"), 256).alias(f"{name}_sha256")
+    return done.select("doc_id", F.col("n_units").alias("n"), "form", "prefix_chars", "middle_chars", digest("output"), digest("restored"))
