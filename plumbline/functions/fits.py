@@ -1,9 +1,10 @@
 """Models of short series as column expressions: one row per series, its values in arrays.
 
-Regressions are solved by sweeping columns out one after another, recursions are folds
-over the array, and weights come from fixed grids. Likelihoods are conditional (the first
-values are taken as given), so the information criteria of the models compare with each
-other but not with an exact likelihood.
+Regressions are solved by sweeping columns out one after another and recursions are folds
+over the array. Weights are found by damped Gauss-Newton steps from the best of a few
+starts: one fold returns the errors' squares and their derivatives together. Likelihoods
+are conditional (the first values are taken as given) and stated for the whole series'
+number of values, so that models that skip different numbers of them compare.
 """
 
 from __future__ import annotations
@@ -14,11 +15,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Candidate weights: autoregressive and moving-average; level, trend and season.
-ARMA_GRID = tuple(i / 20 for i in range(-19, 20))
-LEVEL_GRID = (0.05, 0.1, 0.2, 0.3, 0.5, 0.7, 0.9)
-TREND_GRID = (0.0, 0.05, 0.1, 0.2, 0.4)
-SEASON_GRID = (0.0, 0.05, 0.1, 0.2, 0.4)
+# Starts of the search for weights: autoregressive and moving-average; level, trend and season.
+ARMA_STARTS = (-0.8, -0.4, 0.0, 0.4, 0.8)
+LEVEL_STARTS, TREND_STARTS, SEASON_STARTS = (0.1, 0.3, 0.6), (0.0, 0.1), (0.0, 0.2)
+# Steps of the search, the first damping, the bound of ARMA weights and the decimals that weights are given with.
+STEPS, DAMPING, BOUND, DECIMALS = 12, 0.001, 0.99, 4
+# Short lags of the long autoregression whose residuals stand in for shocks.
+LONG_LAGS = 3
 
 
 def let(value: Column, use) -> Column:
@@ -38,20 +41,24 @@ def mean(a: Column) -> Column:
     return total(a) / F.size(a)
 
 
-def differences(y: Column) -> Column:
-    n = F.size(y)
-    return F.zip_with(F.slice(y, 2, F.greatest(n - 1, F.lit(0))), F.slice(y, 1, F.greatest(n - 1, F.lit(0))), lambda a, b: a - b)
+def differences(y: Column, lag: Column | int = 1) -> Column:
+    lag = F.lit(lag) if isinstance(lag, int) else lag
+    rest = F.greatest(F.size(y) - lag, F.lit(0))
+    return F.zip_with(F.slice(y, lag + 1, rest), F.slice(y, 1, rest), lambda a, b: a - b)
 
 
 def running(a: Column) -> Column:
     """Sums up to each place."""
-    return F.transform(a, lambda v, i: total(F.slice(a, 1, i + 1)))
+    state = F.struct(F.lit(0.0).alias("sum"), F.array().cast("array<double>").alias("sums"))
+    step = lambda s, v: F.struct((s["sum"] + v).alias("sum"), F.concat(s["sums"], F.array(s["sum"] + v)).alias("sums"))
+    return F.aggregate(a, state, step)["sums"]
 
 
-def criteria(sse: Column, n: Column, k: Column | int) -> tuple[Column, Column]:
-    """AIC and BIC of k parameters on n rows."""
+def criteria(sse: Column, m: Column, k: Column | int, n: Column | None = None) -> tuple[Column, Column]:
+    """AIC and BIC of k parameters; the error variance of m rows, stated for n (m unless given)."""
     k = F.lit(k) if isinstance(k, int) else k
-    level = n * (F.log(2 * math.pi * F.greatest(sse / n, F.lit(1e-300))) + 1)
+    n = m if n is None else n
+    level = n * (F.log(2 * math.pi * F.greatest(sse / m, F.lit(1e-300))) + 1)
     return level + 2 * k, level + k * F.log(n.cast("double"))
 
 
@@ -152,10 +159,59 @@ def arma_errors(w: Column, weights: Column) -> Column:
     return F.aggregate(F.slice(w, 2, F.size(w) - 1), start, step)
 
 
+def _arma_slopes(w: Column, phi: Column, theta: Column) -> Column:
+    """Sum of squares of an ARMA(1,1) run, with the sums that a Gauss-Newton step needs.
+
+    ``p`` and ``q`` are the error's derivatives by the two weights.
+    """
+
+    def step(s: Column, v: Column) -> Column:
+        now = F.struct(
+            (v - phi * s["before"] - theta * s["e"]).alias("e"), (-s["before"] - theta * s["p"]).alias("p"), (-s["e"] - theta * s["q"]).alias("q")
+        )
+        return let(now, lambda n: F.struct(
+            v.alias("before"), n["e"].alias("e"), n["p"].alias("p"), n["q"].alias("q"), (s["sse"] + n["e"] * n["e"]).alias("sse"),
+            (s["pp"] + n["p"] * n["p"]).alias("pp"), (s["pq"] + n["p"] * n["q"]).alias("pq"), (s["qq"] + n["q"] * n["q"]).alias("qq"),
+            (s["pe"] + n["p"] * n["e"]).alias("pe"), (s["qe"] + n["q"] * n["e"]).alias("qe"),
+        ))
+
+    zero = [F.lit(0.0).alias(c) for c in ("e", "p", "q", "sse", "pp", "pq", "qq", "pe", "qe")]
+    return F.aggregate(F.slice(w, 2, F.size(w) - 1), F.struct(w[0].alias("before"), *zero), step)
+
+
+def _clamped(v: Column, low: Column, high: Column) -> Column:
+    return F.least(high, F.greatest(low, v))
+
+
+def _searched(first: Column, run, move) -> Column:
+    """Weights after the damped steps from ``first`` (array): a step that does not lower the loss is taken back and damped more."""
+    # Worked out once: in a fold an expression would be worked out at every step.
+    start = let(first, lambda f: F.struct(f.alias("at"), run(f).alias("run"), F.lit(DAMPING).alias("damping")))
+
+    def step(s: Column, _: Column) -> Column:
+        tried = let(move(s), lambda at: F.struct(at.alias("at"), run(at).alias("run")))
+        return let(tried, lambda t: F.when(
+            t["run"]["sse"] < s["run"]["sse"], F.struct(t["at"].alias("at"), t["run"].alias("run"), (s["damping"] * 0.1).alias("damping"))
+        ).otherwise(F.struct(s["at"].alias("at"), s["run"].alias("run"), (s["damping"] * 10.0).alias("damping"))))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), start, step)["at"]
+
+
 def arma_weights(w: Column, given: Sequence[float] | None) -> Column:
+    """Autoregressive and moving-average weight of the lowest sum of squares, or those given."""
     if given is not None:
         return F.array(*[F.lit(float(v)) for v in given])
-    return _lowest(_grid(ARMA_GRID, ARMA_GRID), lambda c: arma_errors(w, c))["w"]
+
+    def move(s: Column) -> Column:
+        r, more = s["run"], 1 + s["damping"]
+        size = r["pp"] * more * r["qq"] * more - r["pq"] * r["pq"]
+        way = F.when(size > 1e-300, F.array((r["qe"] * r["pq"] - r["pe"] * r["qq"] * more) / size, (r["pe"] * r["pq"] - r["qe"] * r["pp"] * more) / size))
+        way = F.coalesce(way, F.array(F.lit(0.0), F.lit(0.0)))
+        return F.zip_with(s["at"], way, lambda at, d: _clamped(at + d, F.lit(-BOUND), F.lit(BOUND)))
+
+    first = _lowest(_grid(ARMA_STARTS, ARMA_STARTS), lambda c: arma_errors(w, c))["w"]
+    found = _searched(first, lambda at: _arma_slopes(w, at[0], at[1]), move)
+    return F.transform(found, lambda v: F.round(v, DECIMALS))
 
 
 def arma_forecast(y: Column, w: Column, centre: Column, d: Column, weights: Column, periods: int) -> Column:
@@ -173,7 +229,7 @@ def _arma_ahead(y: Column, w: Column, centre: Column, d: Column, weights: Column
     )
     level = F.transform(running(steps), lambda v: F.element_at(y, -1) + v)
     ahead = F.when(d == 1, level).otherwise(F.transform(steps, lambda v: centre + v))
-    aic, bic = criteria(end["sse"], m, F.when(d == 1, 3).otherwise(4))
+    aic, bic = criteria(end["sse"], m, F.when(d == 1, 3).otherwise(4), F.size(y))
     return F.struct(ahead.alias("mean"), _band(F.when(d == 1, running(psi)).otherwise(psi), end["sse"] / m).alias("half"), aic.alias("aic"), bic.alias("bic"))
 
 
@@ -182,37 +238,96 @@ def _band(psi: Column, variance: Column) -> Column:
     return F.transform(running(F.transform(psi, lambda p: p * p)), lambda s: 1.96 * F.sqrt(variance * s))
 
 
-def seasonal_run(y: Column, season: int, weights: Column) -> Column:
-    """Level, trend, seasons and sum of squares of additive smoothing run through ``y``."""
+def _seasonal_start(y: Column, season: int, more: list[Column], named: Sequence[str]) -> Column:
+    """Level, trend and a queue of seasons around the line through the first two seasons' middles."""
     halves = F.array(mean(F.slice(y, 1, season)), mean(F.slice(y, season + 1, season)))
+    none = [F.lit(0.0).alias(c) for c in named]
 
     def begun(a: Column) -> Column:
-        # Seasonal start values around the line through the first season's middle.
         slope = (a[1] - a[0]) / season
-        seasons = F.transform(F.slice(y, 1, season), lambda v, k: v - (a[0] + slope * (k - (season - 1) / 2)))
+        own = lambda v, k: F.struct((v - (a[0] + slope * (k - (season - 1) / 2))).alias("s"), *none)
+        seasons = F.transform(F.slice(y, 1, season), own)
         level = a[0] - slope * (season + 1) / 2
-        return F.struct(level.alias("level"), slope.alias("trend"), seasons.alias("seasons"), F.lit(0.0).alias("sse"), F.lit(0).alias("t"))
+        return F.struct(level.alias("level"), slope.alias("trend"), seasons.alias("seasons"), F.lit(0.0).alias("sse"), *more)
+
+    return let(halves, begun)
+
+
+def seasonal_run(y: Column, season: int, weights: Column) -> Column:
+    """Level, trend, seasons (that of the next value first) and sum of squares of additive smoothing.
+
+    ``weights`` are the shares of an error that go to level, trend and season.
+    """
 
     def step(s: Column, v: Column) -> Column:
-        at = s["t"] % season
-        own = s["seasons"][at]
-        e = v - s["level"] - s["trend"] - own
+        return let(v - s["level"] - s["trend"] - s["seasons"][0]["s"], lambda e: F.struct(
+            (s["level"] + s["trend"] + weights[0] * e).alias("level"), (s["trend"] + weights[1] * e).alias("trend"),
+            F.concat(F.slice(s["seasons"], 2, season - 1), F.array(F.struct((s["seasons"][0]["s"] + weights[2] * e).alias("s")))).alias("seasons"),
+            (s["sse"] + e * e).alias("sse"),
+        ))
+
+    return F.aggregate(y, _seasonal_start(y, season, [], []), step)
 
-        def turned(level: Column) -> Column:
-            changed = weights[2] * (v - level) + (1 - weights[2]) * own
-            seasons = F.concat(F.slice(s["seasons"], 1, at), F.array(changed), F.slice(s["seasons"], at + 2, F.lit(season)))
-            trend = weights[1] * (level - s["level"]) + (1 - weights[1]) * s["trend"]
-            return F.struct(level.alias("level"), trend.alias("trend"), seasons.alias("seasons"), (s["sse"] + e * e).alias("sse"), (s["t"] + 1).alias("t"))
 
-        return let(weights[0] * (v - own) + (1 - weights[0]) * (s["level"] + s["trend"]), turned)
+_WAYS = ("a", "b", "c")  # the derivatives by the shares of level, trend and season
+_PAIRS = ("aa", "ab", "ac", "bb", "bc", "cc")
 
-    return F.aggregate(y, let(halves, begun), step)
+
+def _seasonal_slopes(y: Column, season: int, weights: Column) -> Column:
+    """:func:`seasonal_run`'s sum of squares and the sums that a Gauss-Newton step needs."""
+
+    def step(s: Column, v: Column) -> Column:
+        own = s["seasons"][0]
+        errors = [(v - s["level"] - s["trend"] - own["s"]).alias("e")]
+        errors += [(-(s["level_" + x] + s["trend_" + x] + own[x])).alias(x) for x in _WAYS]
+
+        def moved(d: Column) -> Column:
+            part = lambda k, x: (d["e"] if _WAYS[k] == x else F.lit(0.0)) + weights[k] * d[x]
+            seasons = F.struct((own["s"] + weights[2] * d["e"]).alias("s"), *[(own[x] + part(2, x)).alias(x) for x in _WAYS])
+            return F.struct(
+                (s["level"] + s["trend"] + weights[0] * d["e"]).alias("level"), (s["trend"] + weights[1] * d["e"]).alias("trend"),
+                F.concat(F.slice(s["seasons"], 2, season - 1), F.array(seasons)).alias("seasons"), (s["sse"] + d["e"] * d["e"]).alias("sse"),
+                *[(s["level_" + x] + s["trend_" + x] + part(0, x)).alias("level_" + x) for x in _WAYS],
+                *[(s["trend_" + x] + part(1, x)).alias("trend_" + x) for x in _WAYS],
+                *[(s[x + "e"] + d[x] * d["e"]).alias(x + "e") for x in _WAYS],
+                *[(s[p] + d[p[0]] * d[p[1]]).alias(p) for p in _PAIRS],
+            )
+
+        return let(F.struct(*errors), moved)
+
+    names = ["level_" + x for x in _WAYS] + ["trend_" + x for x in _WAYS] + [x + "e" for x in _WAYS] + list(_PAIRS)
+    end = F.aggregate(y, _seasonal_start(y, season, [F.lit(0.0).alias(c) for c in names], _WAYS), step)
+    return let(end, lambda s: F.struct(s["sse"].alias("sse"), *[s[c].alias(c) for c in names[6:]]))
+
+
+def shares(level: float, trend: float, season: float) -> tuple[float, float, float]:
+    """What share of an error goes to level, trend and season, for the usual smoothing weights."""
+    return level, level * trend, season * (1 - level)
 
 
 def seasonal_weights(y: Column, season: int, given: Sequence[float] | None) -> Column:
+    """Shares of the error for level, trend and season of the lowest sum of squares, or those of the weights given."""
     if given is not None:
-        return F.array(*[F.lit(float(v)) for v in given])
-    return _lowest(_grid(LEVEL_GRID, TREND_GRID, SEASON_GRID), lambda c: seasonal_run(y, season, c))["w"]
+        return F.array(*[F.lit(float(v)) for v in shares(*given)])
+
+    def move(s: Column) -> Column:
+        r, more, at = s["run"], 1 + s["damping"], s["at"]
+        aa, bb, cc, ab, ac, bc = r["aa"] * more, r["bb"] * more, r["cc"] * more, r["ab"], r["ac"], r["bc"]
+        size = aa * (bb * cc - bc * bc) - ab * (ab * cc - bc * ac) + ac * (ab * bc - bb * ac)
+        ae, be, ce = r["ae"], r["be"], r["ce"]
+        da = ae * (bb * cc - bc * bc) - ab * (be * cc - bc * ce) + ac * (be * bc - bb * ce)
+        db = aa * (be * cc - bc * ce) - ae * (ab * cc - bc * ac) + ac * (ab * ce - be * ac)
+        dc = aa * (bb * ce - be * bc) - ab * (ab * ce - be * ac) + ae * (ab * bc - bb * ac)
+        part = lambda k, d: at[k] - F.when(size > 1e-300, d / size).otherwise(0.0)
+        # The level first: the other two shares lie inside what it leaves them.
+        return let(_clamped(part(0, da), F.lit(1 - BOUND), F.lit(BOUND)), lambda level: F.array(
+            level, _clamped(part(1, db), F.lit(0.0), level), _clamped(part(2, dc), F.lit(0.0), 1 - level)
+        ))
+
+    starts = F.array(*[F.array(*[F.lit(v) for v in shares(a, b, c)]) for a in LEVEL_STARTS for b in TREND_STARTS for c in SEASON_STARTS])
+    first = _lowest(starts, lambda c: seasonal_run(y, season, c))["w"]
+    found = _searched(first, lambda at: _seasonal_slopes(y, season, at), move)
+    return F.transform(found, lambda v: F.round(v, DECIMALS))
 
 
 def seasonal_forecast(y: Column, season: int, weights: Column, periods: int) -> Column:
@@ -222,10 +337,10 @@ def seasonal_forecast(y: Column, season: int, weights: Column, periods: int) ->
 
 def _seasonal_ahead(y: Column, season: int, weights: Column, periods: int, end: Column) -> Column:
     n = F.size(y)
-    ahead = F.transform(F.sequence(F.lit(0), F.lit(periods - 1)), lambda h: end["level"] + end["trend"] * (h + 1) + end["seasons"][(n + h) % season])
+    steps = F.sequence(F.lit(0), F.lit(periods - 1))
+    ahead = F.transform(steps, lambda h: end["level"] + end["trend"] * (h + 1) + end["seasons"][h % season]["s"])
     shock = F.transform(
-        F.sequence(F.lit(0), F.lit(periods - 1)),
-        lambda h: F.when(h == 0, 1.0).otherwise(weights[0] * (1 + weights[1] * h) + F.when(h % season == 0, weights[2] * (1 - weights[0])).otherwise(0.0)),
+        steps, lambda h: F.when(h == 0, 1.0).otherwise(weights[0] + weights[1] * h + F.when(h % season == 0, weights[2]).otherwise(0.0))
     )
     aic, bic = criteria(end["sse"], n, 5 + season)
     return F.struct(ahead.alias("mean"), _band(shock, end["sse"] / n).alias("half"), aic.alias("aic"), bic.alias("bic"))

@@ -31,9 +31,11 @@ def to_series(
     exog: Sequence[str] = (),
     exog_agg: str = "SUM",
 ) -> DataFrame:
-    """(by…, bucket, value[, exog…]) without empty values; keys with under 10 points go.
+    """(by…, bucket, value[, exog…], points) without empty values.
 
-    Facts are reduced by one aggregate; everything later sees buckets only.
+    ``points`` is the number of buckets of the key. Keys with under ten stay; what needs
+    more points says so in a row of theirs. Facts are reduced by one aggregate; everything
+    later sees buckets only.
     """
     if grain not in GRAINS:
         raise ValueError(f"grain is one of {sorted(GRAINS)}")
@@ -41,15 +43,18 @@ def to_series(
     aggs = [measure(metric, agg, time).cast("double").alias("value")]
     aggs += [measure(c, exog_agg, time).cast("double").alias(c) for c in exog]
     points = df.filter(F.col(time).isNotNull()).groupBy(*by, bucket).agg(*aggs).na.drop(subset=["value", *exog])
-    counted = points.withColumn("_points", F.count("*").over(W.partitionBy(*_by(by))))
-    return counted.filter(F.col("_points") >= MIN_POINTS).drop("_points")
+    return points.withColumn("points", F.count("*").over(W.partitionBy(*_by(by))))
+
+
+def short_reason(n: Column) -> Column:
+    return F.concat(F.lit(f"fewer than {MIN_POINTS} points: "), n.cast("string"))
 
 
 def series_frequency(series: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Per key: frequency, seasonal period, number of gaps and confidence."""
+    """Per key: frequency, seasonal period, number of gaps and confidence; unknown for a key of one point."""
     w = W.partitionBy(*_by(by)).orderBy("bucket")
     t = seconds(F.col("bucket"))
-    steps = series.withColumn("_gap", t - F.lag(t).over(w)).filter("_gap is not null")
+    steps = series.withColumn("_gap", t - F.lag(t).over(w))
     # A key has one row per bucket, so its gaps are few enough for an exact median.
     median = F.percentile("_gap", F.lit(0.5)).over(W.partitionBy(*_by(by)))
     counted = steps.withColumn("_median", median).groupBy(*by).agg(
@@ -62,12 +67,12 @@ def series_frequency(series: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         "gaps_detected",
         F.when(days <= 1, "daily").when(days <= 7, "weekly").when(days <= 31, "monthly").otherwise("unknown").alias("frequency"),
         F.when(days <= 1, 7).when(days <= 7, 52).otherwise(12).alias("seasonal_period"),
-        F.when(F.col("gaps_detected") < 3, 0.9).otherwise(0.6).alias("confidence"),
+        F.when(days.isNull(), 0.3).when(F.col("gaps_detected") < 3, 0.9).otherwise(0.6).alias("confidence"),
     )
 
 
-def autocorrelation(series: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """(by…, n, lag, acf) for lags 1 to min(20, n/2), from one pass over the buckets."""
+def _lag_cells(series: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(by…, n, cells): lag and autocorrelation for lags 1 to min(20, n/2), from one pass over the buckets."""
     by = list(by)
     whole = W.partitionBy(*_by(by))
     ordered = whole.orderBy("bucket")
@@ -82,17 +87,19 @@ def autocorrelation(series: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         F.struct(F.lit(k).alias("lag"), (F.col(f"_c{k}") / F.nullif("_var", F.lit(0.0))).alias("acf"))
         for k in range(1, MAX_LAG + 1)
     ]
-    long = sums.select(*by, "n", F.inline(F.array(*cells)))
-    return long.filter(F.col("lag") <= F.floor(F.col("n") / 2))
+    return sums.select(*by, "n", F.filter(F.array(*cells), lambda c: c["lag"] <= F.floor(F.col("n") / 2)).alias("cells"))
+
+
+def autocorrelation(series: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by…, n, lag, acf) for lags 1 to min(20, n/2)."""
+    return _lag_cells(series, by).select(*by, "n", F.inline("cells"))
 
 
 def seasonality(series: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Per key: are there lags beyond the 95 % band, and which (true lags, 1 = next)."""
     band = 1.96 / F.sqrt(F.col("n").cast("double"))
-    marked = autocorrelation(series, by).withColumn("_hit", F.abs("acf") > band)
-    found = marked.groupBy(*by, "n").agg(
-        F.array_sort(F.collect_list(F.when(F.col("_hit"), F.col("lag")))).alias("lags"), F.count_if("_hit").alias("hits")
-    )
+    hits = F.transform(F.filter("cells", lambda c: F.abs(c["acf"]) > band), lambda c: c["lag"])
+    found = _lag_cells(series, by).withColumn("lags", hits).withColumn("hits", F.size("lags"))
     enough: Column = F.col("n") >= MIN_SEASONAL_POINTS
     return found.select(
         *by,

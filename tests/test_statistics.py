@@ -5,8 +5,10 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from plumbline.functions import fits as X
 from plumbline.functions.tails import incomplete_beta, student_two_sided, unit_root_p
 from plumbline.operators import anomaly as N
 from plumbline.operators import association as C
@@ -101,7 +103,8 @@ def test_smoothing_follows_trend_and_season(spark):
     fit = fitted(as_series(spark, y), "ets", 12, 0)
     ahead = np.arange(60, 72)
     assert fit.forecast.to_numpy() == pytest.approx(100 + 2 * ahead + 10 * np.sin(2 * np.pi * ahead / 12), abs=1.5)
-    assert fitted(as_series(spark, y[:20]), "ets", 3, 0).empty
+    none = fitted(as_series(spark, y[:20]), "ets", 3, 0)
+    assert len(none) == 1 and none.status[0] == "no_model" and none.model[0] is None
 
 
 def test_outside_column_effect_is_found(spark):
@@ -145,7 +148,84 @@ def test_forecast_without_keys_and_too_short(many_series, spark):
     series = T.to_series(one, "v", "t", "monthly")
     assert FC.forecast(series, 4).count() == 4
     short = T.to_series(one.limit(9), "v", "t", "monthly")
-    assert short.count() == 0
+    assert short.count() == 9 and {r.points for r in short.collect()} == {9}
+    r = FC.forecast(short, 4).first()
+    assert (r.n, r.step, r.forecast, r.status, r.reason) == (9, None, None, "insufficient_data", "fewer than 10 points: 9")
+    one_point = T.to_series(one.limit(1), "v", "t", "monthly")
+    assert T.series_frequency(one_point).first()[-3:] == ("unknown", 12, 0.3)
+    assert T.seasonality(one_point).first().significant_lags == [] and not FC.adf(one_point).first().is_stationary
+
+
+def test_every_key_has_a_row(many_series, spark):
+    some = many_series.withColumn("place", F.row_number().over(W.partitionBy("key").orderBy("t")))
+    mixed = some.filter("key = 'up' or (key = 'flat' and place <= 9) or (key = 'down' and place <= 12)")
+    series = T.to_series(mixed, "v", "t", "monthly", ["key"], exog=["x"])
+    found = {r["key"]: r for r in FC.summarize_forecast(FC.forecast(series, 6, ["key"], ["x"]), ["key"]).collect()}
+    assert {k: (r.status, r.sample_size, r.periods) for k, r in found.items()} == {"up": ("ok", 60, 6), "flat": ("insufficient_data", 9, 0), "down": ("ok", 12, 6)}
+    assert found["flat"].model_confidence == 0 and found["flat"].notes == found["flat"].reason == "fewer than 10 points: 9"
+    impact = {r["key"]: r for r in FC.simulate(series, "x", 10.0, 6, ["key"]).collect()}
+    assert {k: r.status for k, r in impact.items()} == {"up": "ok", "flat": "insufficient_data", "down": "no_scenario"}
+    assert impact["down"].baseline_total is not None and impact["down"].impact_percent is None
+
+
+def arma_loss(w, phi, theta):
+    e, sse = 0.0, 0.0
+    for before, v in zip(w, w[1:]):
+        e = v - phi * before - theta * e
+        sse += e * e
+    return sse
+
+
+def smoothing_loss(y, level_share, trend_share, season_share):
+    first, slope = np.mean(y[:12]), (np.mean(y[12:24]) - np.mean(y[:12])) / 12
+    level, trend, seasons, sse = first - slope * 6.5, slope, [y[k] - (first + slope * (k - 5.5)) for k in range(12)], 0.0
+    for v in y:
+        e = v - level - trend - seasons[0]
+        level, trend, seasons, sse = level + trend + level_share * e, trend + trend_share * e, seasons[1:] + [seasons[0] + season_share * e], sse + e * e
+    return sse
+
+
+def test_searched_weights_are_no_worse_than_a_fine_grid(spark):
+    rng = np.random.default_rng(21)
+    i = np.arange(72)
+    kinds = [
+        np.cumsum(rng.normal(size=72)), rng.normal(size=72), 50 + 0.5 * i + 8 * np.sin(2 * np.pi * i / 12) + rng.normal(size=72),
+        np.cumsum(np.cumsum(rng.normal(size=72))), 10 + rng.normal(size=72) * (1 + i % 12), np.where(i < 36, 0.0, 20.0) + rng.normal(size=72),
+    ]
+    rows = spark.createDataFrame([(k, [float(v) for v in y], [float(v) for v in np.diff(y)]) for k, y in enumerate(kinds)], "k int, y array<double>, w array<double>")
+    for r in rows.select("y", "w", X.arma_weights(F.col("w"), None).alias("a"), X.seasonal_weights(F.col("y"), 12, None).alias("s")).collect():
+        axis = [v / 20 for v in range(-19, 20)]
+        assert arma_loss(r.w, *r.a) <= 1.000001 * min(arma_loss(r.w, p, q) for p in axis for q in axis)
+        fine = [X.shares(a, b, c) for a in (0.05, 0.1, 0.2, 0.3, 0.5, 0.7, 0.9) for b in (0.0, 0.05, 0.1, 0.2, 0.4) for c in (0.0, 0.05, 0.1, 0.2, 0.4)]
+        assert smoothing_loss(r.y, *r.s) <= 1.000001 * min(smoothing_loss(r.y, *w) for w in fine)
+
+
+def test_seasonal_shocks_and_outside_column_are_found(spark):
+    rng = np.random.default_rng(5)
+    n = 700
+    e, x = rng.normal(size=n + 8), rng.normal(20, 5, size=n)
+    y = e[8:] + 0.6 * e[7:-1] + 0.5 * e[1:-7] + 0.3 * e[:-8] + 2 * x  # a shock lives on a day, a week and a week and a day later
+    fit = fitted(as_series(spark, y, x=x), "sarimax", 14, 0, ["x"])
+    known = 2 * x[-1] + np.array([0.6 * e[-1] * (h == 0) + 0.5 * e[-7 + h] * (h < 7) + 0.3 * e[-8 + h] * (h < 8) for h in range(14)])
+    assert np.sqrt(np.mean((fit.forecast - known) ** 2)) < 0.35
+    # Response to one shock: 1, 0.6 and, a week later, 0.5 and 0.3.
+    want = 1.96 * np.sqrt(np.cumsum([1, 0.36, 0, 0, 0, 0, 0, 0.25, 0.09, 0, 0, 0, 0, 0]))
+    assert fit.half.to_numpy() == pytest.approx(want, rel=0.12)
+
+
+def test_differences_over_the_season_are_undone(spark):
+    i = np.arange(140)
+    y = 100 + 3.0 * i + 10 * (i % 7) + np.random.default_rng(2).normal(size=140) * 0.1
+    fit = fitted(as_series(spark, y, x=np.zeros(140)), "sarimax", 14, 1, ["x"])
+    ahead = np.arange(140, 154)
+    assert fit.forecast.to_numpy() == pytest.approx(100 + 3.0 * ahead + 10 * (ahead % 7), abs=1.0)
+    assert np.all(np.diff(fit.half) >= 0)
+
+
+def test_critical_values_depend_on_the_rows(spark):
+    rng = np.random.default_rng(3)
+    short, long = (FC.adf(as_series(spark, rng.normal(size=n)), max_lag=0).first()["critical_values"] for n in (26, 1001))
+    assert short["5%"] == pytest.approx(-2.99, abs=0.01) and long["5%"] == pytest.approx(-2.86, abs=0.01) and short["1%"] == pytest.approx(-3.72, abs=0.01)
 
 
 def test_simulate_moves_with_the_outside_column(spark):
