@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 # Starts of the search for weights: autoregressive and moving-average; level, trend and season.
 ARMA_STARTS = (-0.8, -0.4, 0.0, 0.4, 0.8)
-LEVEL_STARTS, TREND_STARTS, SEASON_STARTS = (0.1, 0.3, 0.6), (0.0, 0.1), (0.0, 0.2)
+LEVEL_STARTS, TREND_STARTS, SEASON_STARTS = (0.1, 0.3, 0.6, 0.9), (0.0, 0.1), (0.0, 0.2)
 # Steps of the search, the first damping, the bound of ARMA weights and the decimals that weights are given with.
 STEPS, DAMPING, BOUND, DECIMALS = 12, 0.001, 0.99, 4
 # Short lags of the long autoregression whose residuals stand in for shocks.
@@ -134,84 +134,67 @@ def _last_step(x: Column, target: Column) -> Column:
     return let(share, rest)
 
 
-def _grid(*axes: Sequence[float]) -> Column:
-    """All combinations as an array of arrays, in order."""
-    out = F.transform(F.array(*[F.lit(float(v)) for v in axes[0]]), lambda v: F.array(v))
-    for axis in axes[1:]:
-        values = F.array(*[F.lit(float(v)) for v in axis])
-        out = F.flatten(F.transform(out, lambda head: F.transform(values, lambda v: F.concat(head, F.array(v)))))
-    return out
+# The searches are written as SQL text: one text is parsed at once, where thousands of calls would build it.
 
 
-def _lowest(candidates: Column, loss) -> Column:
-    """(loss, weights): the least, ties to the smaller weights."""
-    return F.array_min(F.transform(candidates, lambda w: F.struct(loss(w)["sse"].alias("sse"), w.alias("w"))))
+def _once(value: str, name: str, use: str) -> str:
+    """``use`` with ``value``, worked out once, under a name."""
+    return f"element_at(transform(array({value}), {name} -> {use}), 1)"
 
 
-def arma_errors(w: Column, weights: Column) -> Column:
-    """Last error and sum of squares of an ARMA(1,1) run through ``w``."""
+def _fields(**values: str) -> str:
+    return "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in values.items()) + ")"
 
-    def step(s: Column, v: Column) -> Column:
-        now = v - weights[0] * s["before"] - weights[1] * s["e"]
-        return let(now, lambda e: F.struct(v.alias("before"), e.alias("e"), (s["sse"] + e * e).alias("sse")))
 
-    start = F.struct(w[0].alias("before"), F.lit(0.0).alias("e"), F.lit(0.0).alias("sse"))
-    return F.aggregate(F.slice(w, 2, F.size(w) - 1), start, step)
+def _starts(rows: Sequence[Sequence[float]]) -> str:
+    return "array(" + ", ".join("array(" + ", ".join(f"{float(v)}D" for v in row) + ")" for row in rows) + ")"
 
 
-def _arma_slopes(w: Column, phi: Column, theta: Column) -> Column:
-    """Sum of squares of an ARMA(1,1) run, with the sums that a Gauss-Newton step needs.
+def _searched(starts: Sequence[Sequence[float]], loss: str, run: str, move: str) -> Column:
+    """Weights after the damped steps from the best start, ties to the smaller weights.
 
-    ``p`` and ``q`` are the error's derivatives by the two weights.
+    ``loss`` gives the sum of squares at weights ``k``, ``run`` that and the sums for a step;
+    ``move`` gives the next weights from the state ``g`` (at, run, damping). A step that does
+    not lower the loss is taken back and damped more.
     """
-
-    def step(s: Column, v: Column) -> Column:
-        now = F.struct(
-            (v - phi * s["before"] - theta * s["e"]).alias("e"), (-s["before"] - theta * s["p"]).alias("p"), (-s["e"] - theta * s["q"]).alias("q")
-        )
-        return let(now, lambda n: F.struct(
-            v.alias("before"), n["e"].alias("e"), n["p"].alias("p"), n["q"].alias("q"), (s["sse"] + n["e"] * n["e"]).alias("sse"),
-            (s["pp"] + n["p"] * n["p"]).alias("pp"), (s["pq"] + n["p"] * n["q"]).alias("pq"), (s["qq"] + n["q"] * n["q"]).alias("qq"),
-            (s["pe"] + n["p"] * n["e"]).alias("pe"), (s["qe"] + n["q"] * n["e"]).alias("qe"),
-        ))
-
-    zero = [F.lit(0.0).alias(c) for c in ("e", "p", "q", "sse", "pp", "pq", "qq", "pe", "qe")]
-    return F.aggregate(F.slice(w, 2, F.size(w) - 1), F.struct(w[0].alias("before"), *zero), step)
-
-
-def _clamped(v: Column, low: Column, high: Column) -> Column:
-    return F.least(high, F.greatest(low, v))
+    first = f"array_min(transform({_starts(starts)}, k -> {_fields(sse=loss, w='k')})).w"
+    begun = _once(first, "k", _fields(at="k", run=run, damping=f"{DAMPING}D"))
+    better = _fields(at="t.at", run="t.run", damping="g.damping * 0.1D")
+    worse = _fields(at="g.at", run="g.run", damping="g.damping * 10D")
+    tried = _once(move, "k", _fields(at="k", run=run))
+    step = _once(tried, "t", f"CASE WHEN t.run.sse < g.run.sse THEN {better} ELSE {worse} END")
+    return F.expr(f"transform(aggregate(sequence(1, {STEPS}), {begun}, (g, i) -> {step}).at, k -> round(k, {DECIMALS}))")
 
 
-def _searched(first: Column, run, move) -> Column:
-    """Weights after the damped steps from ``first`` (array): a step that does not lower the loss is taken back and damped more."""
-    # Worked out once: in a fold an expression would be worked out at every step.
-    start = let(first, lambda f: F.struct(f.alias("at"), run(f).alias("run"), F.lit(DAMPING).alias("damping")))
+def arma_errors(w: Column, weights: Column) -> Column:
+    """Last error and sum of squares of an ARMA(1,1) run through ``w``."""
 
-    def step(s: Column, _: Column) -> Column:
-        tried = let(move(s), lambda at: F.struct(at.alias("at"), run(at).alias("run")))
-        return let(tried, lambda t: F.when(
-            t["run"]["sse"] < s["run"]["sse"], F.struct(t["at"].alias("at"), t["run"].alias("run"), (s["damping"] * 0.1).alias("damping"))
-        ).otherwise(F.struct(s["at"].alias("at"), s["run"].alias("run"), (s["damping"] * 10.0).alias("damping"))))
+    def step(s: Column, v: Column) -> Column:
+        now = v - weights[0] * s["before"] - weights[1] * s["e"]
+        return let(now, lambda e: F.struct(v.alias("before"), e.alias("e"), (s["sse"] + e * e).alias("sse")))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), start, step)["at"]
+    start = F.struct(w[0].alias("before"), F.lit(0.0).alias("e"), F.lit(0.0).alias("sse"))
+    return F.aggregate(F.slice(w, 2, F.size(w) - 1), start, step)
 
 
-def arma_weights(w: Column, given: Sequence[float] | None) -> Column:
-    """Autoregressive and moving-average weight of the lowest sum of squares, or those given."""
+def arma_weights(w: str, given: Sequence[float] | None) -> Column:
+    """Autoregressive and moving-average weight of the lowest sum of squares of the column ``w``, or those given."""
     if given is not None:
         return F.array(*[F.lit(float(v)) for v in given])
-
-    def move(s: Column) -> Column:
-        r, more = s["run"], 1 + s["damping"]
-        size = r["pp"] * more * r["qq"] * more - r["pq"] * r["pq"]
-        way = F.when(size > 1e-300, F.array((r["qe"] * r["pq"] - r["pe"] * r["qq"] * more) / size, (r["pe"] * r["pq"] - r["qe"] * r["pp"] * more) / size))
-        way = F.coalesce(way, F.array(F.lit(0.0), F.lit(0.0)))
-        return F.zip_with(s["at"], way, lambda at, d: _clamped(at + d, F.lit(-BOUND), F.lit(BOUND)))
-
-    first = _lowest(_grid(ARMA_STARTS, ARMA_STARTS), lambda c: arma_errors(w, c))["w"]
-    found = _searched(first, lambda at: _arma_slopes(w, at[0], at[1]), move)
-    return F.transform(found, lambda v: F.round(v, DECIMALS))
+    error = "v - k[0] * s.before - k[1] * s.e"
+    values = f"slice({w}, 2, size({w}) - 1)"
+    more = _once(error, "e", _fields(before="v", e="e", sse="s.sse + e * e"))
+    loss = f"aggregate({values}, {_fields(before=f'{w}[0]', e='0D', sse='0D')}, (s, v) -> {more}).sse"
+    # p and q are the error's derivatives by the two weights.
+    now = _fields(e=error, p="-s.before - k[1] * s.p", q="-s.e - k[1] * s.q")
+    sums = {"sse": "n.e * n.e", "pp": "n.p * n.p", "pq": "n.p * n.q", "qq": "n.q * n.q", "pe": "n.p * n.e", "qe": "n.q * n.e"}
+    step = _once(now, "n", _fields(before="v", e="n.e", p="n.p", q="n.q", **{c: f"s.{c} + {x}" for c, x in sums.items()}))
+    zero = _fields(before=f"{w}[0]", **dict.fromkeys(["e", "p", "q", *sums], "0D"))
+    size = "(g.run.pp * (1 + g.damping) * g.run.qq * (1 + g.damping) - g.run.pq * g.run.pq)"
+    ways = ("g.run.qe * g.run.pq - g.run.pe * g.run.qq * (1 + g.damping)", "g.run.pe * g.run.pq - g.run.qe * g.run.pp * (1 + g.damping)")
+    at = [f"CASE WHEN {size} > 1e-300D THEN least({BOUND}D, greatest(-{BOUND}D, g.at[{i}] + ({way}) / {size})) ELSE g.at[{i}] END" for i, way in enumerate(ways)]
+    starts = [(a, b) for a in ARMA_STARTS for b in ARMA_STARTS]
+    return _searched(starts, loss, f"aggregate({values}, {zero}, (s, v) -> {step})", f"array({', '.join(at)})")
 
 
 def arma_forecast(y: Column, w: Column, centre: Column, d: Column, weights: Column, periods: int) -> Column:
@@ -238,17 +221,15 @@ def _band(psi: Column, variance: Column) -> Column:
     return F.transform(running(F.transform(psi, lambda p: p * p)), lambda s: 1.96 * F.sqrt(variance * s))
 
 
-def _seasonal_start(y: Column, season: int, more: list[Column], named: Sequence[str]) -> Column:
+def _seasonal_start(y: Column, season: int) -> Column:
     """Level, trend and a queue of seasons around the line through the first two seasons' middles."""
     halves = F.array(mean(F.slice(y, 1, season)), mean(F.slice(y, season + 1, season)))
-    none = [F.lit(0.0).alias(c) for c in named]
 
     def begun(a: Column) -> Column:
         slope = (a[1] - a[0]) / season
-        own = lambda v, k: F.struct((v - (a[0] + slope * (k - (season - 1) / 2))).alias("s"), *none)
-        seasons = F.transform(F.slice(y, 1, season), own)
+        seasons = F.transform(F.slice(y, 1, season), lambda v, k: v - (a[0] + slope * (k - (season - 1) / 2)))
         level = a[0] - slope * (season + 1) / 2
-        return F.struct(level.alias("level"), slope.alias("trend"), seasons.alias("seasons"), F.lit(0.0).alias("sse"), *more)
+        return F.struct(level.alias("level"), slope.alias("trend"), seasons.alias("seasons"), F.lit(0.0).alias("sse"))
 
     return let(halves, begun)
 
@@ -260,44 +241,13 @@ def seasonal_run(y: Column, season: int, weights: Column) -> Column:
     """
 
     def step(s: Column, v: Column) -> Column:
-        return let(v - s["level"] - s["trend"] - s["seasons"][0]["s"], lambda e: F.struct(
+        return let(v - s["level"] - s["trend"] - s["seasons"][0], lambda e: F.struct(
             (s["level"] + s["trend"] + weights[0] * e).alias("level"), (s["trend"] + weights[1] * e).alias("trend"),
-            F.concat(F.slice(s["seasons"], 2, season - 1), F.array(F.struct((s["seasons"][0]["s"] + weights[2] * e).alias("s")))).alias("seasons"),
+            F.concat(F.slice(s["seasons"], 2, season - 1), F.array(s["seasons"][0] + weights[2] * e)).alias("seasons"),
             (s["sse"] + e * e).alias("sse"),
         ))
 
-    return F.aggregate(y, _seasonal_start(y, season, [], []), step)
-
-
-_WAYS = ("a", "b", "c")  # the derivatives by the shares of level, trend and season
-_PAIRS = ("aa", "ab", "ac", "bb", "bc", "cc")
-
-
-def _seasonal_slopes(y: Column, season: int, weights: Column) -> Column:
-    """:func:`seasonal_run`'s sum of squares and the sums that a Gauss-Newton step needs."""
-
-    def step(s: Column, v: Column) -> Column:
-        own = s["seasons"][0]
-        errors = [(v - s["level"] - s["trend"] - own["s"]).alias("e")]
-        errors += [(-(s["level_" + x] + s["trend_" + x] + own[x])).alias(x) for x in _WAYS]
-
-        def moved(d: Column) -> Column:
-            part = lambda k, x: (d["e"] if _WAYS[k] == x else F.lit(0.0)) + weights[k] * d[x]
-            seasons = F.struct((own["s"] + weights[2] * d["e"]).alias("s"), *[(own[x] + part(2, x)).alias(x) for x in _WAYS])
-            return F.struct(
-                (s["level"] + s["trend"] + weights[0] * d["e"]).alias("level"), (s["trend"] + weights[1] * d["e"]).alias("trend"),
-                F.concat(F.slice(s["seasons"], 2, season - 1), F.array(seasons)).alias("seasons"), (s["sse"] + d["e"] * d["e"]).alias("sse"),
-                *[(s["level_" + x] + s["trend_" + x] + part(0, x)).alias("level_" + x) for x in _WAYS],
-                *[(s["trend_" + x] + part(1, x)).alias("trend_" + x) for x in _WAYS],
-                *[(s[x + "e"] + d[x] * d["e"]).alias(x + "e") for x in _WAYS],
-                *[(s[p] + d[p[0]] * d[p[1]]).alias(p) for p in _PAIRS],
-            )
-
-        return let(F.struct(*errors), moved)
-
-    names = ["level_" + x for x in _WAYS] + ["trend_" + x for x in _WAYS] + [x + "e" for x in _WAYS] + list(_PAIRS)
-    end = F.aggregate(y, _seasonal_start(y, season, [F.lit(0.0).alias(c) for c in names], _WAYS), step)
-    return let(end, lambda s: F.struct(s["sse"].alias("sse"), *[s[c].alias(c) for c in names[6:]]))
+    return F.aggregate(y, _seasonal_start(y, season), step)
 
 
 def shares(level: float, trend: float, season: float) -> tuple[float, float, float]:
@@ -305,29 +255,53 @@ def shares(level: float, trend: float, season: float) -> tuple[float, float, flo
     return level, level * trend, season * (1 - level)
 
 
-def seasonal_weights(y: Column, season: int, given: Sequence[float] | None) -> Column:
-    """Shares of the error for level, trend and season of the lowest sum of squares, or those of the weights given."""
+def seasonal_weights(y: str, season: int, given: Sequence[float] | None) -> Column:
+    """Shares of the error for level, trend and season of the lowest sum of squares of the column ``y``, or those of the weights given."""
     if given is not None:
         return F.array(*[F.lit(float(v)) for v in shares(*given)])
-
-    def move(s: Column) -> Column:
-        r, more, at = s["run"], 1 + s["damping"], s["at"]
-        aa, bb, cc, ab, ac, bc = r["aa"] * more, r["bb"] * more, r["cc"] * more, r["ab"], r["ac"], r["bc"]
-        size = aa * (bb * cc - bc * bc) - ab * (ab * cc - bc * ac) + ac * (ab * bc - bb * ac)
-        ae, be, ce = r["ae"], r["be"], r["ce"]
-        da = ae * (bb * cc - bc * bc) - ab * (be * cc - bc * ce) + ac * (be * bc - bb * ce)
-        db = aa * (be * cc - bc * ce) - ae * (ab * cc - bc * ac) + ac * (ab * ce - be * ac)
-        dc = aa * (bb * ce - be * bc) - ab * (ab * ce - be * ac) + ae * (ab * bc - bb * ac)
-        part = lambda k, d: at[k] - F.when(size > 1e-300, d / size).otherwise(0.0)
-        # The level first: the other two shares lie inside what it leaves them.
-        return let(_clamped(part(0, da), F.lit(1 - BOUND), F.lit(BOUND)), lambda level: F.array(
-            level, _clamped(part(1, db), F.lit(0.0), level), _clamped(part(2, dc), F.lit(0.0), 1 - level)
-        ))
-
-    starts = F.array(*[F.array(*[F.lit(v) for v in shares(a, b, c)]) for a in LEVEL_STARTS for b in TREND_STARTS for c in SEASON_STARTS])
-    first = _lowest(starts, lambda c: seasonal_run(y, season, c))["w"]
-    found = _searched(first, lambda at: _seasonal_slopes(y, season, at), move)
-    return F.transform(found, lambda v: F.round(v, DECIMALS))
+    ways, pairs = ("a", "b", "c"), ("aa", "ab", "ac", "bb", "bc", "cc")  # by the shares of level, trend and season
+
+    def start(own: str, **more: str) -> str:
+        sums = [f"aggregate(slice({y}, {1 + k * season}, {season}), 0D, (s, v) -> s + v) / {season}" for k in range(2)]
+        seasons = f"transform(slice({y}, 1, {season}), (v, j) -> {own})"
+        line = _fields(level=f"h[0] - b * {season + 1} / 2", trend="b", seasons=seasons, sse="0D", **more)
+        return _once(f"array({', '.join(sums)})", "h", _once(f"(h[1] - h[0]) / {season}", "b", line))
+
+    value = f"v - (h[0] + b * (j - {(season - 1) / 2}D))"
+    queue = lambda last: f"concat(slice(s.seasons, 2, {season - 1}), array({last}))"
+    moved = {"level": "s.level + s.trend + k[0] * e", "trend": "s.trend + k[1] * e"}
+    step = _once("v - s.level - s.trend - s.seasons[0]", "e", _fields(**moved, seasons=queue("s.seasons[0] + k[2] * e"), sse="s.sse + e * e"))
+    loss = f"aggregate({y}, {start(value)}, (s, v) -> {step}).sse"
+
+    # The same with the derivatives of error, level, trend and season by each share.
+    errors = _fields(e="v - s.level - s.trend - s.seasons[0].s", **{x: f"-(s.level_{x} + s.trend_{x} + s.seasons[0].{x})" for x in ways})
+    part = lambda i, x: f"{'d.e + ' if ways[i] == x else ''}k[{i}] * d.{x}"
+    season_now = _fields(s="s.seasons[0].s + k[2] * d.e", **{x: f"s.seasons[0].{x} + ({part(2, x)})" for x in ways})
+    sums = {x + "e": f"d.{x} * d.e" for x in ways} | {p: f"d.{p[0]} * d.{p[1]}" for p in pairs}
+    slopes = _once(errors, "d", _fields(
+        level="s.level + s.trend + k[0] * d.e", trend="s.trend + k[1] * d.e", seasons=queue(season_now), sse="s.sse + d.e * d.e",
+        **{f"level_{x}": f"s.level_{x} + s.trend_{x} + ({part(0, x)})" for x in ways},
+        **{f"trend_{x}": f"s.trend_{x} + ({part(1, x)})" for x in ways}, **{c: f"s.{c} + {x}" for c, x in sums.items()},
+    ))
+    zeros = dict.fromkeys([*[f"level_{x}" for x in ways], *[f"trend_{x}" for x in ways], *sums], "0D")
+    begun = start(_fields(s=value, a="0D", b="0D", c="0D"), **zeros)
+    run = _once(f"aggregate({y}, {begun}, (s, v) -> {slopes})", "s", _fields(sse="s.sse", **{c: f"s.{c}" for c in sums}))
+
+    damped = _fields(**{p: f"g.run.{p}" + (" * (1 + g.damping)" if p[0] == p[1] else "") for p in pairs}, **{x + "e": f"g.run.{x}e" for x in ways})
+    size = "r.aa * (r.bb * r.cc - r.bc * r.bc) - r.ab * (r.ab * r.cc - r.bc * r.ac) + r.ac * (r.ab * r.bc - r.bb * r.ac)"
+    turns = (
+        "r.ae * (r.bb * r.cc - r.bc * r.bc) - r.ab * (r.be * r.cc - r.bc * r.ce) + r.ac * (r.be * r.bc - r.bb * r.ce)",
+        "r.aa * (r.be * r.cc - r.bc * r.ce) - r.ae * (r.ab * r.cc - r.bc * r.ac) + r.ac * (r.ab * r.ce - r.be * r.ac)",
+        "r.aa * (r.bb * r.ce - r.be * r.bc) - r.ab * (r.ab * r.ce - r.be * r.ac) + r.ae * (r.ab * r.bc - r.bb * r.ac)",
+    )
+    at = [f"g.at[{i}] - CASE WHEN z > 1e-300D THEN ({turn}) / z ELSE 0D END" for i, turn in enumerate(turns)]
+    # Level and season share what there is: what both together have too much is taken from both.
+    raw = _fields(l=f"least({BOUND}D, greatest({1 - BOUND}D, {at[0]}))", c=f"least(1D, greatest(0D, {at[2]}))")
+    level = _once("greatest(0D, q.l + q.c - 1) / 2", "x", _fields(l=f"greatest({1 - BOUND}D, q.l - x)", c="greatest(0D, q.c - x)"))
+    bound = _once(level, "p", f"array(p.l, least(p.l, greatest(0D, {at[1]})), least(1 - p.l, p.c))")
+    move = _once(damped, "r", _once(size, "z", _once(raw, "q", bound)))
+    starts = [shares(a, b, c) for a in LEVEL_STARTS for b in TREND_STARTS for c in SEASON_STARTS]
+    return _searched(starts, loss, run, move)
 
 
 def seasonal_forecast(y: Column, season: int, weights: Column, periods: int) -> Column:
@@ -338,7 +312,7 @@ def seasonal_forecast(y: Column, season: int, weights: Column, periods: int) ->
 def _seasonal_ahead(y: Column, season: int, weights: Column, periods: int, end: Column) -> Column:
     n = F.size(y)
     steps = F.sequence(F.lit(0), F.lit(periods - 1))
-    ahead = F.transform(steps, lambda h: end["level"] + end["trend"] * (h + 1) + end["seasons"][h % season]["s"])
+    ahead = F.transform(steps, lambda h: end["level"] + end["trend"] * (h + 1) + end["seasons"][h % season])
     shock = F.transform(
         steps, lambda h: F.when(h == 0, 1.0).otherwise(weights[0] + weights[1] * h + F.when(h % season == 0, weights[2]).otherwise(0.0))
     )

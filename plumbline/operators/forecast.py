@@ -67,13 +67,13 @@ def _arima(rows: DataFrame, periods: int, weights: Sequence[float] | None) -> Da
     plain = F.col("d") == 0
     rows = rows.filter(F.size("z") >= 3).withColumn("_centre", F.when(plain, X.mean(F.col("z"))).otherwise(0.0))
     rows = rows.withColumn("_w", F.transform("z", lambda v: v - F.col("_centre")))
-    rows = checkpoint_parquet(rows.withColumn("_weights", X.arma_weights(F.col("_w"), weights)))
+    rows = checkpoint_parquet(rows.withColumn("_weights", X.arma_weights("_w", weights)))
     return rows.withColumn("_fit", X.arma_forecast(F.col("y"), F.col("_w"), F.col("_centre"), F.col("d"), F.col("_weights"), periods))
 
 
 def _ets(rows: DataFrame, periods: int, weights: Sequence[float] | None) -> DataFrame:
     rows = rows.filter(F.col("n") >= 2 * ETS_SEASON)
-    rows = checkpoint_parquet(rows.withColumn("_weights", X.seasonal_weights(F.col("y"), ETS_SEASON, weights)))
+    rows = checkpoint_parquet(rows.withColumn("_weights", X.seasonal_weights("y", ETS_SEASON, weights)))
     return rows.withColumn("_fit", X.seasonal_forecast(F.col("y"), ETS_SEASON, F.col("_weights"), periods))
 
 

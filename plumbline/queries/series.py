@@ -375,10 +375,11 @@ el AS (
   FROM (SELECT el.*, eb.y[t + 1] - lvl - trend - seasons[1] AS e, -(lv[1] + tr[1] + sa[1]) AS da, -(lv[2] + tr[2] + sb[1]) AS db,
                -(lv[3] + tr[3] + sc[1]) AS dc FROM el JOIN eb ON el.brand = eb.brand WHERE t < n)
   UNION ALL
-  SELECT brand, it + 1, 0, na, CASE WHEN det > 1e-300 THEN least(na, greatest(0e0, b0 - db / det)) ELSE least(na, greatest(0e0, b0)) END,
-         CASE WHEN det > 1e-300 THEN least(1 - na, greatest(0e0, c0 - dc / det)) ELSE least(1 - na, greatest(0e0, c0)) END,
+  SELECT brand, it + 1, 0, na, least(na, greatest(0e0, b0 - CASE WHEN det > 1e-300 THEN db / det ELSE 0 END)), least(1 - na, nc),
          level0, slope, seasons0, [0e0, 0e0, 0e0], [0e0, 0e0, 0e0], {_NONE}, {_NONE}, {_NONE}, {_ZERO}, damping, a0, b0, c0, g
-  FROM (SELECT *, least({X.BOUND}e0, greatest(1 - {X.BOUND}e0, a0 - CASE WHEN det > 1e-300 THEN da / det ELSE 0 END)) AS na FROM (
+  FROM (SELECT *, greatest(1 - {X.BOUND}e0, ra - greatest(0e0, ra + rc - 1) / 2) AS na, greatest(0e0, rc - greatest(0e0, ra + rc - 1) / 2) AS nc FROM (
+   SELECT *, least({X.BOUND}e0, greatest(1 - {X.BOUND}e0, a0 - CASE WHEN det > 1e-300 THEN da / det ELSE 0 END)) AS ra,
+          least(1e0, greatest(0e0, c0 - CASE WHEN det > 1e-300 THEN dc / det ELSE 0 END)) AS rc FROM (
     SELECT *, aa * (bb * cc - g.bc * g.bc) - g.ab * (g.ab * cc - g.bc * g.ac) + g.ac * (g.ab * g.bc - bb * g.ac) AS det,
            g.ae * (bb * cc - g.bc * g.bc) - g.ab * (g.be * cc - g.bc * g.ce) + g.ac * (g.be * g.bc - bb * g.ce) AS da,
            aa * (g.be * cc - g.bc * g.ce) - g.ae * (g.ab * cc - g.bc * g.ac) + g.ac * (g.ab * g.ce - g.be * g.ac) AS db,
@@ -387,7 +388,7 @@ el AS (
         SELECT el.brand, it, level0, slope, seasons0, CASE WHEN r.sse < best.sse THEN a ELSE a0 END AS a0, CASE WHEN r.sse < best.sse THEN b ELSE b0 END AS b0,
                CASE WHEN r.sse < best.sse THEN c ELSE c0 END AS c0, CASE WHEN r.sse < best.sse THEN r ELSE best END AS g,
                CASE WHEN r.sse < best.sse THEN damping * 0.1e0 ELSE damping * 10e0 END AS damping
-        FROM el JOIN eb ON el.brand = eb.brand WHERE t = n AND it <= {X.STEPS})))))),
+        FROM el JOIN eb ON el.brand = eb.brand WHERE t = n AND it <= {X.STEPS}))))))),
 ew AS (SELECT brand, round(a0, {X.DECIMALS}) AS a, round(b0, {X.DECIMALS}) AS b, round(c0, {X.DECIMALS}) AS c FROM el WHERE it = {X.STEPS} + 1 AND t = 0),
 ee AS (
   SELECT ew.*, 0::BIGINT AS t, level0 AS lvl, slope AS trend, seasons0 AS seasons, 0e0 AS sse FROM ew JOIN eb ON ew.brand = eb.brand
