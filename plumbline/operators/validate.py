@@ -27,16 +27,24 @@ class _Checks:
         self.factor: Column = F.lit(1.0)
         self.passed: list[Column] = []
         self.failed: list[Column] = []
+        self.reasons: list[Column] = []
 
-    def add(self, name: str, applies: Column, good: Column, if_good: float = 1.0, if_bad: float = 1.0) -> None:
+    def add(
+        self, name: str, applies: Column, good: Column, if_good: float = 1.0, if_bad: float = 1.0, why: str = "", *figures: Column, failed: str = ""
+    ) -> None:
+        """``why`` is a format of ``figures``; ``failed`` the name under which a failure is listed, if another."""
         applies, good = F.coalesce(applies, F.lit(False)), F.coalesce(good, F.lit(False))
         self.passed.append(F.when(applies & good, F.lit(name)))
-        self.failed.append(F.when(applies & ~good, F.lit(name)))
+        self.failed.append(F.when(applies & ~good, F.lit(failed or name)))
+        if why:
+            self.reasons.append(F.when(applies & ~good, F.format_string(why, *figures) if figures else F.lit(why)))
         self.factor = self.factor * F.when(applies & good, if_good).when(applies & ~good, if_bad).otherwise(1.0)
 
 
 def validate(results: DataFrame, table_rows: int | None = None) -> DataFrame:
-    """Add ``confidence_score``, ``verdict``, ``passed_checks`` and ``failed_checks``.
+    """Add ``confidence_score``, ``verdict``, ``passed_checks``, ``failed_checks`` and ``rejection_reason``.
+
+    The reason says in words, with its figures, what each failed check found; null if none failed.
 
     Reads the results columns; an optional ``is_stable`` column comes from
     ``stability_corr`` or ``stability_trend``. ``table_rows`` stands in for a missing
@@ -51,43 +59,43 @@ def validate(results: DataFrame, table_rows: int | None = None) -> DataFrame:
     always = F.lit(True)
     size = F.coalesce(col("sample_size", "bigint"), F.lit(table_rows).cast("bigint"))
     checks = _Checks()
-    checks.add("sample_size_reported", always, col("sample_size", "bigint").isNotNull(), 1.0, 0.3)
-    checks.add("sample_size_adequate", always, size >= MIN_ROWS, 1.0, 0.2)
+    checks.add("sample_size_reported", always, col("sample_size", "bigint").isNotNull(), 1.0, 0.3, "sample size not reported", failed="sample_size_missing")
+    checks.add("sample_size_adequate", always, size >= MIN_ROWS, 1.0, 0.2, f"sample size %d below {MIN_ROWS}", size)
 
     forecast = kind == "forecast"
-    checks.add("model_confidence", forecast & col("model_confidence").isNotNull(), col("model_confidence") >= 0.5)
+    checks.add("model_confidence", forecast & col("model_confidence").isNotNull(), col("model_confidence") >= 0.5, 1.0, 1.0, "model confidence %.3f below 0.500", col("model_confidence"))
     checks.add("aic_reported", forecast & col("aic").isNotNull(), always)
     checks.add("forecast_horizon_valid", forecast & (col("periods", "int") > 0), always)
 
     anomaly = kind == "anomaly"
     rate = F.coalesce(col("anomaly_rate"), F.lit(0.0))
-    checks.add("anomalies_found", anomaly, F.coalesce(col("anomalies_found", "bigint"), F.lit(0)) != 0, 1.0, 0.1)
-    checks.add("anomaly_rate_reasonable", anomaly, rate <= 0.3, 1.0, 0.5)
+    checks.add("anomalies_found", anomaly, F.coalesce(col("anomalies_found", "bigint"), F.lit(0)) != 0, 1.0, 0.1, "no anomalies found")
+    checks.add("anomaly_rate_reasonable", anomaly, rate <= 0.3, 1.0, 0.5, "anomaly rate %.3f above 0.300", rate)
     checks.add("high_severity_anomalies", anomaly & (col("mean_severity") > 2.0), always, 1.1)
 
     correlation = kind == "correlation"
     p, r = col("p_value"), col("correlation")
-    checks.add("p_value_significant", correlation & p.isNotNull(), p <= 0.05, 0.95, 0.3)
-    checks.add("correlation_strength", correlation & r.isNotNull(), F.abs(r) >= 0.3, 0.9, 0.4)
+    checks.add("p_value_significant", correlation & p.isNotNull(), p <= 0.05, 0.95, 0.3, "p-value %.3f above 0.050", p)
+    checks.add("correlation_strength", correlation & r.isNotNull(), F.abs(r) >= 0.3, 0.9, 0.4, "correlation %.3f weaker than 0.300", r)
 
     causal = kind == "causal"
     trust = col("causal_confidence", "string")
     weak = trust.isin("low", "none")
-    checks.add("causal_confidence", causal & weak, F.lit(False), 1.0, 0.3)
+    checks.add("causal_confidence", causal & weak, F.lit(False), 1.0, 0.3, "causal confidence is %s", trust)
     checks.add("causal_confidence_medium", causal & (trust == "medium"), always, 0.8)
     checks.add("causal_confidence_high", causal & trust.isNotNull() & ~weak & (trust != "medium"), always)
-    checks.add("refutation_tests", causal & (col("refutations_run", "int") > 0), col("refutations_passed", "int") >= 2, 1.05, 0.7)
+    checks.add("refutation_tests", causal & (col("refutations_run", "int") > 0), col("refutations_passed", "int") >= 2, 1.05, 0.7, "%d of %d refutation tests passed", F.coalesce(col("refutations_passed", "int"), F.lit(0)), col("refutations_run", "int"))
     error = col("standard_error")
-    checks.add("standard_error_available", causal, error.isNotNull() & (error != 0), 1.0, 0.6)
+    checks.add("standard_error_available", causal, error.isNotNull() & (error != 0), 1.0, 0.6, "no standard error")
 
     trend = kind == "trend"
     r2 = col("r_squared")
     checks.add("trend_direction_detected", trend & (F.length(col("trend_direction", "string")) > 0), always)
-    checks.add("trend_fit", trend & r2.isNotNull(), r2 >= 0.3, 1.0, 0.5)
+    checks.add("trend_fit", trend & r2.isNotNull(), r2 >= 0.3, 1.0, 0.5, "r squared %.3f below 0.300", r2)
 
     stable = col("is_stable", "boolean")
-    checks.add("temporal_stability", kind.isin("correlation", "trend") & stable.isNotNull(), stable, 1.0, 0.6)
-    checks.add("data_quality", always, ~(F.coalesce(col("null_percentage"), F.lit(0.0)) > 50), 1.0, 0.3)
+    checks.add("temporal_stability", kind.isin("correlation", "trend") & stable.isNotNull(), stable, 1.0, 0.6, "not stable over time")
+    checks.add("data_quality", always, ~(F.coalesce(col("null_percentage"), F.lit(0.0)) > 50), 1.0, 0.3, "%.1f percent of the values are null", col("null_percentage"))
 
     def present(marks: list[Column]) -> Column:
         return F.filter(F.array(*marks), lambda m: m.isNotNull())
@@ -95,7 +103,7 @@ def validate(results: DataFrame, table_rows: int | None = None) -> DataFrame:
     score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), checks.factor))
     graded = results.withColumns(
         {"confidence_score": score, "passed_checks": present(checks.passed), "failed_checks": present(checks.failed)}
-    )
+    ).withColumn("rejection_reason", F.nullif(F.concat_ws("; ", *checks.reasons), F.lit("")))
     c = F.col("confidence_score")
     return graded.withColumn("verdict", F.when(c > 0.75, "accept").when(c >= 0.4, "weak_signal").otherwise("reject"))
 
@@ -129,13 +137,20 @@ def key_evidence(results: DataFrame, limit: int = 4) -> DataFrame:
         c = F.col(column)
         return F.when(c.isNotNull(), F.struct(F.lit(label).alias("label"), text(c).alias("value")))
 
+    rate = F.coalesce(F.col("anomaly_rate"), F.lit(0.0)) if "anomaly_rate" in have else F.lit(0.0)
+    interval = F.lit(None).cast("struct<label:string,value:string>")
+    if {"estimated_effect", "standard_error"} <= have:
+        middle, half = F.col("estimated_effect"), 1.96 * F.col("standard_error")
+        shown = F.format_string("[%.2f, %.2f]", middle - half, middle + half)
+        interval = F.when((middle + half).isNotNull(), F.struct(F.lit("95% Interval").alias("label"), shown.alias("value")))
     items = [
         item("P-value", "p_value", lambda c: F.format_string("%.4f", c)),
         item("Correlation", "correlation", lambda c: F.format_string("%.3f", c)),
         item("Effect Size", "estimated_effect", lambda c: F.format_string("%.3f", c)),
+        interval,
         item("Sample Size", "sample_size", lambda c: F.format_number(c, 0)),
         item("Model Confidence", "model_confidence", lambda c: F.format_string("%.2f%%", c * 100)),
-        item("Anomaly Rate", "anomaly_rate", lambda c: F.format_string("%.1f%%", c * 100)),
+        item("Anomalies", "anomalies_found", lambda c: F.format_string("%d (%.1f%%)", c, 100 * rate)),
         item("Causal Confidence", "causal_confidence", F.upper),
     ]
     found = F.filter(F.array(*items), lambda e: e.isNotNull())

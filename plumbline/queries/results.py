@@ -67,19 +67,40 @@ def _checks_sql() -> list[tuple[str, str, str, str, str]]:
     ]
 
 
+# What a failed check found, as printf text and its figures, in the order of the checks.
+REASONS = {
+    "sample_size_reported": "'sample size not reported'",
+    "sample_size_adequate": "printf('sample size %d below 30', coalesce(sample_size, 500))",
+    "model_confidence": "printf('model confidence %.3f below 0.500', model_confidence)",
+    "anomalies_found": "'no anomalies found'",
+    "anomaly_rate_reasonable": "printf('anomaly rate %.3f above 0.300', round(anomaly_rate, 3))",
+    "p_value_significant": "printf('p-value %.3f above 0.050', p_value)",
+    "correlation_strength": "printf('correlation %.3f weaker than 0.300', correlation)",
+    "causal_confidence": "'causal confidence is ' || causal_confidence",
+    "refutation_tests": "printf('%d of %d refutation tests passed', refutations_passed, refutations_run)",
+    "standard_error_available": "'no standard error'",
+    "trend_fit": "printf('r squared %.3f below 0.300', r_squared)",
+    "temporal_stability": "'not stable over time'",
+    "data_quality": "printf('%.1f percent of the values are null', null_percentage)",
+}
+
+
 def graded_sql() -> str:
-    factor, passed, failed = "1e0", [], []
+    factor, passed, failed, reasons = "1e0", [], [], []
     for name, applies, good, up, down in _checks_sql():
         yes = f"coalesce(({applies}) AND ({good}), FALSE)"
         no = f"coalesce(({applies}), FALSE) AND NOT coalesce(({good}), FALSE)"
         factor += f" * CASE WHEN {yes} THEN {up}::DOUBLE WHEN {no} THEN {down}::DOUBLE ELSE 1e0 END"
         passed.append(f"CASE WHEN {yes} THEN '{name}' END")
-        failed.append(f"CASE WHEN {no} THEN '{name}' END")
+        failed.append(f"CASE WHEN {no} THEN '{name.replace('size_reported', 'size_missing')}' END")
+        if name in REASONS:
+            reasons.append(f"CASE WHEN {no} THEN {REASONS[name]} END")
     return (
         "WITH figures AS (SELECT "
         + ", ".join(f"{e} AS {c}" for c, e in FIGURES.items())
         + " FROM orders GROUP BY o_custkey)\n, graded AS (SELECT *, "
-        + f"greatest(0e0, least(1e0, {factor})) AS score, concat_ws(',', {', '.join(passed)}) AS passed, concat_ws(',', {', '.join(failed)}) AS failed FROM figures),\n"
+        + f"greatest(0e0, least(1e0, {factor})) AS score, concat_ws(',', {', '.join(passed)}) AS passed, concat_ws(',', {', '.join(failed)}) AS failed, "
+        + f"nullif(concat_ws('; ', {', '.join(reasons)}), '') AS rejection_reason FROM figures),\n"
         + """labelled AS (SELECT *, CASE WHEN score > 0.75::DOUBLE THEN 'accept' WHEN score >= 0.4::DOUBLE THEN 'weak_signal' ELSE 'reject' END AS verdict,
   CASE WHEN score >= 0.75::DOUBLE THEN 'high' WHEN score >= 0.4::DOUBLE THEN 'medium' ELSE 'low' END AS label FROM graded)
 """
@@ -105,12 +126,13 @@ def _verdicts(kind: str) -> None:
                 "confidence_label",
                 F.array_join("passed_checks", ",").alias("passed_checks"),
                 F.array_join("failed_checks", ",").alias("failed_checks"),
+                "rejection_reason",
             ),
             9,
         )
 
     sql = f"""SELECT spec_id, round(score, 9) AS confidence_score, verdict, label AS confidence_label, passed AS passed_checks,
-  failed AS failed_checks FROM labelled WHERE analysis_type = '{kind}'"""
+  failed AS failed_checks, rejection_reason FROM labelled WHERE analysis_type = '{kind}'"""
     register(f"validate_{kind}", run, GRADED + sql)
 
 
@@ -136,16 +158,17 @@ def ranked_results(spark, folder):
     + """, e AS (SELECT spec_id, list_filter([CASE WHEN p_value IS NOT NULL THEN 'P-value=' || format('{:.4f}', p_value) END,
   CASE WHEN correlation IS NOT NULL THEN 'Correlation=' || format('{:.3f}', correlation) END,
   CASE WHEN estimated_effect IS NOT NULL THEN 'Effect Size=' || format('{:.3f}', estimated_effect) END,
+  CASE WHEN estimated_effect IS NOT NULL AND standard_error IS NOT NULL THEN '95% Interval=' ||
+    printf('[%.2f, %.2f]', round(estimated_effect - 1.96e0 * standard_error, 2), round(estimated_effect + 1.96e0 * standard_error, 2)) END,
   CASE WHEN sample_size IS NOT NULL THEN 'Sample Size=' || format('{:,}', sample_size) END,
   CASE WHEN model_confidence IS NOT NULL THEN 'Model Confidence=' || format('{:.2f}%', model_confidence * 100) END,
-  'Anomaly Rate=x', CASE WHEN causal_confidence IS NOT NULL THEN 'Causal Confidence=' || upper(causal_confidence) END], lambda x: x IS NOT NULL)[1:4] AS ev FROM labelled)
-SELECT spec_id, array_to_string(list_filter(ev, lambda x: NOT starts_with(x, 'Anomaly')), '; ') AS evidence, CAST(len(ev) AS INT) AS pieces FROM e"""
+  CASE WHEN anomalies_found IS NOT NULL THEN 'Anomalies=' || printf('%d (%.1f%%)', anomalies_found, round(anomaly_rate * 100, 1)) END,
+  CASE WHEN causal_confidence IS NOT NULL THEN 'Causal Confidence=' || upper(causal_confidence) END], lambda x: x IS NOT NULL)[1:4] AS ev FROM labelled)
+SELECT spec_id, array_to_string(ev, '; ') AS evidence, CAST(len(ev) AS INT) AS pieces FROM e"""
 )
 def key_evidence(spark, folder):
     out = V.key_evidence(graded(spark, folder))
-    shown = F.transform(
-        F.filter("key_evidence", lambda e: e["label"] != "Anomaly Rate"), lambda e: F.concat(e["label"], F.lit("="), e["value"])
-    )
+    shown = F.transform("key_evidence", lambda e: F.concat(e["label"], F.lit("="), e["value"]))
     return out.select("spec_id", F.array_join(shown, "; ").alias("evidence"), F.size("key_evidence").alias("pieces"))
 
 
