@@ -13,11 +13,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import slices, without
+from plumbline.llm.common import lean, slices, without
 
 NONE = np.int32(2**31 - 1)  # rank of a pair that does not merge
 SHORT = 64  # pieces up to this many bytes are merged many at a time
-CACHE = 250_000  # pieces a task remembers before it starts anew
+CACHE = 100_000  # pieces a task remembers before it starts anew
 # The pattern in ASCII alone, for texts without other characters.
 ASCII_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+"
 
@@ -260,7 +260,7 @@ def _encode_batches(shared, at: int, both: bool):
                     arrays.append(_binary(*decode_ids(encoder.vocabulary, ids, counts)))
                 yield pa.RecordBatch.from_arrays([*part.columns, *arrays], [*part.schema.names, "ids", "decoded"][: part.num_columns + len(arrays)])
 
-    return run
+    return lean(run)
 
 
 def _decode_batches(shared, at: int):

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.plans.staging import checkpoint_parquet
 
 # Texts of one Arrow batch are worked on in slices of about this many bytes.
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,3 +58,20 @@ def slices(sizes: list[int], most: int = SLICE_BYTES) -> Iterator[tuple[int, int
         total += n + 1
     if start < len(sizes):
         yield start, len(sizes)
+
+
+def lean(run: Callable) -> Callable:
+    """``run`` over the batches of a task; what it no longer needs goes back to the system at its end.
+
+    Workers live on between tasks, and the allocators keep what was freed.
+    """
+
+    @wraps(run)
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+    return work

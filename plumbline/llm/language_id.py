@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import pick, quoted, slices, staged, without
+from plumbline.llm.common import lean, pick, quoted, slices, staged, without
 
 ORDER = 5
 BITS = 12  # of a symbol: letters below 2048 as they are, others hashed into the upper half
@@ -246,7 +246,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", chars: int
     rows = pick(labelled, lang, text).filter(quoted(lang).isNotNull() & quoted(text).isNotNull())
     there = dict(map(tuple, rows.groupBy(quoted(lang)).agg(F.sum(F.length(quoted(text)))).collect()))
     rate = {name: min(1.0, chars / n) if n else 1.0 for name, n in there.items()}
-    counted = _drawn(rows, lang, text, 29, rate).mapInArrow(_count_grams, "lang string, gram bigint, n bigint")
+    counted = _drawn(rows, lang, text, 29, rate).mapInArrow(lean(_count_grams), "lang string, gram bigint, n bigint")
     data = staged(counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))).toArrow()
     names = data.column("lang").dictionary_encode().combine_chunks()
     listed = names.dictionary.to_pylist()
@@ -340,7 +340,7 @@ def _predict_batches(shared, at: int):
             arrays += [pa.array(letters.astype(np.int64)), pa.array(out.astype(bool))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], [*batch.schema.names, *OUT])
 
-    return run
+    return lean(run)
 
 
 OUT = ("lang_pred", "score", "cross_entropy", "margin", "n_letters", "rejected")

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import pick, quoted, slices, staged, without
+from plumbline.llm.common import lean, pick, quoted, slices, staged, without
 from plumbline.llm.components import connected_components
 
 # A group of equal keys beyond this size is not compared pair by pair but dealt out again.
@@ -63,7 +63,7 @@ def _fingerprint_batches(width: int, at: int):
             names = [n for k, n in enumerate(batch.schema.names) if k != at]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(prints)], [*names, "fp"])
 
-    return run
+    return lean(run)
 
 
 def fingerprints(df: DataFrame, text: str = "text", width: int = 3) -> DataFrame:
@@ -230,7 +230,7 @@ def _link_groups(bits: int, limit: int):
                 held = [c[:0] for c in held]
         yield from work(*held)
 
-    return run
+    return lean(run)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:

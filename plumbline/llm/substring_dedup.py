@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import slices, staged
+from plumbline.llm.common import lean, slices, staged
 
 # Bytes of text whose sentences a task holds at a time.
 HELD = 1_000_000
@@ -87,7 +87,7 @@ def _occurrences(run: int, long: int, places: bool):
                 keys = [batch.column(k).slice(i, j - i).take(pa.array(doc)) for k in range(2)]
                 yield pa.RecordBatch.from_arrays([pa.array(span), *keys, pa.array(place.astype(np.int32))], ["span", "id", "print", "place"])
 
-    return work
+    return lean(work)
 
 
 def _gone(parts: list[str], starts: list[int], run: int, stretch: int) -> set[int]:
@@ -120,7 +120,7 @@ def _cut(run: int, long: int, stretch: int):
                 arrays = [*others, pa.array(out, pa.string()), pa.array(total, pa.int64()), pa.array(removed, pa.int64())]
                 yield pa.RecordBatch.from_arrays(arrays, [*batch.schema.names[:-2], "_text", "_total", "_removed"])
 
-    return work
+    return lean(work)
 
 
 def remove_repeated_spans(

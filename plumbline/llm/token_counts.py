@@ -15,7 +15,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import slices
+from plumbline.llm.common import lean, slices
 
 # Pre-tokens beside the proven ones that a task remembers before it starts anew.
 CACHE = 150_000
@@ -191,7 +191,7 @@ def _counted(shared):
             kept = batch.columns[:-1]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(np.array(counts, dtype=np.int64))], [*batch.schema.names[:-1], "n_tokens"])
 
-    return run
+    return lean(run)
 
 
 def count_tokens(df: DataFrame, vocabulary: WordVocabulary, text: str = "text") -> DataFrame:
