@@ -27,7 +27,8 @@ from plumbline.operators.measures import column_measures
 from plumbline.plans.running import running_totals
 from plumbline.plans.staging import checkpoint_parquet
 
-SAMPLE_SCAN_ROWS = 1000
+# Classes of hashes whose minima bound the sample of a column.
+SAMPLE_SLOTS = 64
 
 
 def ordinal_confidence_of(m: DataFrame) -> Column:
@@ -223,22 +224,35 @@ def profile_columns(df: DataFrame, samples: bool = False, approximate: bool = Fa
 
 
 def sample_values(df: DataFrame, n: int = 5) -> DataFrame:
-    """Up to ``n`` non-null values per column as text, whichever the scan meets first.
+    """Up to ``n`` non-null values per column as text: those of the lowest hashes.
 
-    The first rows settle most columns; a column that is mostly null there gets a
-    limited scan of its own. At most ``n`` values per column reach the driver.
+    Every distinct value comes once before any comes again, so a column with fewer than
+    ``n`` distinct values fills up with repeats of them. The choice depends on the values
+    alone, not on their order or files. An empty or all-null column gives an empty array.
+
+    The table is read twice, however many columns are sparse. The lowest hash of each of
+    SAMPLE_SLOTS classes of hashes is one distinct value each, so the ``n``-th lowest of them
+    bounds the hashes wanted; then only values up to the bound are folded, with their copies
+    merged on the map side. A column that fills under ``n`` classes has few values, all folded.
     """
-    head = df.limit(SAMPLE_SCAN_ROWS)
-    texts = [F.slice(F.collect_list(F.col(f"`{c}`").cast("string")), 1, n).alias(f"s_{i}") for i, c in enumerate(df.columns)]
-    first = head.agg(*texts).first()
-    rows = []
-    for i, c in enumerate(df.columns):
-        found = first[f"s_{i}"]
-        if len(found) < n:
-            col = F.col(f"`{c}`")
-            found = [r[0] for r in df.select(col.cast("string")).filter(col.isNotNull()).take(n)]
-        rows.append((c, found))
-    return df.sparkSession.createDataFrame(rows, "column_name string, sample_values array<string>")
+    cells = df.select(
+        F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"`{c}`").cast("string").alias("v")) for i, c in enumerate(df.columns)])).alias("c")
+    ).select("c.i", "c.v")
+    cells = cells.filter("v is not null").withColumn("h", F.conv(F.substring(F.md5("v"), 1, 15), 16, 10).cast("long"))
+    slots = cells.groupBy("i", (F.col("h") % max(SAMPLE_SLOTS, n)).alias("slot")).agg(F.min("h").alias("h"))
+    bounds = slots.groupBy("i").agg(F.get(F.sort_array(F.collect_list("h")), n - 1).alias("bound"))
+    # One row per column.
+    near = cells.join(F.broadcast(bounds), "i").filter("bound is null or h <= bound")
+    values = near.groupBy("i", "h", "v").agg(F.least(F.count("*"), F.lit(n)).alias("copies"))
+    turns = values.select("i", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("turn"), "h", "v")
+    place = F.row_number().over(W.partitionBy("i").orderBy("turn", "h", "v"))
+    kept = turns.withColumn("place", place).filter(F.col("place") <= n)
+    found = kept.groupBy("i").agg(F.sort_array(F.collect_list(F.struct("place", "v"))).alias("found"))
+    names = df.sparkSession.createDataFrame(list(enumerate(df.columns)), "i int, column_name string")
+    texts = F.transform("found", lambda f: f["v"])
+    return names.join(found, "i", "left").select(
+        "column_name", F.coalesce(texts, F.array().cast("array<string>")).alias("sample_values")
+    )
 
 
 # --- frames built on the profile ----------------------------------------------------

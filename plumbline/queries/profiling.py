@@ -459,6 +459,24 @@ register(
 )
 
 
+# Columns whose values both engines write alike.
+SAMPLED = [c for c, kind in SALES_KINDS.items() if kind in ("text", "time") or c.endswith("_id") or c == "our_position"]
+
+
+@query(
+    SALES
+    + ", cells AS ("
+    + per_column(SAMPLED, "CAST({c} AS VARCHAR) AS v", "sales")
+    + """), folded AS (SELECT column_name, v, count(*) AS n FROM cells WHERE v IS NOT NULL GROUP BY ALL),
+turns AS (SELECT column_name, v, unnest(range(1, least(n, 5) + 1)) AS turn FROM folded),
+placed AS (SELECT *, row_number() OVER (PARTITION BY column_name ORDER BY turn, substr(md5(v), 1, 15), v) AS place FROM turns)
+SELECT column_name, string_agg(v, '|' ORDER BY place) AS samples FROM placed WHERE place <= 5 GROUP BY column_name"""
+)
+def sample_value_texts(spark, folder):
+    texts = P.sample_values(sales_view(spark, folder).select(*SAMPLED))
+    return texts.select("column_name", F.array_join("sample_values", "|").alias("samples"))
+
+
 # --- grain ----------------------------------------------------------------------------
 
 

@@ -1,5 +1,7 @@
 """Thresholds and edge cases on small hand-made tables."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -198,6 +200,29 @@ def test_sample_values_of_a_sparse_column(spark):
     assert len(got["late"]) == 5 and len(got["first"]) == 5
 
 
+def test_sample_values_are_the_lowest_hashes(spark):
+    def hashed(text):
+        return hashlib.md5(text.encode()).hexdigest()[:15]
+
+    hot = F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("v"), F.col("id") % 700))
+    df = spark.range(3000).select(
+        hot.alias("skewed"),
+        (F.col("id") % 2 == 0).alias("flag"),
+        F.when(F.col("id") < 2, F.lit("x")).alias("rare"),
+        F.lit(None).cast("string").alias("none"),
+    )
+    got = {r["column_name"]: r["sample_values"] for r in P.sample_values(df).collect()}
+    values = {"hot"} | {f"v{i % 700}" for i in range(3000) if i % 3}
+    assert got["skewed"] == sorted(values, key=hashed)[:5]
+    pair = sorted(["true", "false"], key=hashed)
+    assert got["flag"] == (pair * 3)[:5]
+    assert got["rare"] == ["x", "x"] and got["none"] == []
+    again = {r["column_name"]: r["sample_values"] for r in P.sample_values(df.repartition(7)).collect()}
+    assert again == got
+    empty = {r["column_name"]: r["sample_values"] for r in P.sample_values(df.limit(0)).collect()}
+    assert empty == {c: [] for c in df.columns}
+
+
 def test_small_tables_are_sampled_whole(spark):
     df = spark.range(9).withColumnRenamed("id", "k")
     assert P.diverse_sample(df, ["k"]).count() == 9
