@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumbline.fixed_values import COST_WORDS, SALES_WORDS
-from plumbline.functions.columns import safe_div
+from plumbline.functions.columns import exact_parts, joined_parts, safe_div
 from plumbline.operators.metrics import attach_totals, metric_by, metric_over_time
 from plumbline.operators.spec import MetricSpec
 from plumbline.plans.running import WINDOW_ROWS, running_totals
@@ -17,16 +17,25 @@ from plumbline.plans.staging import checkpoint_parquet
 
 
 def pareto(df: DataFrame, dim: str, metric: str, n: int | None = None, window_rows: int = WINDOW_ROWS) -> DataFrame:
-    """Values of ``dim`` by their share of the total, largest first, with running share."""
-    sums = df.filter(F.col(metric).isNotNull()).groupBy(dim).agg(F.sum(metric).alias("value"))
-    sums = sums.withColumn("_one", F.lit(1).cast("long"))
-    ranked = running_totals(sums, [("value", "desc"), dim], {"_running": "value", "rank": "_one"}, window_rows=window_rows)
-    total = ranked.agg(F.sum("value").alias("_total"))
+    """Values of ``dim`` by their share of the total, largest first, with running share.
+
+    Sums stay exact up to the shares, so that equal sums tie however the rows are dealt and
+    ``dim`` decides between them.
+    """
+    floating = dict(df.dtypes)[metric] in ("float", "double")
+    held, rest = exact_parts(metric) if floating else (F.col(metric), F.lit(0.0))
+    rows = df.filter(F.col(metric).isNotNull())
+    sums = rows.groupBy(dim).agg(F.coalesce(F.sum(held), F.lit(0)).alias("_held"), F.sum(rest).alias("_rest"))
+    value = joined_parts("_held", "_rest") if floating else F.col("_held")
+    sums = sums.withColumn("value", value).withColumn("_one", F.lit(1).cast("long"))
+    running = {"_held_to": "_held", "_rest_to": "_rest", "rank": "_one"}
+    ranked = running_totals(sums, [("value", "desc"), dim], running, window_rows=window_rows)
+    total = ranked.agg(joined_parts(F.sum("_held"), F.sum("_rest")).alias("_total"))
     shares = ranked.crossJoin(F.broadcast(total)).select(
         dim,
         "value",
         safe_div("value", "_total").alias("share"),
-        safe_div("_running", "_total").alias("cumulative_share"),
+        safe_div(joined_parts("_held_to", "_rest_to"), "_total").alias("cumulative_share"),
         "rank",
     )
     return shares if n is None else shares.filter(F.col("rank") <= n)

@@ -344,6 +344,18 @@ def test_bundles_give_what_single_runs_give(facts):
                 assert got[(spec_id(spec), (r["g"],))] == (pytest.approx(r["value"]), r["sample_size"])
 
 
+def test_pareto_ties_of_equal_sums_do_not_depend_on_the_order_of_rows(spark):
+    """0.1 + 0.2 + 0.3 as doubles is more than 0.3 + 0.2 + 0.1; both keys hold the same amounts."""
+    rows = [("b", 0.1), ("b", 0.2), ("b", 0.3), ("a", 0.3), ("a", 0.2), ("a", 0.1), ("c", 1e300), ("d", 1 / 3)]
+    df = spark.createDataFrame(rows, "k string, v double").coalesce(1)
+    for window_rows in (100, 1):
+        got = motifs.pareto(df.filter("v < 1"), "k", "v", window_rows=window_rows).orderBy("rank").collect()
+        assert [(r["k"], r["value"]) for r in got] == [("a", 0.6), ("b", 0.6), ("d", 1 / 3)]
+        assert got[1]["cumulative_share"] == pytest.approx(1.2 / (1.2 + 1 / 3)) and got[2]["cumulative_share"] == 1.0
+    largest = motifs.pareto(df, "k", "v", 1).first()
+    assert (largest["k"], largest["value"]) == ("c", 1e300)
+
+
 def test_pareto_top_n_and_ties(spark):
     df = spark.createDataFrame([("a", 5.0), ("b", 5.0), ("c", 1.0), ("d", None)], "k string, v double")
     rows = motifs.pareto(df, "k", "v", 2).orderBy("rank").collect()
