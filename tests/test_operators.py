@@ -17,6 +17,7 @@ from plumbline.operators import validate as V
 from plumbline.operators.run import bundles, run_specs, spec_id
 from plumbline.operators.spec import Guardrail, MetricSpec, deduplicate
 from plumbline.sources import tables as S
+from plumbline.sources.views import funnel_view
 
 
 # --- sources --------------------------------------------------------------------------
@@ -194,6 +195,16 @@ def test_roles_time_check_and_tables(spark):
     assert roles["order_date"] != "time" and roles["price"] == "financial"
 
 
+def test_funnel_amounts_do_not_depend_on_the_order_of_events(spark, tmp_path):
+    """0.1 + 0.2 + 0.3 as doubles is more than 0.3 + 0.2 + 0.1: one amount, not two."""
+    rows = [(u, "click", v) for u, values in ((1, (0.1, 0.2, 0.3)), (2, (0.3, 0.2, 0.1))) for v in values]
+    events = spark.createDataFrame(rows + [(1, "view", None), (2, "purchase", None)], "user_id long, event_type string, value double")
+    events.withColumn("ts", F.timestamp_seconds(F.lit(0))).coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    view = funnel_view(spark, str(tmp_path))
+    assert [(r["spend"], r["revenue"]) for r in view.collect()] == [(0.6, 0.0)] * 2
+    assert measures.distinct_counts(view).filter("column_name = 'spend'").first()["unique_count"] == 1
+
+
 def test_sample_values_of_a_sparse_column(spark):
     df = spark.range(5000).select(F.when(F.col("id") > 4990, F.col("id")).alias("late"), F.col("id").alias("first")).coalesce(1)
     got = {r["column_name"]: r["sample_values"] for r in P.sample_values(df).collect()}
