@@ -181,7 +181,8 @@ def fit_models(
     """
     if difference not in (None, 0, 1):
         raise ValueError("difference is 0 or 1")
-    keyed, keys = _keyed(series, by)
+    # Buckets are few and read twice; what they are made of is read once.
+    keyed, keys = _keyed(checkpoint_parquet(series), by)
     frequency = checkpoint_parquet(series_frequency(keyed, keys).select(*keys, "seasonal_period", "frequency", "gaps_detected"))
     every = join_on_group(_tested(_folded(keyed, keys, exog)), frequency, keys)
     rows = every.filter(F.col("n") >= MIN_POINTS)

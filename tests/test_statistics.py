@@ -15,6 +15,7 @@ from plumbline.operators import association as C
 from plumbline.operators import causal as K
 from plumbline.operators import forecast as FC
 from plumbline.operators import series as T
+from plumbline.queries.series import monthly
 
 
 @pytest.mark.parametrize(
@@ -351,3 +352,28 @@ def test_isolation_forest_with_keys_beyond_31_bits(spark):
     assert N.anomalies_iforest(df, "v", "id").filter("v = 900").count() == 12
     draws = df.select(N.hash_uniform("id", 42).alias("u")).agg(F.countDistinct("u"), F.avg("u")).first()
     assert draws[0] == 3000 and abs(draws[1] - 0.5) < 0.05
+
+
+def test_a_series_is_read_once_for_all_models(spark):
+    """What the buckets are made of may be a join of large tables."""
+    reads = spark.sparkContext.accumulator(0)
+
+    def seen(v):
+        reads.add(1)
+        return v
+
+    rows = [(f"2020-{m:02d}-01", float(m * m % 7)) for m in range(1, 13)]
+    series = spark.createDataFrame(rows, "day string, v double").select(
+        F.to_timestamp_ntz("day", F.lit("yyyy-MM-dd")).alias("bucket"), F.udf(seen, "double").asNondeterministic()("v").alias("value")
+    )
+    assert FC.fit_models(series, 2, models=["arima"]).count() == 2
+    assert reads.value == len(rows)
+
+
+def test_tables_behind_a_monthly_series_are_read_once(spark, folder):
+    plan = monthly(spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 5
+    # From the top down: orders already know their customers when the line items come.
+    joins = [line for line in plan.splitlines() if "Join Inner" in line]
+    place = {key: next(i for i, line in enumerate(joins) if key in line) for key in ("o_orderkey", "c_custkey")}
+    assert len(joins) == 4 and place["o_orderkey"] < place["c_custkey"]
