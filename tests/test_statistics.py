@@ -377,3 +377,34 @@ def test_tables_behind_a_monthly_series_are_read_once(spark, folder):
     joins = [line for line in plan.splitlines() if "Join Inner" in line]
     place = {key: next(i for i, line in enumerate(joins) if key in line) for key in ("o_orderkey", "c_custkey")}
     assert len(joins) == 4 and place["o_orderkey"] < place["c_custkey"]
+
+
+@pytest.mark.parametrize("by", [[], ["g"]])
+def test_ranged_ranks_with_a_hot_value_over_many_ranges(spark, monkeypatch, by):
+    """Half of each side is one value, others repeat, some are missing; as the plain windows say."""
+    monkeypatch.setattr(C, "LOOKED_UP", 0)
+    monkeypatch.setattr("plumbline.plans.running.ROWS_PER_RANGE", 20)
+    shuffled = []
+    monkeypatch.setattr(C, "split_by_range", lambda *a, real=C.split_by_range: shuffled.append(a[0]) or real(*a))
+    rng = np.random.default_rng(5)
+    x, y = rng.integers(-40, 40, 600).astype(float), rng.integers(0, 300, 600).astype(float)
+    x[rng.random(600) < 0.5], y[rng.random(600) < 0.3] = 0.0, 7.0
+    rows = [(None if i % 97 == 0 else f"g{i % 3}", float(a), None if i % 89 == 0 else float(b)) for i, (a, b) in enumerate(zip(x, y))]
+    df = spark.createDataFrame(rows, "g string, a double, b double")
+    plain = {r[0] if by else 0: r for r in C.spearman(df, "a", "b", by).collect()}
+    split = {r[0] if by else 0: r for r in C.spearman(df, "a", "b", by, window_rows=5).collect()}
+    assert len(shuffled) == 2 and plain.keys() == split.keys()
+    for key, row in plain.items():
+        assert split[key]["n"] == row["n"] and split[key]["spearman"] == pytest.approx(row["spearman"], abs=1e-12)
+
+
+def test_association_reads_its_table_once(spark):
+    reads = spark.sparkContext.accumulator(0)
+
+    def seen(v):
+        reads.add(1)
+        return v
+
+    df = spark.range(20).select(F.udf(seen, "long").asNondeterministic()("id").alias("a"), (F.col("id") * F.col("id") % 7).alias("b"))
+    assert C.association(df, "a", "b").first()["n"] == 20
+    assert reads.value == 20
