@@ -211,6 +211,19 @@ def test_sample_values_of_a_sparse_column(spark):
     assert len(got["late"]) == 5 and len(got["first"]) == 5
 
 
+def test_sample_values_by_bounds_are_those_of_the_whole_table(spark, monkeypatch):
+    """The share of rows that sets the bounds is read beforehand; the result is that of the whole table."""
+    monkeypatch.setattr(P, "FOLDED", 20)
+    df = spark.range(20_000).selectExpr("id AS many", "id % 3 AS few", "if(id % 5000 = 7, id, null) AS `a.sparse`", "cast(null as string) AS nothing")
+    got = {r["column_name"]: r["sample_values"] for r in P.sample_values(df).collect()}
+    lowest = sorted(map(str, range(20_000)), key=lambda v: hashlib.md5(v.encode()).hexdigest()[:15])[:5]
+    few = sorted("012", key=lambda v: hashlib.md5(v.encode()).hexdigest()[:15])
+    assert got["many"] == lowest and got["few"] == [*few, *few[:2]] and got["nothing"] == []
+    assert sorted(got["a.sparse"], key=int) == ["7", "5007", "10007", "15007"]
+    plan = P.sample_values(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Range (0") == 1
+
+
 def test_sample_values_are_the_lowest_hashes(spark):
     def hashed(text):
         return hashlib.md5(text.encode()).hexdigest()[:15]
