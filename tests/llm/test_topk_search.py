@@ -39,3 +39,28 @@ def test_few_rows_and_huge_components(spark):
     rows = [(0, [1e15, 1.0, 3.0]), (1, [1e15, 2.0, 0.1]), (2, [-1e15, 0.5, 2.0]), (3, [3.0, 1.0, 1.0]), (50, [1e3, 7e12, -1e12])]
     assert run(spark, rows) == brute(rows, lambda i: i % 50 == 0, 5)
     assert run(spark, rows, k=1) == brute(rows, lambda i: i % 50 == 0, 1)
+
+
+def test_nothing_broadcast_grows_with_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(tk, "ROWS_PER_BLOCK", 20)
+    rng = np.random.default_rng(6)
+    rows = [(i, v) for i, v in enumerate(rng.normal(size=(6000, 12)).round(3).tolist())]
+    limit = "spark.sql.maxBroadcastTableSize"
+    spark.conf.set(limit, "1m")  # the 120 queries hold 12 KB
+    try:
+        assert run(spark, rows) == brute(rows, lambda i: i % 50 == 0, 5)
+    finally:
+        spark.conf.unset(limit)
+
+
+def test_queries_reach_the_driver_in_bounded_parts(spark, monkeypatch):
+    monkeypatch.setattr(tk, "QUERY_BYTES", 4 << 10)
+    monkeypatch.setattr(tk, "ROWS_PER_BLOCK", 50)
+    sent, broadcast = [], type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, x: (sent.append(x.nbytes), broadcast(self, x))[1])
+    rng = np.random.default_rng(7)
+    # vectors of all lengths, numbers of all sizes, and one vector that many rows have
+    rows = [(i, (rng.normal(size=i % 9) * 10.0 ** rng.integers(0, 12)).round(3).tolist()) for i in range(400)]
+    rows += [(i, [0.5, 0.25, -1.0]) for i in range(1000, 1300)]
+    assert run(spark, rows, k=3) == brute(rows, lambda i: i % 50 == 0, 3)
+    assert len(sent) >= 4 and max(sent) <= 4 << 10
